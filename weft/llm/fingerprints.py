@@ -25,8 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm._rows import keyed, real_id, shuffle_partitions
+from weft.llm._rows import keyed, real_id
 
+FAN = 4096
 PIECE = r"(?s)[^.!?\n]{1,64}[.!?\n]*|[.!?\n]+"
 SECTION_END = r"(?<=\n\n)(?!\n)"
 PARAGRAPH_END = r"(?<=\n)(?!\n)"
@@ -110,23 +111,28 @@ def differing_branches(a: str | Column, b: str | Column) -> Column:
     return F.when(same_root, F.slice(branches, 1, 0)).otherwise(branches)
 
 
-def next_ids(ids: DataFrame) -> DataFrame:
-    """(did, need, next_did): each distinct id's successor, the first after the last.
+def _successors(t: DataFrame, lo: int, hi: int, wrap: int) -> DataFrame:
+    """(key, nxt) of (key, val): the val of the next larger key, ``wrap`` after the largest; keys are distinct in lo..hi.
 
-    Ids are ranged over partitions; only the first id of each partition (a few
-    hundred rows) is looked at in one place.
+    Keys are ordered in blocks of FAN consecutive values; the blocks' first rows,
+    one for each block, are linked the same way.
     """
-    n = shuffle_partitions(ids.sparkSession)
-    ranged = ids.repartitionByRange(n, "did").withColumn("pid", F.spark_partition_id())
-    inside = ranged.withColumn("inner_next", F.lead("did").over(Window.partitionBy("pid").orderBy("did")))
-    firsts = ranged.groupBy("pid").agg(F.min("did").alias("first"))
-    by_pid = Window.orderBy("pid")
-    after = firsts.select(
-        "pid",
-        F.coalesce(F.lead("first").over(by_pid), F.min("first").over(Window.partitionBy())).alias("outer_next"),
-    )
-    joined = inside.join(F.broadcast(after), "pid")  # a row for each partition
-    return joined.select("did", "need", F.coalesce("inner_next", "outer_next").alias("next_did"))
+    if hi - lo < FAN:
+        return t.select("key", F.lead("val", 1, wrap).over(Window.orderBy("key")).alias("nxt"))
+    t = t.withColumn("block", F.shiftright("key", FAN.bit_length() - 1))
+    inner = t.select("key", "block", F.lead("val").over(Window.partitionBy("block").orderBy("key")).alias("inner"))
+    heads = t.groupBy("block").agg(F.min_by("val", "key").alias("val")).select(F.col("block").alias("key"), "val")
+    after = _successors(heads, lo // FAN, hi // FAN, wrap).select(F.col("key").alias("block"), F.col("nxt").alias("outer"))
+    return inner.join(after, "block").select("key", F.coalesce("inner", "outer").alias("nxt"))
+
+
+def next_ids(ids: DataFrame) -> DataFrame:
+    """(did, next_did) for each distinct id: its successor, the first after the last."""
+    ids = ids.select("did").distinct()
+    ends = ids.agg(F.min("did").alias("lo"), F.max("did").alias("hi")).first()
+    lo, hi = (0, 0) if ends["lo"] is None else (ends["lo"], ends["hi"])
+    linked = _successors(ids.select(F.col("did").alias("key"), F.col("did").alias("val")), lo, hi, lo)
+    return linked.select(F.col("key").alias("did"), F.col("nxt").alias("next_did"))
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
@@ -136,8 +142,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """
     base = keyed(docs)
     half = F.floor(F.length("text") / 2).cast("int")
-    ids = base.groupBy("did").agg(F.max(half).alias("need"))
-    after = next_ids(ids).select(F.col("did").alias("for_did"), "need", F.col("next_did"))
+    needs = base.groupBy("did").agg(F.max(half).alias("need"))
+    after = next_ids(base).join(needs, "did").select(F.col("did").alias("for_did"), "need", "next_did")
     nxt = base.join(after, base["did"] == after["next_did"]).withColumn(
         "r", F.row_number().over(Window.partitionBy("did", "for_did").orderBy("rh"))
     )
