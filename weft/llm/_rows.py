@@ -34,20 +34,6 @@ def real_id(col: str | Column = "did") -> Column:
     return F.when(c != NULL_ID, c)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def shared_dir(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the folder the cluster names, or a local one where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="weft-checkpoint-"))
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys meet; the left side's keys and columns stay, then the right side's others."""
     other = [c for c in right.columns if c not in keys]

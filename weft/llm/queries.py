@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import fingerprints, mixing, sharding
+from weft.llm import fingerprints, mixing, sharding, suffix_arrays
 from weft.llm._rows import documents
 
 
@@ -15,6 +15,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
+def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.strip_repeats(documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(documents(spark, sf_dir))
 
@@ -29,6 +33,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_suffix_arrays": op3_suffix_arrays,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
 }
