@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import fingerprints, mixing, sharding, suffix_arrays
+from weft.llm import fingerprints, mixing, sharding, suffix_arrays, suffix_trees
 from weft.llm._rows import documents
 
 
@@ -31,11 +31,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.strip_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_suffix_arrays": op3_suffix_arrays,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op6_suffix_trees": op6_suffix_trees,
 }
 
 ORACLE: dict[str, str] = {}
