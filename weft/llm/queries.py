@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import fingerprints, mixing, sharding, suffix_arrays, suffix_trees
+from weft.llm import fingerprints, minhash, mixing, sharding, suffix_arrays, suffix_trees
 from weft.llm._rows import documents
 
 
@@ -35,12 +35,17 @@ def op6_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.strip_repeats(documents(spark, sf_dir))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(documents(spark, sf_dir), k=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_suffix_arrays": op3_suffix_arrays,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_suffix_trees": op6_suffix_trees,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLE: dict[str, str] = {}
