@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import fingerprints, minhash, mixing, sharding, suffix_arrays, suffix_trees
+from weft.llm import fingerprints, language_id, minhash, mixing, radix, sharding, suffix_arrays, suffix_trees, toxicity
 from weft.llm._rows import documents
+from weft.llm._sample import held_out
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
+def op2_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix.exact_duplicates(documents(spark, sf_dir))
+
+
 def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.strip_repeats(documents(spark, sf_dir))
 
@@ -35,17 +40,29 @@ def op6_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.strip_repeats(documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.learn_and_identify(documents(spark, sf_dir), held_out("doc_id", 3, 1))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_components(documents(spark, sf_dir), k=4, percent=80)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_documents(documents(spark, sf_dir), labels, held_out("doc_id", 5, 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_radix": op2_radix,
     "op3_suffix_arrays": op3_suffix_arrays,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_suffix_trees": op6_suffix_trees,
+    "op8_language_id": op8_language_id,
     "op9_minhash": op9_minhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}

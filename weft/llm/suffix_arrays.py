@@ -110,7 +110,7 @@ def _suffix_array(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.
     return order, same
 
 
-def _sorted_repeats(length: int, limit: int = 1 << 19):
+def _sorted_repeats(length: int, limit: int = 1 << 18):
     """Repeated windows of single phrases, for phrases sorted by key; whole keys are handled at once."""
 
     def settle(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -171,7 +171,8 @@ def _settle(blocks: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     keys = saved(keys.where("phrases > 1 AND singles > 0").select("key", "phrases"))
     tagged = blocks.join(classes, ["key", "whole"])
     full = tagged.where("n > 1").select("did", "rh", "lo", (F.col("hi") + length).alias("end"))
-    left = tagged.where("n = 1 OR did = first").join(keys, "key")
+    one = tagged.where("n > 1 AND did = first").dropDuplicates(["key", "whole"])  # a witness for each phrase
+    left = tagged.where("n = 1").unionByName(one).join(keys, "key")
     return full, left.withColumn("single", F.col("n") == 1).drop("n", "first", "whole")
 
 
