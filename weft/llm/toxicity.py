@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from weft.llm._sample import bounded
 
-TRAIN_ROWS, LEXICON, STEMS, SURE = 20_000, 2_000, (4, 5, 6), 12.0
+TRAIN_ROWS, LEXICON, STEMS, SURE = 20_000, 2_000, (4, 5, 6), 2.0
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 INSULTS = """idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown fool
