@@ -40,7 +40,7 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files that nothing refers to now
