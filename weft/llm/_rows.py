@@ -44,3 +44,10 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
         on = same if on is None else on & same
     out = left.join(r, on, how)
     return out.select(*left.columns, *([] if how in ("left_semi", "left_anti") else other))
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns and the row's name (did, rh), as ``keyed`` gives it."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return docs.withColumns({"did": did, "rh": F.xxhash64(text)})

@@ -8,11 +8,10 @@ bucket keys; a pair of similarity 0.8 shares none of 24 bands of 4 values with
 probability 3e-6.  Links are confirmed on the full sets.
 
 Documents with the same set are one class from the start (copies are never
-expanded).  In each bucket every class is compared with one pivot, which finds
-nearly all components.  Buckets that still hold several components are compared
-across them in stages, ranks 1, 2-3, 4-7, ... apart, so that every pair of a
-bucket is either in one component or compared; buckets that have become one
-component drop out.
+expanded).  In each bucket every class is compared with one pivot, the class that
+shares the most buckets with others, which finds nearly all components.  Between
+components that still meet in a bucket, links are sought exactly: by prefix
+filtering over the sets of all classes in such buckets.
 
 Edge cases: with fewer words than k the whole sequence is one shingle; a
 document without words (or null) has an empty set and stays alone; repeated rows
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm import _bytes as B
-from weft.llm._rows import join_on, keyed, real_id
+from weft.llm._rows import join_on, keyed, named_rows, real_id
 from weft.llm._shared import saved
 from weft.llm.components import components
 
@@ -133,25 +132,19 @@ def near_duplicates(
     )
     nodes = saved(nodes.select("node", "rep.did", "rep.rh", "n", "bands"))
     rows_ = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = saved(rows_.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1"))
+    buckets = saved(rows_.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     members = saved(rows_.join(buckets, "key"))
+    central = saved(members.groupBy("node").agg(F.sum("m").alias("weight")))
+    pivots = members.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
+    pivots = saved(pivots)
     some = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "did", "rh")
     sets = saved(join_on(some, base, ["did", "rh"]).dropDuplicates(["node"]).mapInArrow(_sets(k), "node long, shingles array<long>"))
-    pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = saved(_confirmed(pairs, sets, percent))
+    pairs = members.join(pivots, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    links = saved(_confirmed(saved(pairs.distinct()), sets, percent))
     parts = saved(components(links))
-    mixed = _mixed(members.select("key", "node"), parts)
-    by_key = Window.partitionBy("key")
-    mixed = mixed.withColumn("r", F.row_number().over(by_key.orderBy("part", "node")) - 1)
-    mixed = saved(mixed.withColumn("m", F.count("*").over(by_key)))
-    near = 1
-    while not (open_ := mixed.where(F.floor(F.col("m") / 2) >= near)).isEmpty():
-        fresh = saved(_confirmed(saved(_across(open_, near)), sets, percent))
-        near *= 2
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            parts = saved(components(links))
-            mixed = saved(_mixed(mixed.drop("part"), parts))
+    fresh = saved(_confirmed(saved(_across(members, sets, parts, percent)), sets, percent))
+    if not fresh.isEmpty():
+        parts = saved(components(links.unionByName(fresh)))
     named = nodes.join(parts, "node", "left").select(
         "node", "did", F.coalesce("component", "node").alias("part")
     )
@@ -161,21 +154,28 @@ def near_duplicates(
     return out.select("did", "rh", "n", F.coalesce("component", "did").alias("component"))
 
 
-def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their component."""
-    m = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    ends = m.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    return m.join(saved(ends), "key")
-
+def _across(members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link different components which still share a bucket, by prefix filtering.
 
-def _across(mixed: DataFrame, near: int) -> DataFrame:
-    """Pairs (a, b) of different components whose ranks in a bucket's circle are ``near`` to 2 * near - 1 apart."""
-    last = F.least(F.lit(2 * near - 1), F.floor(F.col("m") / 2).cast("int"))
-    one = mixed.select("key", "node", "part", "r", "m", F.explode(F.sequence(F.lit(near), last)).alias("o"))
-    one = one.select("key", "node", "part", F.pmod(F.col("r") + F.col("o"), F.col("m")).alias("r"))
-    two = mixed.select("key", F.col("r").cast("long").alias("r"), F.col("node").alias("node2"), F.col("part").alias("part2"))
-    pairs = one.join(two, ["key", "r"]).where("part <> part2")
-    return pairs.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
+    With the shingles in one order, rarest first, two sets that agree enough
+    share one of the first n - ceil(n percent / 100) + 1 shingles of either.
+    Shingles that only one set has come first and pair nobody.
+    """
+    m = members.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    ends = m.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    m = saved(m.join(saved(ends), "key").select("node", "part").distinct())
+    s = sets.join(m, "node").select("node", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    common = s.groupBy("s").agg(F.count("*").alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    common = saved(common.where("df > 1").select("s", "df", (F.col("lo") < F.col("hi")).alias("mixed")))
+    by_node = Window.partitionBy("node")
+    s = s.join(common, "s").withColumn("own", F.col("n") - F.count("*").over(by_node))
+    s = s.withColumn("r", F.row_number().over(by_node.orderBy("df", "s")))
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    s = saved(s.where((F.col("own") + F.col("r") <= reach) & F.col("mixed")).select("s", "node", "part", "n"))
+    other = s.toDF("s", "node2", "part2", "n2")
+    fits = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("part") < F.col("part2"))
+    pairs = s.join(other, "s").where(fits)
+    return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, **options) -> DataFrame:
@@ -187,3 +187,9 @@ def near_components(docs: DataFrame, **options) -> DataFrame:
         real_id("component").alias("component_id"),
         (F.col("did") == F.col("component")).alias("kept"),
     )
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the rows with its smallest id, with all their columns."""
+    keep = near_duplicates(docs, **options).where("did = component").select("did", "rh").distinct()
+    return join_on(named_rows(docs), keep, ["did", "rh"], "left_semi").drop("did", "rh")

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import fingerprints, language_id, minhash, mixing, radix, sharding, suffix_arrays, suffix_trees, toxicity
+from weft.llm import (
+    fingerprints,
+    language_id,
+    minhash,
+    mixing,
+    radix,
+    sentencepiece_codec,
+    sharding,
+    suffix_arrays,
+    suffix_trees,
+    toxicity,
+)
 from weft.llm._rows import documents
 from weft.llm._sample import held_out
 
@@ -40,6 +51,10 @@ def op6_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.strip_repeats(documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(documents(spark, sf_dir), sentencepiece_codec.load())
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.learn_and_identify(documents(spark, sf_dir), held_out("doc_id", 3, 1))
 
@@ -60,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_suffix_trees": op6_suffix_trees,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_language_id": op8_language_id,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm._rows import join_on, keyed, real_id
+from weft.llm._rows import join_on, keyed, named_rows, real_id
 from weft.llm._shared import saved
 
 HEAD, GROWTH = 64, 4
@@ -132,3 +132,12 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
         "kept",
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
+    keep = equal_texts(keyed(docs), **options).where("kept").select(*_ROW).distinct()
+    rows = named_rows(docs)
+    left = join_on(rows, keep, _ROW, "left_semi")
+    turn = F.row_number().over(Window.partitionBy(*_ROW).orderBy("rh"))
+    return left.withColumn("_turn", turn).where("_turn = 1").drop(*_ROW, "_turn")
