@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BOM = "﻿"
+BOM = "\ufeff"
 LOG_COLUMNS = (
     "generation int, best_fitness double, best_test double, best_rule_count int, best_used_rule_count int, "
     "avg_fitness double, avg_test double, avg_rule_count double, avg_used_rule_count double"
@@ -22,10 +22,10 @@ LOG_COLUMNS = (
 
 def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file, line_no, line) from 0, without a byte-order mark or line ends."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", f"^{BOM}", "").alias("v"))
+    text = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", f"^{BOM}", "").alias("v"))
     body = text.select("file", F.regexp_replace("v", r"\r?\n$", "").alias("v"))
     return body.select("file", F.posexplode(F.split("v", r"\r?\n")).alias("line_no", "line"))
 
