@@ -124,9 +124,9 @@ def generation_summary(individuals: DataFrame) -> DataFrame:
     )
 
 
-def footer(results: DataFrame) -> DataFrame:
-    """(n, mae, pearson) of (fitness, prediction)."""
-    return results.agg(
+def footer(results: DataFrame, *by: str) -> DataFrame:
+    """(*by, n, mae, pearson) of (fitness, prediction)."""
+    return results.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg(F.abs(F.col("prediction") - F.col("fitness"))).alias("mae"),
         pearson("prediction", "fitness").alias("pearson"),

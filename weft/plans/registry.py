@@ -229,11 +229,11 @@ def rank_agreement(spark, d):
     return reports.rank_agreement(_indexed(spark, d)).select("model_id", "in_top", r6("mean_error"), r6("rank_correlation"))
 
 
-@query(f"""WITH {T.SQL_HITS} SELECT count(*) AS n, round(avg(abs(score - fitness)), 6) AS mae, round(corr(score, fitness), 6) AS pearson
-FROM preds WHERE model_id = 0""")
+@query(f"""WITH {T.SQL_HITS} SELECT model_id, count(*) AS n, round(avg(abs(score - fitness)), 6) AS mae,
+  round(corr(score, fitness), 6) AS pearson FROM preds GROUP BY 1""")
 def result_footer(spark, d):
-    p = _predictions(spark, d).where("model_id = 0").withColumnRenamed("score", "prediction")
-    return metrics.footer(p).select("n", r6("mae"), r6("pearson"))
+    p = _predictions(spark, d).withColumnRenamed("score", "prediction")
+    return metrics.footer(p, "model_id").select("model_id", "n", r6("mae"), r6("pearson"))
 
 
 @query(f"""WITH {T.SQL_RULES} SELECT model_id, pattern, weight, CAST(row_number() OVER (PARTITION BY model_id
@@ -410,7 +410,6 @@ def insert_unique(spark, d):
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def update_rows(spark, d):
-    o = T.read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     o = T.read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     return crud.update(o, {"o_orderstatus": F.lit("X")}, F.col("o_totalprice") > 100000).drop("o_totalprice")
 
