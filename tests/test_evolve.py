@@ -145,3 +145,12 @@ def test_search(spark):
     assert all(b[k] >= a[k] for k in a) and sum(b.values()) > sum(a.values())
     assert search.novel(seqs.select("sequence"), known.where("sequence = 'KKD'")).count() == 2
     assert [r.cand_id for r in ordering.top_candidates(end, 3).collect()] == [k for k, _ in sorted(b.items(), key=lambda x: (-x[1], x[0]))[:3]]
+
+
+def test_evaluator(pop, spark):
+    seqs = spark.createDataFrame([(f"q{k}", "ACDEFGHIKLMNPQRSTVWY"[k : k + 8], k / 2) for k in range(12)], "seq_id string, sequence string, fitness double")
+    out = evolve.rmse_evaluator(seqs)(pop.select("ind", "rules")).collect()
+    assert len(out) == 20 and all(r.fitness > 0 and r.test > 0 for r in out)
+    assert any(x.status for r in out for x in r.rules)
+    end = evolve.evolve(pop.select("ind", "rules"), evolve.rmse_evaluator(seqs), 1, 20, seed=2)
+    assert end.agg(F.min("fitness")).first()[0] <= min(r.fitness for r in out)

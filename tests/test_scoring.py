@@ -90,3 +90,18 @@ def test_plan_joins_on_grams(data):
     _, _, s, r = data
     plan = scoring.score(s, r)._jdf.queryExecution().optimizedPlan().toString()
     assert "gram" in plan and "Python" not in plan
+
+
+def test_squared_errors_from_hits(data, spark):
+    _, _, s, r = data
+    s = s.where("sequence IS NOT NULL")
+    models = spark.createDataFrame([(0,), (1,), (2,), (9,)], "model_id int")
+    got = {x.model_id: (x.n, x.sse) for x in scoring.squared_errors(s, r, models).collect()}
+    p = scoring.absolute_error(scoring.score(s, r, models), s)
+    want = {x.model_id: (x.n, x.sse) for x in p.groupBy("model_id").agg(F.count("*").alias("n"), F.sum(F.pow("error", F.lit(2))).alias("sse")).collect()}
+    assert got.keys() == want.keys() and all(got[m] == pytest.approx(want[m]) for m in want)
+
+
+def test_first_by_sequence(spark):
+    d = spark.createDataFrame([(2, "A", 5.0), (1, "A", 6.0), (0, "B", None)], "row_idx int, sequence string, fitness double")
+    assert {tuple(x) for x in scoring.first_by_sequence(d).collect()} == {(1, "A", 6.0), (0, "B", None)}

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft import checkpoints
+from weft.operators import metrics, scoring
 from weft.operators.ordering import rank_entrants, sort_rule_array
 
 PRIME = 2_147_483_647
@@ -196,7 +197,7 @@ def mutate(
 def guard_elite(before: DataFrame, after: DataFrame) -> DataFrame:
     """(ind, fitness, rules) of ``after``, but ``before``'s where that was better on the same learn set."""
     b = before.select("ind", F.col("fitness").alias("_f"), F.col("rules").alias("_r"))
-    worse = F.col("_f") < F.col("fitness")
+    worse = F.coalesce(F.col("_f") < F.col("fitness"), F.lit(False))
     return after.join(b, "ind", "left").select(
         "ind",
         F.when(worse, F.col("_f")).otherwise(F.col("fitness")).alias("fitness"),
@@ -221,6 +222,20 @@ def next_generation(
     return mutate(everyone, seed, generation, max_rules, rule_size, low, high, **rates)
 
 
+def rmse_evaluator(sequences: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function from (ind, rules) to (ind, fitness, test, rules): closed-form RMSE on a learn set, statuses set anew."""
+    def evaluate(individuals: DataFrame) -> DataFrame:
+        rules = flatten(individuals).withColumnRenamed("ind", "model_id")
+        models = individuals.select(F.col("ind").alias("model_id"))
+        value = metrics.cv10(scoring.squared_errors(sequences, rules, models))
+        status = scoring.rule_status(sequences, rules).withColumnRenamed("model_id", "ind")
+        marked = nest(status).withColumnRenamed("rules", "_marked")
+        out = individuals.join(value.withColumnRenamed("model_id", "ind"), "ind").join(marked, "ind", "left")
+        return out.select("ind", F.col("train").alias("fitness"), "test", F.coalesce("_marked", "rules").alias("rules"))
+
+    return evaluate
+
+
 def evolve(population: DataFrame, evaluate: Callable[[DataFrame], DataFrame], generations: int, size: int, seed: int, **options) -> DataFrame:
     """(ind, fitness, rules) after a bounded number of generations.
 

@@ -20,7 +20,11 @@ def rmse_cv10(predictions: DataFrame, by: str = "model_id") -> DataFrame:
 
     With t = n // 10: train = sqrt(9 SSE / (10 (n - t))), test = sqrt(SSE / (10 t)); null where n < 10.
     """
-    g = predictions.groupBy(by).agg(F.count("*").alias("n"), _sse().alias("sse"))
+    return cv10(predictions.groupBy(by).agg(F.count("*").alias("n"), _sse().alias("sse")), by)
+
+
+def cv10(g: DataFrame, by: str = "model_id") -> DataFrame:
+    """The same from (model_id, n, sse)."""
     t = F.floor(F.col("n") / 10)
     ok = F.col("n") >= 10
     return g.select(

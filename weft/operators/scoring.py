@@ -142,3 +142,25 @@ def used_rule_count(status: DataFrame) -> DataFrame:
 def drop_unused(status: DataFrame) -> DataFrame:
     """Rules whose status isn't 0."""
     return status.where(F.col("status") != 0)
+
+
+def squared_errors(sequences: DataFrame, rules: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """(model_id, n, sse) over all sequences (seq_id, sequence, fitness), from the hits alone.
+
+    A sequence without a hit adds fitness² for every model, so the pairs of models and sequences are never made.
+    """
+    models = rules.select("model_id").distinct() if models is None else models.select("model_id")
+    per = hits(sequences, rules).groupBy("model_id", "seq_id").agg(F.sum("weight").alias("s"))
+    f = F.col("fitness")
+    delta = per.join(sequences.select("seq_id", "fitness"), "seq_id").groupBy("model_id")
+    delta = delta.agg(F.sum(F.pow(F.col("s") - f, 2) - f * f).alias("d"))
+    all_rows = sequences.agg(F.count("*").alias("n"), F.coalesce(F.sum(f * f), F.lit(0.0)).alias("zero"))
+    out = models.join(delta, "model_id", "left").join(F.broadcast(all_rows))  # one row
+    return out.select("model_id", "n", (F.col("zero") + F.coalesce("d", F.lit(0.0))).alias("sse"))
+
+
+def first_by_sequence(predictions: DataFrame) -> DataFrame:
+    """The first row (by row_idx) of each sequence, for lookups of actual values by sequence."""
+    cols = [c for c in predictions.columns if c != "sequence"]
+    first = F.min_by(F.struct(*cols), "row_idx").alias("r")
+    return predictions.groupBy("sequence").agg(first).select("sequence", "r.*").select(*predictions.columns)

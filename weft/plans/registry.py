@@ -367,6 +367,21 @@ def duplicate_rules(spark, d):
     return evolve.remove_duplicates(T.individuals(spark, d))
 
 
+@query(f"""WITH {T.SQL_SEQUENCES}, {T.SQL_INDIVIDUALS},
+strings AS (SELECT DISTINCT ind, rule_idx, weight, unnest([pattern, reverse(pattern)]) AS gram FROM inds),
+lens AS (SELECT DISTINCT length(gram) AS k FROM strings),
+grams AS (SELECT seq_id, pos, substr(sequence, pos, k) AS gram
+  FROM (SELECT seq_id, sequence, unnest(range(1, length(sequence) + 1)) AS pos FROM seqs) CROSS JOIN lens WHERE pos + k - 1 <= length(sequence)),
+hits AS (SELECT ind, seq_id, pos, arg_min(weight, rule_idx) AS weight FROM grams JOIN strings USING (gram) GROUP BY 1, 2, 3),
+per AS (SELECT ind, seq_id, sum(weight) AS s FROM hits GROUP BY 1, 2),
+g AS (SELECT i.ind, count(*) AS n, sum(power(coalesce(s, 0) - fitness, 2)) AS sse FROM seqs q CROSS JOIN (SELECT DISTINCT ind FROM inds) i
+  LEFT JOIN per p ON p.ind = i.ind AND p.seq_id = q.seq_id GROUP BY 1)
+SELECT ind, round(sqrt(9 * sse / (10 * (n - n // 10))), 6) AS fitness, round(sqrt(sse / (10 * (n // 10))), 6) AS test FROM g""")
+def evaluate_population(spark, d):
+    run = evolve.rmse_evaluator(T.sequences(spark, d))
+    return run(evolve.nest(T.individuals(spark, d))).select("ind", r6("fitness"), r6("test"))
+
+
 @query()
 def trim_rules(spark, d):
     n = evolve.nest(T.individuals(spark, d))
