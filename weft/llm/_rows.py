@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm._ship import ship
+
 NULL_ID = -(2**63)
 
 
@@ -19,6 +21,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyed(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, rh, text, *more): null text becomes empty; all other columns are left behind."""
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
@@ -46,8 +49,14 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return out.select(*left.columns, *([] if how in ("left_semi", "left_anti") else other))
 
 
-def named_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns and the row's name (did, rh), as ``keyed`` gives it."""
+def matching(docs: DataFrame, names: DataFrame, *more: str) -> DataFrame:
+    """Rows of ``docs`` that ``names`` (did, rh) name, with all their columns, and ``more`` columns of names as ``_<column>``.
+
+    The row's name is added and used under names of its own, so columns of any name may stand in ``docs``.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return docs.withColumns({"did": did, "rh": F.xxhash64(text)})
+    d = docs.select("*", did.alias("_row_did"), F.xxhash64(text).alias("_row_rh"))
+    n = names.select(F.col("did").alias("_n_did"), F.col("rh").alias("_n_rh"), *[F.col(c).alias(f"_{c}") for c in more])
+    same = (F.col("_row_did") == F.col("_n_did")) & (F.col("_row_rh") == F.col("_n_rh"))
+    return d.join(n, same, "inner" if more else "left_semi").select(*d.columns, *[f"_{c}" for c in more])

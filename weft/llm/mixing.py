@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm._rows import join_on, keyed, named_rows, real_id
+from weft.llm._rows import join_on, keyed, matching, real_id
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 16
@@ -142,21 +142,17 @@ def mix_sizes(docs: DataFrame, **options) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows with all columns of ``docs``: a document for each pass that takes it whole, and once more
-    with the words of its run, joined by blanks, if the run cuts it; ``n_chars`` is that of the text."""
+    with the words of its run, joined by blanks, if the run cuts it; ``n_chars`` is that of the text.
+    Documents without words aren't taken; repeated rows share one plan."""
     plan = mix_plan(docs, **options).select("did", "rh", "size", "passes", "cut_from", "cut_to")
-    plan = plan.where("passes > 0 OR cut_to > cut_from").dropDuplicates(["did", "rh"])
-    whole = F.col("cut_to") - F.col("cut_from") == F.col("size")
-    times = F.col("passes") + F.when(whole & (F.col("size") > 0), 1).otherwise(0)
-    part = F.when(~whole & (F.col("cut_to") > F.col("cut_from")), 1).otherwise(0)
-    rows = join_on(named_rows(docs), plan, ["did", "rh"])
-    rows = rows.withColumn("_times", times.cast("int")).withColumn("_copies", (times + part).cast("int"))
-    rows = rows.where("_copies > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    words = F.slice(
-        F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
-        (F.col("cut_from") + 1).cast("int"),
-        (F.col("cut_to") - F.col("cut_from")).cast("int"),
-    )
-    text = F.when(F.col("_turn") <= F.col("_times"), F.col("text")).otherwise(F.array_join(words, " "))
-    rows = rows.withColumn("text", text)
+    plan = plan.where("size > 0 AND (passes > 0 OR cut_to > cut_from)").dropDuplicates(["did", "rh"])
+    rows = matching(docs, plan, "size", "passes", "cut_from", "cut_to")
+    cut = F.col("_cut_to") - F.col("_cut_from")
+    whole = (cut == F.col("_size")) & (F.col("_size") > 0)
+    times = (F.col("_passes") + F.when(whole, 1).otherwise(0)).cast("int")
+    copies = times + F.when(~whole & (cut > 0), 1).otherwise(0)
+    rows = rows.withColumn("_times", times).where(copies > 0).withColumn("_turn", F.explode(F.sequence(F.lit(1), copies)))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_cut_from") + 1).cast("int"), cut.cast("int"))
+    rows = rows.withColumn("text", F.when(F.col("_turn") <= F.col("_times"), F.col("text")).otherwise(F.array_join(words, " ")))
     new = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
     return rows.withColumns(new).select(*docs.columns)

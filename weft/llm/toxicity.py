@@ -42,8 +42,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm._sample import bounded
+from weft.llm._ship import ship
 
-TRAIN_ROWS, LEXICON, STEMS, SURE = 20_000, 2_000, (4, 5, 6), 2.0
+TRAIN_ROWS, LEXICON, STEMS, SURE = 20_000, 2_000, (4, 5, 6), 6.0
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 INSULTS = """idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown fool
@@ -256,6 +257,7 @@ def scorer(model: Model):
 
 def learn_from(docs: DataFrame, labels: DataFrame, held_out: Column, bound: int = TRAIN_ROWS) -> Model:
     """Labels are bounded before they meet the texts, so at most about ``bound`` rows are broadcast."""
+    ship(docs.sparkSession)
     y = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out)
     y = y.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     y = bounded(y, y.count(), bound, "doc_id")
