@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm._rows import join_on, keyed, named_rows, real_id
+from weft.llm._rows import join_on, keyed, matching, real_id
 from weft.llm._shared import saved
 
 HEAD, GROWTH = 64, 4
@@ -98,7 +98,7 @@ def equal_texts(base: DataFrame, head: int = HEAD, growth: int = GROWTH) -> Data
     open_ = state.where("more").groupBy(*_ROW, "top_did", "top_rh").agg(F.sum("k").alias("k"))
     open_ = saved(open_)
     if not open_.isEmpty():
-        texts = join_on(base, open_.select(*_ROW), _ROW, "left_semi").dropDuplicates(_ROW)
+        texts = join_on(base, open_.select(*_ROW).hint("merge"), _ROW, "left_semi").dropDuplicates(_ROW)
         runs = saved(texts.mapInArrow(_later_runs(head, growth), "did long, rh long, depth int, run binary, more boolean"))
         depth = 0
         while not open_.isEmpty():
@@ -137,7 +137,6 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
     keep = equal_texts(keyed(docs), **options).where("kept").select(*_ROW).distinct()
-    rows = named_rows(docs)
-    left = join_on(rows, keep, _ROW, "left_semi")
-    turn = F.row_number().over(Window.partitionBy(*_ROW).orderBy("rh"))
-    return left.withColumn("_turn", turn).where("_turn = 1").drop(*_ROW, "_turn")
+    left = matching(docs, keep)
+    turn = F.row_number().over(Window.partitionBy("_row_did", "_row_rh").orderBy("_row_rh"))
+    return left.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
