@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm import _bytes as B
-from weft.llm._rows import join_on, keyed, named_rows, real_id
+from weft.llm._rows import join_on, keyed, matching, real_id
 from weft.llm._shared import saved
 from weft.llm.components import components
 
@@ -158,8 +158,9 @@ def _across(members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int)
     """Pairs (a, b) that may link different components which still share a bucket, by prefix filtering.
 
     With the shingles in one order, rarest first, two sets that agree enough
-    share one of the first n - ceil(n percent / 100) + 1 shingles of either.
-    Shingles that only one set has come first and pair nobody.
+    share one of the first n - ceil(n percent / 100) + 1 shingles of either, and
+    from their first common one on enough are left in both for the overlap they
+    need.  Shingles that only one set has come first and pair nobody.
     """
     m = members.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     ends = m.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
@@ -171,9 +172,11 @@ def _across(members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int)
     s = s.join(common, "s").withColumn("own", F.col("n") - F.count("*").over(by_node))
     s = s.withColumn("r", F.row_number().over(by_node.orderBy("df", "s")))
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    s = saved(s.where((F.col("own") + F.col("r") <= reach) & F.col("mixed")).select("s", "node", "part", "n"))
-    other = s.toDF("s", "node2", "part2", "n2")
-    fits = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("part") < F.col("part2"))
+    after = (F.col("n") - F.col("own") - F.col("r") + 1).alias("after")  # shingles from this one on
+    s = saved(s.where((F.col("own") + F.col("r") <= reach) & F.col("mixed")).select("s", "node", "part", "n", after))
+    other = s.toDF("s", "node2", "part2", "n2", "after2")
+    enough = (100 + percent) * F.least("after", "after2") >= percent * (F.col("n") + F.col("n2"))
+    fits = enough & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("part") < F.col("part2"))
     pairs = s.join(other, "s").where(fits)
     return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
@@ -192,4 +195,4 @@ def near_components(docs: DataFrame, **options) -> DataFrame:
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the rows with its smallest id, with all their columns."""
     keep = near_duplicates(docs, **options).where("did = component").select("did", "rh").distinct()
-    return join_on(named_rows(docs), keep, ["did", "rh"], "left_semi").drop("did", "rh")
+    return matching(docs, keep).select(*docs.columns)
