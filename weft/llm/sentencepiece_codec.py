@@ -14,8 +14,8 @@ What makes a path best depends on the model's type:
   path is extended by the (only) piece that its last piece can stand before.
 
 Blanks and characters that no piece contains bound the pieces of usual models;
-the runs between them are encoded once and remembered, for a bounded number of
-runs.  Characters without a piece become byte pieces.
+so do places between two characters that stand together in no piece.  The runs
+between are encoded once and remembered, for a bounded number of runs.  Characters without a piece become byte pieces.
 
 Edge cases: null and empty texts have no ids and decode to the empty text;
 U+2581 in a text decodes to a blank, as the format has it; every other text
@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._ship import ship
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-MEMO, LONG_RUN = 200_000, 64
+MEMO, LONG_RUN = 400_000, 64
 START, NONE = -1, -2
 
 
@@ -96,6 +98,7 @@ class Codec:
         known = "".join(f"\\U{c:08x}" for c in single)
         apart = not any(BLANK in p.lstrip(BLANK) for p in self.id_of)
         self.runs = re.compile(f"{BLANK}*[{known}]+|{BLANK}+|." if apart else f"[{BLANK}{known}]+|.", re.DOTALL)
+        self.meets = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}  # neighbours within some piece
         self.memo: dict[str, bytes] = {}  # runs met lately, and those before them
         self.older: dict[str, bytes] = {}
         self.trie: dict = {}  # by character; "" holds a piece's id
@@ -188,14 +191,27 @@ class Codec:
     def _run(self, run: str) -> bytes:
         packed = self.older.get(run)
         if packed is None:
-            known = run[0] in self.score
-            packed = array("i", self.viterbi(run) if known else [self.byte_id[b] for b in run.encode()]).tobytes()
+            packed = self._parts(run) if run[0] in self.score else array("i", [self.byte_id[b] for b in run.encode()]).tobytes()
         if len(run) <= LONG_RUN:
             if len(self.memo) >= MEMO:
                 self.older, self.memo = self.memo, {}
             self.memo[run] = packed
         return packed
 
+    def _parts(self, run: str) -> bytes:
+        """The run cut between characters that stand together in no piece; its parts may be known."""
+        meets, out, at = self.meets, [], 0
+        for k in range(1, len(run)):
+            if run[k - 1 : k + 1] not in meets:
+                part = run[at:k]
+                out.append(self.memo.get(part) or self._run(part))
+                at = k
+        if at:
+            part = run[at:]
+            out.append(self.memo.get(part) or self._run(part))
+            return b"".join(out)
+        return array("i", self.viterbi(run)).tobytes()
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
@@ -234,6 +250,7 @@ def _encoded(model: bytes, rows: int = 500):
 
 def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, n_ids, ids, round_trip): round_trip tells that decoding the ids gave the text back."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_encoded(model), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
@@ -247,4 +264,5 @@ def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
             texts = [codec.decode(np.array(x.as_py() or [], np.int32)).decode("utf-8", "replace") for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
+    ship(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
