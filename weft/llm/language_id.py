@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm._sample import bounded
+from weft.llm._ship import ship
 
 PROFILE, GRAMS, TRAIN_ROWS = 300, 3, 20_000
 MEMO, LONG_WORD = 200_000, 64
@@ -38,39 +39,57 @@ UNDETERMINED = "und"
 
 
 class Grams:
-    """Hashes of the n-grams of words, remembered for a bounded number of words."""
+    """Counts n-grams; those of a bounded number of words are remembered, numbered for as long as they are."""
 
     def __init__(self, n: int = GRAMS):
-        self.n, self.known = n, {}
+        self.n = n
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, np.ndarray] = {}
+        self.number: dict[str, int] = {}
+        self.hashes = np.zeros(4096, np.uint64)
 
     def of(self, word: str) -> np.ndarray:
+        """Numbers of the word's n-grams."""
         got = self.known.get(word)
         if got is None:
-            s = f" {word} "
-            got = np.array(
-                [xxhash.xxh64_intdigest(s[i : i + k]) for k in range(1, self.n + 1) for i in range(len(s) - k + 1)],
-                dtype=np.uint64,
-            )
+            s, number, at = f" {word} ", self.number, []
+            for k in range(1, self.n + 1):
+                for i in range(len(s) - k + 1):
+                    gram = s[i : i + k]
+                    x = number.get(gram)
+                    if x is None:
+                        x = number[gram] = len(number)
+                        if x >= len(self.hashes):
+                            self.hashes = np.append(self.hashes, np.zeros_like(self.hashes))
+                        self.hashes[x] = xxhash.xxh64_intdigest(gram)
+                    at.append(x)
+            got = np.array(at, np.int32)
             if len(word) <= LONG_WORD:
-                if len(self.known) >= MEMO:
-                    self.known.clear()
                 self.known[word] = got
         return got
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Distinct n-grams and their counts over all words of the text, or None without a letter."""
+        """Hashes of the n-grams of all words of the text and their counts, or None without a letter."""
         words = Counter(_WORD.findall(text.lower()))
         if not words:
             return None
+        if len(self.known) >= MEMO or len(self.number) >= MEMO:
+            self._clear()
         lists = [self.of(w) for w in words]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(lists)), n)
-        grams, at = np.unique(np.concatenate(lists), return_inverse=True)
-        return grams, np.bincount(at, times).astype(np.int64)
+        times = np.repeat(np.fromiter(words.values(), np.float64, len(lists)), n)
+        count = np.bincount(np.concatenate(lists), times)
+        some = np.flatnonzero(count)
+        return self.hashes[some], count[some].astype(np.int64)
 
 
 def ranked(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The most frequent n-grams in order; equal counts by hash."""
+    if len(counts) > size:
+        often = counts >= np.partition(counts, len(counts) - size)[len(counts) - size]
+        grams, counts = grams[often], counts[often]
     return grams[np.lexsort((grams, -counts))[:size]]
 
 
@@ -105,6 +124,7 @@ def _train_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def learn_profiles(rows: DataFrame, size: int = PROFILE, bound: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Profiles of the languages in labelled rows (doc_id, text, lang)."""
+    ship(rows.sparkSession)
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     rows = bounded(rows, rows.count(), bound, "doc_id", "lang")
     counts = rows.select("lang", "text").mapInArrow(_train_counts, "lang string, gram long, n long")
@@ -154,6 +174,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
                 names=["doc_id", "lang_pred", "score"],
             )
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
