@@ -171,7 +171,8 @@ def _settle(blocks: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     keys = saved(keys.where("phrases > 1 AND singles > 0").select("key", "phrases"))
     tagged = blocks.join(classes, ["key", "whole"])
     full = tagged.where("n > 1").select("did", "rh", "lo", (F.col("hi") + length).alias("end"))
-    one = tagged.where("n > 1 AND did = first").dropDuplicates(["key", "whole"])  # a witness for each phrase
+    # A witness for each phrase; dealt anew, so that the join above may split a phrase with very many occurrences.
+    one = tagged.where("n > 1 AND did = first").repartition("key", "whole").dropDuplicates(["key", "whole"])
     left = tagged.where("n = 1").unionByName(one).join(keys, "key")
     return full, left.withColumn("single", F.col("n") == 1).drop("n", "first", "whole")
 
