@@ -135,12 +135,14 @@ class Codec:
         trie, stays, pieces = self.trie, self.stays.get, self.pieces
         ids: list[int] = []
         base = j = 0  # the committed boundary; the node whose edges are followed, counted from there
-        last, back, total = [START], [0], [0.0]  # each node's last piece, where it begins, the path's score
+        room = min(n, 4 * longest) + longest
+        last, back, total = [START] + [NONE] * room, [0] * (room + 1), [0.0] * (room + 1)
+        # each node's last piece, where it begins, the path's score
         while base + j < n:
-            grow = j + longest + 1 - len(last)
-            last += [NONE] * grow
-            back += [0] * grow
-            total += [0.0] * grow
+            if j + longest >= len(last):
+                last += [NONE] * room
+                back += [0] * room
+                total += [0.0] * room
             before = last[j]
             if before != NONE:
                 node, to = trie, j
@@ -215,8 +217,9 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
+        known, run = self.memo.get, self._run
         runs = self.runs.findall(BLANK + text.replace(" ", BLANK))
-        return np.frombuffer(b"".join([self.memo.get(r) or self._run(r) for r in runs]), np.int32)
+        return np.frombuffer(b"".join([known(r) or run(r) for r in runs]), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         out = b"".join(map(self.text_of.__getitem__, ids.tolist()))
