@@ -38,24 +38,42 @@ from weft.llm._shared import saved
 
 LENGTH, WIDTH, GRAM, GROUP = 400, 200, 16, 256
 STEPS = (16, 1)
-_PHRASE = "did long, rh long, lo int, hi int, at int, key long, whole long"
+_PHRASE = "did long, rh long, lo int, hi int, at int, key long, whole long, times int"
 
 
 def _phrases(length: int, width: int, gram: int):
+    """Phrases of whole texts.  One that occurs several times in a chunk is repeated: its first occurrence stands for
+    ``times``, and what the others cover comes as rows without a key, joined where they meet."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             did, rh = b.column("did").to_numpy(), b.column("rh").to_numpy()
             for c in B.chunks(b.column("text")):
                 p = B.Prefix.of_bytes(c.data)
                 a = B.anchors(p, p.grams(gram), c.off, length, width)
-                base, row = c.off[a.row], a.row + c.first
+                _, first, times = np.unique(B.mix(a.key) ^ a.whole, return_index=True, return_counts=True)
+                more = np.ones(len(a.row), bool)
+                more[first] = False
+                row, lo, hi, at, key, whole = (x[first] for x in a)
+                if more.any():
+                    r, x, y = a.row[more], a.lo[more], a.hi[more]
+                    new = np.ones(len(r), bool)
+                    new[1:] = (r[1:] != r[:-1]) | (x[1:] > y[:-1] + length)
+                    start = np.flatnonzero(new)
+                    y = np.maximum.reduceat(y, start)
+                    row, lo, hi, at = (np.append(u, v) for u, v in ((row, r[start]), (lo, x[start]), (hi, y), (at, x[start])))
+                settled = np.arange(len(row)) >= len(first)
+                pad = np.zeros(len(row) - len(first), np.uint64)
+                base, r = c.off[row], row + c.first
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(did[row]), pa.array(rh[row]),
-                        *(pa.array((x - base).astype(np.int32)) for x in (a.lo, a.hi, a.at)),
-                        pa.array(B.signed(a.key)), pa.array(B.signed(a.whole)),
+                        pa.array(did[r]), pa.array(rh[r]),
+                        *(pa.array((x - base).astype(np.int32)) for x in (lo, hi, at)),
+                        pa.array(B.signed(np.append(key, pad)), mask=settled),
+                        pa.array(B.signed(np.append(whole, pad)), mask=settled),
+                        pa.array(np.append(times, pad.astype(np.int64)).astype(np.int32)),
                     ],
-                    names=["did", "rh", "lo", "hi", "at", "key", "whole"],
+                    names=["did", "rh", "lo", "hi", "at", "key", "whole", "times"],
                 )
 
     return run
@@ -91,9 +109,9 @@ def _cut(length: int, step: int):
                     [
                         pa.array(b.column("did").to_numpy()[row]), pa.array(b.column("rh").to_numpy()[row]),
                         *(pa.array(x.astype(np.int32)) for x in (lo[row], first, last, at[row])),
-                        pa.array(B.signed(key)), pa.array(B.signed(full)),
+                        pa.array(B.signed(key)), pa.array(B.signed(full)), pa.array(np.ones(len(row), np.int32)),
                     ],
-                    names=["did", "rh", "from_lo", "lo", "hi", "at", "key", "whole"],
+                    names=["did", "rh", "from_lo", "lo", "hi", "at", "key", "whole", "times"],
                 )
 
     return run
@@ -166,7 +184,7 @@ def _sorted_repeats(length: int, limit: int = 1 << 18):
 
 def _settle(blocks: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(spans of blocks that occur twice, blocks left open with the number of phrases of their key)."""
-    classes = saved(blocks.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min("did").alias("first")))
+    classes = saved(blocks.groupBy("key", "whole").agg(F.sum("times").alias("n"), F.min("did").alias("first")))
     keys = classes.groupBy("key").agg(F.count("*").alias("phrases"), F.sum((F.col("n") == 1).cast("int")).alias("singles"))
     keys = saved(keys.where("phrases > 1 AND singles > 0").select("key", "phrases"))
     tagged = blocks.join(classes, ["key", "whole"])
@@ -174,7 +192,7 @@ def _settle(blocks: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     # A witness for each phrase; dealt anew, so that the join above may split a phrase with very many occurrences.
     one = tagged.where("n > 1 AND did = first").repartition("key", "whole").dropDuplicates(["key", "whole"])
     left = tagged.where("n = 1").unionByName(one).join(keys, "key")
-    return full, left.withColumn("single", F.col("n") == 1).drop("n", "first", "whole")
+    return full, left.withColumn("single", F.col("n") == 1).drop("n", "first", "whole", "times")
 
 
 def repeated_spans(
@@ -184,10 +202,12 @@ def repeated_spans(
     gram = min(GRAM, length // 4)
     width = min(width, length - gram)
     phrases = saved(base.mapInArrow(_phrases(length, width, gram), _PHRASE))
-    twice = phrases.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    some = saved(phrases.join(saved(twice), "key"))
+    keyed_phrases = phrases.where("key IS NOT NULL")
+    twice = keyed_phrases.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key")
+    some = saved(keyed_phrases.join(saved(twice), "key"))
     full, left = _settle(some, length)
-    spans = [full]
+    inner = phrases.where("key IS NULL").select("did", "rh", "lo", (F.col("hi") + length).alias("end"))
+    spans = [full, inner]
     ctx = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
     open_ = saved(join_on(left, base, ["did", "rh"]).withColumn("ctx", ctx).drop("text"))
     source = open_
