@@ -54,10 +54,11 @@ def hits(sequences: DataFrame, rules: DataFrame) -> DataFrame:
     """(model_id, seq_id, pos, rule_idx, weight, n_rules): the winning rule of each position that any rule matches."""
     strings = match_strings(rules)
     lengths = strings.select(F.length("gram").alias("k")).distinct()
-    matched = kgrams(sequences, lengths).join(strings, "gram")
-    best = F.min_by(F.struct("rule_idx", "weight"), "rule_idx")
-    won = matched.groupBy("model_id", "seq_id", "pos").agg(best.alias("w"), F.count("*").alias("n_rules"))
-    return won.select("model_id", "seq_id", "pos", "w.rule_idx", "w.weight", "n_rules")
+    matched = kgrams(sequences, lengths).join(strings.drop("weight"), "gram")
+    # The least index is a hash aggregate; a struct with the weight would be sorted.
+    won = matched.groupBy("model_id", "seq_id", "pos").agg(F.min("rule_idx").alias("rule_idx"), F.count("*").alias("n_rules"))
+    weights = rules.select("model_id", "rule_idx", "weight")
+    return won.join(weights, ["model_id", "rule_idx"]).select("model_id", "seq_id", "pos", "rule_idx", "weight", "n_rules")
 
 
 def score(sequences: DataFrame, rules: DataFrame, models: DataFrame | None = None, mode: int = SUM) -> DataFrame:
