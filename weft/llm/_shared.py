@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft import checkpoints
+
 _own: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset (as in tests) a temporary folder."""
+    """A folder of this application below ``checkpoints.folder``."""
     app = spark.sparkContext.applicationId
     if app not in _own:
-        at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        at = at or f"file://{tempfile.mkdtemp(prefix='weft-')}"
-        _own[app] = f"{at.rstrip('/')}/weft-{app}-{uuid.uuid4().hex[:8]}"
+        _own[app] = f"{checkpoints.folder(spark)}/weft-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _own[app])
     return _own[app]
 
@@ -31,17 +30,25 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     It cuts the lineage, survives the loss of executors, and leaves both sides of
-    a later join plain exchanges, which Spark can split where a key is hot.
+    a later join plain exchanges, which Spark can split where a key is hot.  The
+    write's shuffle files go with it, and so do the saved tables in ``drop``,
+    which nothing may read any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files that nothing refers to now
-    return spark.read.schema(schema).parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    for old in drop:
+        _remove(spark, old._saved_at)
+    out = spark.read.schema(schema).parquet(path)
+    out._saved_at = path
+    return out

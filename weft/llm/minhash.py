@@ -5,7 +5,9 @@ permutations gives two values, the least and the greatest image of the set;
 either agrees between two sets with the probability of their Jaccard similarity,
 so half the hash evaluations fill a signature.  Bands of ``rows`` values are
 bucket keys; a pair of similarity 0.8 shares none of 24 bands of 4 values with
-probability 3e-6.  Links are confirmed on the full sets.
+probability 3e-6.  Links are confirmed on the full sets, of shingles named by 62
+bits from two bases of a prime field (``_bytes``); sets are the same if two such
+names from different bases agree.
 
 Documents with the same set are one class from the start (copies are never
 expanded).  In each bucket every class is compared with one pivot, the class that
@@ -35,11 +37,12 @@ from weft.llm.components import components
 PERMS, ROWS, SEED = 48, 4, 5
 
 
-def shingle_sets(c: B.Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(c: B.Chunk, k: int, base: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, off): the sorted distinct shingle hashes of each text of the chunk (A-Z lower-cased)."""
     c = c._replace(data=B.LOWER[c.data])
     w = B.words(c)
-    p = B.Prefix(B.word_hashes(c, w))
+    pair = base[: B.PAIR]
+    p = B.Prefix(B.word_symbols(c, w, pair), pair)
     n = w.off[1:] - w.off[:-1]
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     row = np.repeat(np.arange(len(n)), count)
@@ -70,16 +73,21 @@ def band_keys(h: np.ndarray, off: np.ndarray, perms: int, rows: int, seed: int)
     return B.mix(keys + np.arange(keys.shape[1], dtype=np.uint64))
 
 
-def _signatures(k: int, perms: int, rows: int, seed: int):
+def set_names(h: np.ndarray, off: np.ndarray, base: list[int]) -> list[np.ndarray]:
+    """Two hashes of each text's set, from different bases."""
+    p = B.Prefix([B.fold(B.mix(h + np.uint64(j))) for j in range(len(base))], base)
+    return [p.runs(off[:-1], off[1:], pair) for pair in (0, 1)]
+
+
+def _signatures(k: int, perms: int, rows: int, seed: int, base: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             did, rh = b.column("did").to_numpy(), b.column("rh").to_numpy()
             for c in B.chunks(b.column("text")):
-                h, off = shingle_sets(c, k)
+                h, off = shingle_sets(c, k, base)
                 n = off[1:] - off[:-1]
                 some = np.flatnonzero(n)
-                p = B.Prefix(h)
-                node = p.runs(off[:-1], off[1:])
+                node, check = set_names(h, off, base)
                 bands = 2 * perms // rows
                 width = np.where(n > 0, bands, 0)
                 keys = band_keys(h, np.append(off[some], len(h)), perms, rows, seed) if len(some) else np.zeros(0, np.uint64)
@@ -88,19 +96,19 @@ def _signatures(k: int, perms: int, rows: int, seed: int):
                 )
                 at = slice(c.first, c.first + len(n))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(did[at]), pa.array(rh[at]), pa.array(n), pa.array(B.signed(node)), lists],
-                    names=["did", "rh", "n", "node", "bands"],
+                    [pa.array(did[at]), pa.array(rh[at]), pa.array(n), pa.array(B.signed(node)), pa.array(B.signed(check)), lists],
+                    names=["did", "rh", "n", "node", "check", "bands"],
                 )
 
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, base: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node = b.column("node").to_numpy()
             for c in B.chunks(b.column("text")):
-                h, off = shingle_sets(c, k)
+                h, off = shingle_sets(c, k, base)
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(B.signed(h)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[c.first : c.first + len(off) - 1]), lists], names=["node", "shingles"]
@@ -120,17 +128,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common").cast("long") >= percent * union.cast("long")).select("a", "b")
 
 
+def _renamed(rows: DataFrame, twins: DataFrame) -> DataFrame:
+    """Rows whose node is among ``twins`` get one that depends on ``check`` too."""
+    t = rows.join(twins.withColumn("_twin", F.lit(True)), "node", "left")
+    return saved(t.withColumn("node", F.when(F.col("_twin"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("_twin"))
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, perms: int = PERMS, rows: int = ROWS, seed: int = SEED
 ) -> DataFrame:
     """(did, rh, n, component): every row with its set size and its component's smallest did."""
     base = keyed(docs)
-    kind = "did long, rh long, n long, node long, bands array<long>"
-    marked = saved(base.mapInArrow(_signatures(k, perms, rows, seed), kind))
-    nodes = marked.where("n > 0").groupBy("node").agg(
+    base_points = B.bases(B.SEED + seed)
+    kind = "did long, rh long, n long, node long, check long, bands array<long>"
+    marked = saved(base.mapInArrow(_signatures(k, perms, rows, seed, base_points), kind))
+    nodes = marked.where("n > 0").groupBy("node", "check").agg(
         F.min(F.struct("did", "rh")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
-    nodes = saved(nodes.select("node", "rep.did", "rep.rh", "n", "bands"))
+    nodes = saved(nodes.select("node", "check", "rep.did", "rep.rh", "n", "bands"))
+    twins = nodes.groupBy("node").agg(F.count("*").alias("m")).where("m > 1").select("node")
+    if not twins.isEmpty():  # different sets under one name: each gets a new one
+        nodes, marked = (_renamed(t, saved(twins)) for t in (nodes, marked))
     rows_ = nodes.select("node", F.explode("bands").alias("key"))
     buckets = saved(rows_.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     members = saved(rows_.join(buckets, "key"))
@@ -138,7 +156,7 @@ def near_duplicates(
     pivots = members.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
     pivots = saved(pivots)
     some = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "did", "rh")
-    sets = saved(join_on(some, base, ["did", "rh"]).dropDuplicates(["node"]).mapInArrow(_sets(k), "node long, shingles array<long>"))
+    sets = saved(join_on(some, base, ["did", "rh"]).dropDuplicates(["node"]).mapInArrow(_sets(k, base_points), "node long, shingles array<long>"))
     pairs = members.join(pivots, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     links = saved(_confirmed(saved(pairs.distinct()), sets, percent))
     parts = saved(components(links))

@@ -17,6 +17,13 @@ A key with more than ``group`` distinct phrases isn't gathered in one task.  Its
 phrases are cut into shorter blocks of window starts that are settled the same
 way, at last into single windows, whose key is the whole.
 
+Phrases are told apart by 124 bits from four bases of a prime field (``_bytes``),
+neighbours in corpus order by their bytes.
+
+Repeats shorter than ``length`` are kept, but reported: ``shared_samples`` counts
+a document's sampled strings of SAMPLE bytes that another document has too.
+Samples are winnowed, so any SAMPLE + GAP - 1 bytes in common share one.
+
 Edge cases: null is the empty text; a text shorter than ``length`` has no
 window; repeated rows are documents of their own, so they are repeats of each
 other; an empty table gives an empty result.
@@ -38,10 +45,11 @@ from weft.llm._shared import saved
 
 LENGTH, WIDTH, GRAM, GROUP = 400, 200, 16, 256
 STEPS = (16, 1)
+SAMPLE, GAP = 150, 100
 _PHRASE = "did long, rh long, lo int, hi int, at int, key long, whole long, times int"
 
 
-def _phrases(length: int, width: int, gram: int):
+def _phrases(length: int, width: int, gram: int, points: list[int]):
     """Phrases of whole texts.  One that occurs several times in a chunk is repeated: its first occurrence stands for
     ``times``, and what the others cover comes as rows without a key, joined where they meet."""
 
@@ -49,9 +57,9 @@ def _phrases(length: int, width: int, gram: int):
         for b in batches:
             did, rh = b.column("did").to_numpy(), b.column("rh").to_numpy()
             for c in B.chunks(b.column("text")):
-                p = B.Prefix.of_bytes(c.data)
-                a = B.anchors(p, p.grams(gram), c.off, length, width)
-                _, first, times = np.unique(B.mix(a.key) ^ a.whole, return_index=True, return_counts=True)
+                p = B.Prefix.of_bytes(c.data, points)
+                a = B.anchors(p, B.rolling(B.byte_symbols(c.data), gram), c.off, length, width)
+                first, times = _distinct(a.key, a.whole)
                 more = np.ones(len(a.row), bool)
                 more[first] = False
                 row, lo, hi, at, key, whole = (x[first] for x in a)
@@ -79,12 +87,45 @@ def _phrases(length: int, width: int, gram: int):
     return run
 
 
+def _distinct(key: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first of each distinct (key, whole), and how often it occurs."""
+    order = np.lexsort((whole, key))  # stable
+    k, w = key[order], whole[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+    start = np.flatnonzero(new)
+    return order[start], np.diff(np.append(start, len(order)))
+
+
+def _samples(sample: int, gap: int, base: list[int]):
+    """(key, did) of each text's winnowed strings of ``sample`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            did = b.column("did").to_numpy()
+            for c in B.chunks(b.column("text")):
+                p = B.Prefix.of_bytes(c.data, base)
+                a = B.anchors(p, B.rolling(B.byte_symbols(c.data), sample), c.off, sample + gap - 1, gap)
+                d = did[a.row + c.first]
+                first, _ = _distinct(a.key, d)
+                yield pa.RecordBatch.from_arrays([pa.array(B.signed(a.key[first])), pa.array(d[first])], names=["key", "did"])
+
+    return run
+
+
+def shared_samples(base: DataFrame, sample: int = SAMPLE, gap: int = GAP, seed: int = B.SEED) -> DataFrame:
+    """(did, n_shared): how many of a document's samples occur in a document with another id; ids without any are left out."""
+    found = base.mapInArrow(_samples(sample, gap, B.bases(seed)[: B.PAIR]), "key long, did long")
+    both = found.groupBy("key").agg(F.min("did").alias("a"), F.max("did").alias("z")).where("a < z").select("key")
+    return found.join(saved(both), "key").groupBy("did").agg(F.count_distinct("key").alias("n_shared"))
+
+
 def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     c = next(B.chunks(column, 1 << 62))
     return c.data, c.off
 
 
-def _cut(length: int, step: int):
+def _cut(length: int, step: int, base: list[int]):
     """Blocks of at most ``step`` window starts, by distance from the trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +141,10 @@ def _cut(length: int, step: int):
                 shift = off[row] - lo[row]  # from places in the text to places in data
                 first = np.maximum(lo[row], at[row] - q * step - step + 1)
                 last = np.minimum(hi[row], at[row] - q * step)
-                p = B.Prefix.of_bytes(data)
+                p = B.Prefix.of_bytes(data, base)
                 top = at[row] - q * step
                 key = p.runs(top + shift, top - step + 1 + length + shift) ^ B.mix(q.astype(np.uint64) + np.uint64(step))
-                where = ((at[row] - first) * 65536 + (last - first)).astype(np.uint64)
-                full = B.mix(p.runs(first + shift, last + length + shift) + where * B._M2)
+                full = B.placed(p.runs(first + shift, last + length + shift, 1), at[row] - first, last - first)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(b.column("did").to_numpy()[row]), pa.array(b.column("rh").to_numpy()[row]),
@@ -196,12 +236,13 @@ def _settle(blocks: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_spans(
-    base: DataFrame, length: int = LENGTH, width: int = WIDTH, group: int = GROUP, steps: tuple = STEPS
+    base: DataFrame, length: int = LENGTH, width: int = WIDTH, group: int = GROUP, steps: tuple = STEPS, seed: int = B.SEED
 ) -> DataFrame:
     """(did, rh, lo, end): byte spans covered by windows that start elsewhere too, of ``keyed`` documents."""
     gram = min(GRAM, length // 4)
     width = min(width, length - gram)
-    phrases = saved(base.mapInArrow(_phrases(length, width, gram), _PHRASE))
+    points = B.bases(seed)
+    phrases = saved(base.mapInArrow(_phrases(length, width, gram, points), _PHRASE))
     keyed_phrases = phrases.where("key IS NOT NULL")
     twice = keyed_phrases.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key")
     some = saved(keyed_phrases.join(saved(twice), "key"))
@@ -218,7 +259,7 @@ def repeated_spans(
         source = source.where(F.col("phrases") > group)
         if step is None or source.isEmpty():
             break
-        blocks = saved(source.mapInArrow(_cut(length, step), _PHRASE.replace("lo int", "from_lo int, lo int")))
+        blocks = saved(source.mapInArrow(_cut(length, step, points), _PHRASE.replace("lo int", "from_lo int, lo int")))
         full, left = _settle(blocks, length)
         spans.append(full)
         if step == 1:
@@ -259,10 +300,12 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def strip_repeats(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared) for every row."""
     base = keyed(docs)
+    shared = saved(shared_samples(base))
     spans = repeated_spans(base, **options).distinct()
     by_doc = spans.groupBy("did", "rh").agg(F.collect_list(F.struct("lo", "end")).alias("spans"))
     both = join_on(base, by_doc, ["did", "rh"], "left").select("did", "text", "spans")
     out = both.mapInArrow(_strip, "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(real_id("did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = join_on(out, shared, ["did"], "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0)))
+    return out.select(real_id("did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")

@@ -45,7 +45,7 @@ def _tag(rh):
     return rh.bitwiseAND((1 << TAG_BITS) - 1)
 
 
-def _anchors(length: int, width: int, gram: int, places: bool):
+def _anchors(length: int, width: int, gram: int, places: bool, base: list[int]):
     """(key, did), and with ``places`` (whole, loc): loc packs first start, number of further starts and the row's tag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,8 +53,9 @@ def _anchors(length: int, width: int, gram: int, places: bool):
             did, tag = b.column("did").to_numpy(), b.column("tag").to_numpy()
             for c in B.chunks(b.column("text")):
                 w = B.words(c)
-                p = B.Prefix(B.word_hashes(c, w))
-                a = B.anchors(p, p.grams(gram), w.off, length, width)
+                symbols = B.word_symbols(c, w, base)
+                p = B.Prefix(symbols, base)
+                a = B.anchors(p, B.rolling(B.packed(symbols), gram), w.off, length, width)
                 row = a.row + c.first
                 out = {"key": pa.array(B.signed(a.key)), "did": pa.array(did[row])}
                 if places:
@@ -112,18 +113,20 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(
-    base: DataFrame, length: int = LENGTH, width: int = WIDTH, group: int = GROUP, prefixes: tuple = PREFIXES
-) -> DataFrame:
+    base: DataFrame, length: int = LENGTH, width: int = WIDTH, group: int = GROUP, prefixes: tuple = PREFIXES,
+    seed: int = B.SEED,
+) -> DataFrame:
     """(did, tag, lo, n): windows lo .. lo + n - 1 of a row also start in a document with a smaller id.
 
     ``base`` has did, tag and text.
     """
     gram = min(GRAM, length)
     width = max(1, min(width, length - gram + 1, 16))
-    keys = base.mapInArrow(_anchors(length, width, gram, False), "key long, did long")
+    points = B.bases(seed)
+    keys = base.mapInArrow(_anchors(length, width, gram, False, points[: B.PAIR]), "key long, did long")
     keys = keys.groupBy("key").agg(F.min("did").alias("a"), F.max("did").alias("z"))
     keys = saved(keys.where("a < z").select("key"))
-    found = base.mapInArrow(_anchors(length, width, gram, True), "key long, did long, whole long, loc long")
+    found = base.mapInArrow(_anchors(length, width, gram, True, points), "key long, did long, whole long, loc long")
     found = saved(found.join(keys, "key"))
     classes = saved(found.groupBy("key", "whole").agg(F.min("did").alias("first")))
     open_keys = classes.groupBy("key").agg(F.min("first").alias("least"), F.max("first").alias("most"))
