@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -50,29 +51,82 @@ def test_folds(frame):
     assert 800 < bounded(many, 10_000, 1000, "id").count() < 1200
 
 
+def fixed(text, lex=None):
+    return toxicity.probabilities(toxicity.FIXED, lex or toxicity.Lexicon({}), [text])[0]
+
+
 def test_grammar():
     lex = toxicity.Lexicon({"zork*": 4.0})
-    plain = lex.features("a moron walked by")
     assert lex.features("nothing here") == [0.0] * toxicity.FEATURES
-    assert lex.features("you moron")[1] > plain[1]  # target
-    assert lex.features("he is not a moron")[1] < lex.features("he is a moron")[1]  # negation
-    assert lex.features("she said moron")[1] < lex.features("she ate moron")[1]  # reported speech
-    assert lex.features("I will kill you")[4] > 0  # threat
-    assert lex.features("what a zorkling")[1] == 4.0  # stem
-    two = lex.features("you moron. you moron")
-    assert two[0] > lex.features("you moron")[0] and two[1] == lex.features("you moron")[1]
-
-
-def test_composition():
-    parts = toxicity._memory(toxicity.TARGET, 6, 1.5), toxicity._memory(toxicity.NEGATION, 3, 0.4)
-    both = toxicity.compose(*parts)
-    rng = random.Random(2)
-    for _ in range(50):
-        state, apart = 0, [0, 0]
-        for c in (rng.randrange(6) for _ in range(20)):
-            assert both.factor[state, c] == pytest.approx(np.prod([p.factor[s, c] for p, s in zip(parts, apart, strict=True)]))
-            state = both.next[state, c]
-            apart = [p.next[s, c] for p, s in zip(parts, apart, strict=True)]
+    assert fixed("you moron") > fixed("a moron walked by")  # target
+    assert fixed("he is not a moron") < fixed("he is a moron")  # negation
+    assert fixed('she said "moron"') < fixed("she ate moron")  # reported speech
+    assert fixed("I will kill you") > 0.5 > fixed("kill the process")  # a threat needs its target
+    assert fixed("I will not kill you") < 0.5
+    assert [a for c in lex.clauses("what a zorkling") for a, _ in c] == [toxicity.arc(toxicity.BARE, 0, 0)]
+    assert [a for c in lex.clauses("you are not a moron") for a, _ in c] == [toxicity.arc(toxicity.AIMED, 1, 0)]
+    assert fixed("you moron. you moron") > fixed("you moron. he left")
+    for w in ("worth", "path", "pathway", "idiom", "trashes"):
+        assert toxicity.Lexicon({}).of(w)[0] == toxicity.OTHER
+
+
+def clauses_by_rule(lex, text):
+    """Matches of each clause, straight from the rules in the docstring."""
+    out = []
+    for clause in re.split(r"[.!?;,\n|]", (text or "").lower()):
+        kinds = [lex.of(w) for w in re.findall(r"[^\W\d_]+", clause)]
+        c = [k for k, _ in kinds]
+        near = lambda k, at, span: int(k in c[max(0, at - span) : at])  # noqa: E731, B023
+        found = []
+        for i, (k, w) in enumerate(kinds):
+            if k == toxicity.INSULT:
+                found.append((near(toxicity.TARGET, i, 6), near(toxicity.NEGATION, i, 3), near(toxicity.REPORT, i, 8), w))
+            if k == toxicity.THREAT:
+                at = next((j for j in range(i + 1, min(i + 4, len(c))) if c[j] in (toxicity.TARGET, toxicity.THREAT)), None)
+                aimed = at is not None and c[at] == toxicity.TARGET
+                at = min(i + 3, len(c)) if at is None else at
+                found.append((3 if aimed else 2, near(toxicity.NEGATION, at, 3), near(toxicity.REPORT, at, 8), w))
+        if kinds:
+            out.append(sorted((toxicity.arc(*x[:3]), x[3]) for x in found))
+    return out
+
+
+def test_machine_follows_the_rules():
+    lex, rng = toxicity.Lexicon({"zork*": 4.0}), random.Random(2)
+    pool = ["you", "moron", "kill", "not", "said", "zorkling", "tree", "walks", "blue", "and"]
+    for _ in range(400):
+        text = "".join(rng.choice(pool) + rng.choice([" "] * 9 + [". ", ", ", "\n"]) for _ in range(rng.randint(1, 40)))
+        want = clauses_by_rule(lex, text)
+        if not any(want):
+            assert not any(lex.features(text)[: toxicity.ARCS])
+            continue
+        assert [sorted(c) for c in lex.clauses(text)] == want
+        sums = [0.0] * toxicity.ARCS
+        for a, w in (m for c in want for m in c):
+            sums[a] += w
+        firm = sum(any(a in (0, 4, 12) for a, _ in c) for c in want)
+        assert lex.features(text) == pytest.approx([*np.log1p(sums), firm / len(want)])
+
+
+def test_grammar_decides_where_words_can_not():
+    """The same words in toxic and clean clauses: without targets, negations and reports the classes can't be told apart."""
+    lex, rng, nothing = toxicity.Lexicon({}), random.Random(6), toxicity.memory(toxicity.TARGET, 0)
+    off = toxicity.compose(toxicity.insult(), toxicity.threat(3), nothing, nothing, nothing)
+    toxic = ["you are a {}", "everyone knows you {}", "I will kill you", "we hurt them", "you {} go away"]
+    clean = ["you are not a {}", 'the judge said "{}"', "she wrote that he called it {}", "kill the process", "never hurt you", "a {} in the play"]
+    texts, y = [], []
+    for k in range(400):
+        s = rng.choice(toxic if k % 2 else clean).format(rng.choice(["moron", "loser", "clown", "idiot"]))
+        texts.append(f"some words before. {s}. and some words after")
+        y.append(k % 2)
+    y = np.array(y)
+
+    def accuracy(machine):
+        x = np.array([lex.features(t, machine) for t in texts])
+        w = toxicity._fit(x[:300], y[:300])
+        return np.mean((w[0] + x[300:] @ w[1:] >= 0) == y[300:])
+
+    assert accuracy(toxicity.GRAMMAR) > 0.95 > 0.8 > accuracy(off)
 
 
 def test_toxicity(spark, frame):
@@ -82,7 +136,7 @@ def test_toxicity(spark, frame):
         toxic = k % 8 == 0
         text = words("aa", rng, 50)
         if toxic:
-            text += " you " + rng.choice(["zorkish", "zorkung", "moron"]) + " " + words("aa", rng, 5) + " zorkal"
+            text += " you " + rng.choice(["zorkish", "zorkung", "zorkal", "moron"]) + " " + words("aa", rng, 5)
         rows.append([k, text, "en", "s"])
         labels.append((k, 1, int(toxic)))
     odd = [[900, None, "en", "s"], [901, "", "en", "s"], [902, words("aa", rng, 20_000), "en", "s"]]
@@ -91,6 +145,10 @@ def test_toxicity(spark, frame):
     got = {r.doc_id: r for r in out}
     assert len(out) == 403 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     assert sum(got[k].predicted == t for k, _, t in labels) >= 396
+    model = toxicity.learn_from(frame(rows), y, held_out("doc_id", 5, 0))
+    assert "zork*" in model.learned and "moro*" not in model.learned  # a stem needs more than one word
+    want = toxicity.probabilities(model, toxicity.Lexicon(model.learned), [t for _, t, *_ in rows])
+    assert [got[r[0]].score for r in rows] == pytest.approx(list(want))
     assert got[900].score == got[901].score < 0.5 and got[902].predicted == 0
     none = toxicity.score_documents(frame(odd), y.limit(0), held_out("doc_id", 5, 0)).collect()
     assert {r.predicted for r in none} == {0}

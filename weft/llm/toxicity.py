@@ -2,24 +2,31 @@
 
 A text is a sequence of clauses (ended by punctuation or a line end) of words,
 and each word has a class: insult, threat, target, negation, reported speech or
-other.  Small weighted transducers read the classes:
-
-* target: an insult or threat near a word for a person weighs more;
-* negation: within a few words after a negation it weighs less;
-* reported speech: after a verb of saying it weighs less;
-* insult and threat: emit the weight of the word that was matched.
-
-They are composed into one machine (``compose``) that a clause is run through;
-the weights of its matches, times the factors of the states, make its score.  A
-text's features are the sum and the greatest of its clause scores, how many
-clauses matched, the matched insults and threats, and their density; a logistic
-regression turns them into a score from 0 to 1.
+other.  Five small transducers read the classes of a clause:
+
+* insult: an insult is aimed if a word for a person stands within six words
+  before it, else bare;
+* threat: a threatening verb waits for a target among the next three words; it is
+  aimed once the target comes, bare if the wait or the clause ends without one;
+* target: remembers the last word for a person;
+* negation: remembers a negation for three words;
+* reported speech: remembers a verb of saying for eight words.
+
+They are composed into one machine (``compose``) whose arcs emit matches: bare or
+aimed, insult or threat, negated or not, reported or not, ``ARCS`` kinds in all.
+A clause's match carries the weight of its word.  A text's features are, for each
+kind of arc, the logarithm of the matched weight, and the share of its clauses
+with a ``FIRM`` match (neither negated, reported nor a bare threat); a logistic regression over them gives the score from 0 to 1: what is
+learned is a weight for each composed arc, never one for a bare word.  The regression is drawn towards the grammar's
+own weights (``PRIOR``), which stand where the labels say nothing of an arc.
 
 The vocabularies start from short lists of four languages.  From at most about
 ``TRAIN_ROWS`` labelled rows (a documented bound, chosen by hash) words and word
 stems of 4 to 6 letters are added as insults if their association with the label
 is beyond chance for the number of terms tried (likelihood ratio), with their
-log odds as weight; the same rows fit the regression.
+log odds as weight.  A stem must hold without the commonest word that has it, so
+one word never stands for all that begin alike.  All terms that pass are taken;
+their number is bounded by the sample.
 
 Edge cases: null and empty texts have no match and get the score of a text
 without any; without labelled rows of both kinds the score comes from fixed
@@ -44,7 +51,7 @@ from pyspark.sql import functions as F
 from weft.llm._sample import bounded
 from weft.llm._ship import ship
 
-TRAIN_ROWS, LEXICON, STEMS, SURE = 20_000, 2_000, (4, 5, 6), 6.0
+TRAIN_ROWS, STEMS, SURE = 20_000, (4, 5, 6), 6.0
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 INSULTS = """idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown fool
@@ -59,47 +66,97 @@ NEGATIONS = "not no never nobody neither nor isn aren wasn don doesn didn won nu
 REPORTS = """said says say told tells called calls wrote writes claimed claims quoted quote according dijo dice llamó
 escribió según dit disait appelé écrit selon sagte sagt nannte schrieb laut""".split()
 
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n\"|]")
-_END = frozenset(".!?;:,\n\"|")
+_TOKEN = re.compile(r"[^\W\d_]+|[.!?;,\n|]")
+_END = frozenset(".!?;,\n|")
+
+#: Kinds of arcs: 4 matches, each plain, negated, reported, or both.
+BARE, AIMED, THREAT_BARE, THREAT_AIMED = range(4)
+ARCS = 16
+
+
+def arc(match: int, negated: int, reported: int) -> int:
+    return match * 4 + negated * 2 + reported
 
 
 class Transducer(NamedTuple):
-    """Next state and factor for (state, class); state 0 is the start."""
+    """For (state, class) the next state and an output; ``last`` is a state's output where the clause ends; state 0 is the start."""
 
     next: np.ndarray
-    factor: np.ndarray
+    out: np.ndarray
+    last: np.ndarray
 
 
-def _memory(trigger: int, span: int, inside: float) -> Transducer:
-    """Factor ``inside`` for up to ``span`` words after a trigger word."""
-    n = span + 1
-    nxt = np.maximum(np.arange(n)[:, None] - 1, 0).repeat(6, axis=1)
+NONE = -1
+
+
+def memory(trigger: int, span: int) -> Transducer:
+    """Outputs 1 for up to ``span`` words after a trigger word, else 0."""
+    nxt = np.maximum(np.arange(span + 1)[:, None] - 1, 0).repeat(6, axis=1)
     nxt[:, trigger] = span
-    factor = np.ones((n, 6))
-    factor[1:, (INSULT, THREAT)] = inside
-    return Transducer(nxt, factor)
+    on = (np.arange(span + 1) > 0).astype(int)
+    return Transducer(nxt, on[:, None].repeat(6, axis=1), on)
+
 
+def insult() -> Transducer:
+    """Outputs BARE at each insult; whether it is aimed is the target's to say."""
+    out = np.full((1, 6), NONE)
+    out[0, INSULT] = BARE
+    return Transducer(np.zeros((1, 6), int), out, np.full(1, NONE))
 
-def compose(*parts: Transducer) -> Transducer:
-    """The machine of all parts at once: states are tuples, factors multiply."""
-    seen, order = {(0,) * len(parts): 0}, [(0,) * len(parts)]
-    nxt, factor = [], []
+
+def threat(span: int) -> Transducer:
+    """Waits ``span`` words for a target: THREAT_AIMED there, THREAT_BARE where the wait, the clause or another threat ends it."""
+    n = span + 1
+    nxt = np.maximum(np.arange(n)[:, None] - 1, 0).repeat(6, axis=1)
+    nxt[:, THREAT], nxt[:, TARGET] = span, 0
+    out = np.full((n, 6), NONE)
+    out[1, :] = THREAT_BARE
+    out[1:, THREAT] = THREAT_BARE
+    out[1:, TARGET] = THREAT_AIMED
+    last = np.full(n, NONE)
+    last[1:] = THREAT_BARE
+    return Transducer(nxt, out, last)
+
+
+class Machine(NamedTuple):
+    next: list[list[int]]
+    insult: list[list[int]]  # arc that an insult emits, or NONE
+    threat: list[list[int]]  # arc that a threat emits, or NONE
+    last: list[int]
+
+
+def compose(insults: Transducer, threats: Transducer, target: Transducer, negation: Transducer, report: Transducer) -> Machine:
+    """The machine of all five at once: its states are tuples, its arcs carry their outputs together."""
+    parts = (insults, threats, target, negation, report)
+    seen, order = {(0,) * 5: 0}, [(0,) * 5]
+    m = Machine([], [], [], [])
     for state in order:
-        row, weight = [], []
+        row, hit, menace = [], [], []
         for c in range(6):
             to = tuple(int(p.next[s, c]) for p, s in zip(parts, state, strict=True))
             if to not in seen:
                 seen[to] = len(order)
                 order.append(to)
             row.append(seen[to])
-            weight.append(math.prod(float(p.factor[s, c]) for p, s in zip(parts, state, strict=True)))
-        nxt.append(row)
-        factor.append(weight)
-    return Transducer(np.array(nxt), np.array(factor))
-
-
-GRAMMAR = compose(_memory(TARGET, 6, 1.5), _memory(NEGATION, 3, 0.4), _memory(REPORT, 8, 0.6))
-FEATURES = 6
+            i, t, aim, neg, rep = (int(p.out[s, c]) for p, s in zip(parts, state, strict=True))
+            hit.append(NONE if i == NONE else arc(AIMED if aim else BARE, neg, rep))
+            menace.append(NONE if t == NONE else arc(t, neg, rep))
+        m.next.append(row)
+        m.insult.append(hit)
+        m.threat.append(menace)
+        t, neg, rep = (int(p.last[s]) for p, s in zip((threats, negation, report), (state[1], state[3], state[4]), strict=True))
+        m.last.append(NONE if t == NONE else arc(t, neg, rep))
+    return m
+
+
+GRAMMAR = compose(insult(), threat(3), memory(TARGET, 6), memory(NEGATION, 3), memory(REPORT, 8))
+#: The grammar's weights of arcs, before anything is learned: by match, negated and reported.
+PRIOR = [3.0 * match * neg * rep for match in (0.6, 1.0, 0.1, 1.0) for neg in (1.0, 0.1) for rep in (1.0, 0.2)]
+BIAS = -3.0
+SHARE = 1.0
+FIRM = frozenset(arc(m, 0, 0) for m in (BARE, AIMED, THREAT_AIMED))
+FEATURES = ARCS + 1
+NAMES = [f"x{i}" for i in range(FEATURES)]
 
 
 class Lexicon:
@@ -108,10 +165,13 @@ class Lexicon:
     def __init__(self, learned: dict[str, float]):
         self.words: dict[str, tuple[int, float]] = {w: (INSULT, 2.0) for w in INSULTS}
         for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
-            self.words |= {w: (kind, 1.0) for w in words}
+            self.words |= {w: (kind, 2.0) for w in words}
         self.stems: dict[str, tuple[int, float]] = {}
         for term, weight in learned.items():
-            (self.stems if term.endswith("*") else self.words)[term.rstrip("*")] = (INSULT, weight)
+            if term.endswith("*"):
+                self.stems[term[:-1]] = (INSULT, weight)
+            elif self.words.get(term, (INSULT, 0.0))[0] == INSULT:
+                self.words[term] = (INSULT, weight)
         self.memo: dict[str, tuple[int, float]] = {}
 
     def of(self, word: str) -> tuple[int, float]:
@@ -130,29 +190,40 @@ class Lexicon:
                 self.memo[word] = got
         return got
 
-    def features(self, text: str | None) -> list[float]:
+    def clauses(self, text: str | None, machine: Machine = GRAMMAR) -> list[list[tuple[int, float]]]:
+        """The matches (arc, weight) of each clause that has words; [] for a text without an insult or threat."""
         tokens = _TOKEN.findall((text or "").lower())
-        of = self.of
+        of, found, all_ = self.of, [], []
         kinds = [None if t in _END else of(t) for t in tokens]
         if not any(k is not None and k[0] in (INSULT, THREAT) for k in kinds):
-            return [0.0] * FEATURES
-        nxt, factor = GRAMMAR.next.tolist(), GRAMMAR.factor.tolist()
-        total = best = score = 0.0
-        clauses = insults = threats = words = state = 0
+            return all_
+        nxt, hit, menace, last = machine
+        state, held, words = 0, 0.0, 0
         for k in [*kinds, None]:
             if k is None:
-                if score > 0:
-                    total, best, clauses = total + score, max(best, score), clauses + 1
-                score, state = 0.0, 0
+                if last[state] != NONE:
+                    found.append((last[state], held))
+                if words:
+                    all_.append(found)
+                state, words, found = 0, 0, []
                 continue
             words += 1
             c, w = k
-            if c == INSULT or c == THREAT:
-                score += w * factor[state][c]
-                insults += c == INSULT
-                threats += c == THREAT
+            if menace[state][c] != NONE:
+                found.append((menace[state][c], held))
+            if hit[state][c] != NONE:
+                found.append((hit[state][c], w))
+            if c == THREAT:
+                held = w
             state = nxt[state][c]
-        return [math.log1p(total), best, math.log1p(clauses), math.log1p(insults), math.log1p(threats), insults / words]
+        return all_
+
+    def features(self, text: str | None, machine: Machine = GRAMMAR) -> list[float]:
+        sums = [0.0] * ARCS
+        clauses = self.clauses(text, machine)
+        for a, w in (m for c in clauses for m in c):
+            sums[a] += w
+        return [*(math.log1p(x) for x in sums), sum(any(a in FIRM for a, _ in c) for c in clauses) / max(len(clauses), 1)]
 
 
 def _terms(text: str | None) -> set[str]:
@@ -182,14 +253,23 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (bias first) of a ridge-penalised logistic regression, by Newton's method."""
+    """Weights (bias first) of a logistic regression drawn towards the grammar's own, by Newton's method with halved steps."""
     a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(a.shape[1])
-    penalty = np.diag([1e-6, *[ridge] * x.shape[1]])
-    for _ in range(30):
+    prior = np.array([BIAS, *PRIOR, SHARE])
+    penalty = np.array([1e-6, *[ridge] * x.shape[1]])
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(penalty * (w - prior) ** 2))
+
+    w = prior.copy()
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (p - y) + penalty @ w)
-        w -= step
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (p - y) + penalty * (w - prior))
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
         if np.abs(step).max() < 1e-8:
             break
     return w
@@ -201,19 +281,19 @@ class Model(NamedTuple):
 
 
 #: Used where there is nothing to learn from.
-FIXED = Model({}, [-3.0, 2.0, 0.5, 0.5, 0.5, 0.5, 1.0])
+FIXED = Model({}, [BIAS, *PRIOR, SHARE])
 
 
-def learn(rows: DataFrame, bound: int = TRAIN_ROWS, lexicon: int = LEXICON) -> Model:
-    """A model from labelled rows (doc_id, text, toxic 0/1)."""
-    n = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    if not n["t"] or n["t"] == n["n"]:
-        return FIXED
-    rows = bounded(rows, n["n"], bound, "doc_id").select("text", "toxic")
+def _learned_terms(rows: DataFrame, n: int, toxic: int) -> dict[str, float]:
+    """Words and stems* that go with the label, with their log odds."""
     counts = rows.mapInArrow(_term_counts, "term string, clean long, toxic long")
     counts = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).cache()
-    size = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    t, z = max(size["t"] or 0, 1), max(size["n"] - (size["t"] or 0), 1)
+    words = counts.where("NOT endswith(term, '*') AND toxic > 0")
+    stems = F.array(*[F.when(F.length("term") >= k, F.concat(F.substring("term", 1, k), F.lit("*"))) for k in STEMS])
+    top = words.select(F.explode(F.array_compact(stems)).alias("term"), F.col("toxic").alias("top"))
+    top = top.groupBy("term").agg(F.max("top").alias("top"))
+    terms = counts.join(top, "term", "left").withColumn("toxic", F.col("toxic") - F.coalesce("top", F.lit(0)))
+    t, z = max(toxic, 1), max(n - toxic, 1)
     k, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
     share = (k + c) / (t + z)
 
@@ -223,23 +303,37 @@ def learn(rows: DataFrame, bound: int = TRAIN_ROWS, lexicon: int = LEXICON) -> M
     ratio = 2 * (part(k, share * t) + part(c, share * z))
     odds = F.log((k + 0.5) / (t - k + 0.5)) - F.log((c + 0.5) / (z - c + 0.5))
     floor = 2 * math.log(max(counts.count(), 2)) + SURE
-    known = counts.select("term", odds.alias("odds"), ratio.alias("ratio")).where((F.col("ratio") >= floor) & (F.col("odds") > 3))
-    learned = {r["term"]: float(r["odds"]) for r in known.orderBy(F.desc("ratio"), "term").limit(lexicon).collect()}
+    known = terms.select("term", odds.alias("odds"), ratio.alias("ratio")).where((F.col("ratio") >= floor) & (F.col("odds") > 3))
+    learned = {r["term"]: float(r["odds"]) for r in known.orderBy("term").collect()}  # bounded by the sample
     counts.unpersist()
+    return learned
+
+
+def learn(rows: DataFrame, bound: int = TRAIN_ROWS) -> Model:
+    """A model from labelled rows (doc_id, text, toxic 0/1)."""
+    n = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    if not n["t"] or n["t"] == n["n"]:
+        return FIXED
+    rows = bounded(rows, n["n"], bound, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies count once
+    size = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    learned = _learned_terms(rows, size["n"], size["t"] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(learned)
         for b in batches:
             got = np.array([lex.features(x.as_py()) for x in b.column("text")]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(got[:, i]) for i in range(FEATURES)), b.column("toxic")],
-                names=[*(f"x{i}" for i in range(FEATURES)), "toxic"],
-            )
+            yield pa.RecordBatch.from_arrays([*(pa.array(got[:, i]) for i in range(FEATURES)), b.column("toxic")], names=[*NAMES, "toxic"])
 
-    kind = ", ".join(f"x{i} double" for i in range(FEATURES))
+    kind = ", ".join(f"{x} double" for x in NAMES)
     fit = rows.mapInArrow(run, f"{kind}, toxic int").toPandas()  # bounded rows of a few numbers
     fit = fit.sort_values(list(fit.columns))
-    return Model(learned, _fit(fit.iloc[:, :FEATURES].to_numpy(), fit["toxic"].to_numpy()).tolist())
+    return Model(learned, _fit(fit[NAMES].to_numpy(), fit["toxic"].to_numpy()).tolist())
+
+
+def probabilities(model: Model, lex: Lexicon, texts) -> np.ndarray:
+    x = np.array([lex.features(t) for t in texts]).reshape(-1, FEATURES)
+    w = np.array(model.weights)
+    return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
 
 
 def scorer(model: Model):
@@ -247,10 +341,9 @@ def scorer(model: Model):
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lex, w = Lexicon(model.learned), np.array(model.weights)
+        lex = Lexicon(model.learned)
         for texts in parts:
-            x = np.array([lex.features(t) for t in texts]).reshape(-1, FEATURES)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))
+            yield pd.Series(probabilities(model, lex, texts))
 
     return score
 
