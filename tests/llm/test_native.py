@@ -1,6 +1,7 @@
 """Fingerprints, mixing and sharding against plain Python."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -31,6 +32,42 @@ def test_compare_with_next(docs, rows):
     assert {len(v) for v in by_text.values()} == {1} and len(set.union(*by_text.values())) == len(by_text)
 
 
+def parse(fingerprint):
+    """(root, [(section node, [(paragraph node, pieces)])])."""
+    root, below = fingerprint.split(":")
+    sections = [x.split("=") for x in below.split("/")]
+    return root, [(node, [(p.split(".")[0], [x for x in p.split(".")[1].split(",") if x]) for p in ps.split(";")]) for node, ps in sections]
+
+
+def test_merkle_nodes(docs, rows):
+    """Each node from what it stands on, up to the root."""
+    node = lambda b: hashlib.sha256(b).hexdigest()[:32]
+    text = {i: t or "" for i, t, *_ in rows}
+    for r in fingerprints.fingerprints(docs).collect():
+        root, sections = parse(r.fingerprint)
+        cut = [re.split(r"(?<=\n)(?!\n)", s) for s in re.split(r"(?<=\n\n)(?!\n)", text[r.doc_id])]
+        assert [[node(p.encode()) for p in s] for s in cut] == [[n for n, _ in ps] for _, ps in sections]
+        assert [node("".join(n for n, _ in ps).encode()) for _, ps in sections] == [n for n, _ in sections]
+        assert root == hashlib.sha256("".join(n for n, _ in sections).encode()).hexdigest()
+
+
+def test_likeness_is_read_from_fingerprints(docs, rows):
+    out = fingerprints.compare_with_next(docs).collect()
+    ids = sorted({i for i, *_ in rows}, key=sort_key)
+    first = {r.doc_id: r.fingerprint for r in out}
+
+    def likeness(a, b):
+        if a.split(":")[0] == b.split(":")[0]:
+            return 1.0
+        x, y = ({q for _, ps in parse(f)[1] for _, pieces in ps for q in pieces} for f in (a, b))
+        n = len(x) + len(y)
+        return min(2 * len(x & y) / n if n else 0.0, 1 - 1 / (n + 2))
+
+    for r in out:
+        assert r.near_edited == pytest.approx(likeness(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(likeness(r.fingerprint, first[ids[(ids.index(r.doc_id) + 1) % len(ids)]]))
+
+
 def test_single_and_sparse_ids(frame):
     one = fingerprints.compare_with_next(frame([[5, "abcd", "en", "s"]])).collect()
     assert [(r.near_next, r.near_edited < 1) for r in one] == [(1.0, True)]
@@ -43,7 +80,7 @@ def test_differing_branches(spark):
     a = "One. Two.\nThree here.\n\nNext section.\nLast line."
     b = a.replace("Three", "Tree")
     d = spark.createDataFrame([(a, b), (a, a), (a, a + "\nmore")], "a string, b string")
-    fp = lambda c: fingerprints.written(F.col(c), fingerprints.tree(F.col(c)))
+    fp = lambda c: fingerprints.written(fingerprints.tree(F.col(c)))
     d = d.select(fp("a").alias("a"), fp("b").alias("b"))
     got = [[tuple(x) for x in r[0]] for r in d.select(fingerprints.differing_branches("a", "b")).collect()]
     assert got[0] == [(0, 1)] and got[1] == [] and got[2] == [(1, 1), (1, 2)]
@@ -94,10 +131,37 @@ def test_mixed_rows(docs, rows):
     for r in out.collect():
         words[r.doc_id] += len(WORD.findall(r.text))
         assert r.n_chars == len(r.text)
-    repeated = {i for i, n in Counter(i for i, *_ in rows).items() if n > 1}
-    for i in plan:
-        if i not in repeated:
-            assert words[i] == plan[i]
+    total = Counter()
+    for r in mixing.mix_sizes(docs).collect():
+        total[r.doc_id] += r.taken
+    assert plan and {i: n for i, n in words.items() if n} == {i: n for i, n in total.items() if n}
+
+
+def test_repeated_rows_are_mixed_alike(frame):
+    """Equal rows of which a run takes some: each rerun gives the same rows, and what the plan takes."""
+    rows = [[7, "one two three four five six seven eight nine ten " * 12, "en", "a"]] * 6 + [[9, "x y z " * 9, "en", "a"]]
+    rows += [[11, "p q r s " * 200, "en", "b"]]
+    bags = [Counter((r.doc_id, r.text) for r in mixing.mix(frame(rows).repartition(n)).collect()) for n in (1, 5)]
+    assert bags[0] == bags[1]
+    taken = Counter()
+    for r in mixing.mix_sizes(frame(rows)).collect():
+        taken[r.doc_id] += r.taken
+    assert Counter({i: sum(len(WORD.findall(t)) * n for (j, t), n in bags[0].items() if j == i) for i in taken}) == taken
+
+
+def test_shards_in_levels(docs, rows, monkeypatch):
+    """Many small shards through groups of three: sources still get their words, and nobody over twice its size."""
+    monkeypatch.setattr(mixing, "FAN", 3)
+    monkeypatch.setattr(mixing, "MIN_SHARD_WORDS", 300)
+    out = mixing.mix_sizes(docs).collect()
+    taken, want = Counter(), {}
+    for r in out:
+        assert 0 <= r.taken <= 2 * r["size"]
+        s = next(x[3] for x in rows if x[0] == r.doc_id)
+        taken[s] += r.taken
+        want[s] = r.target
+    assert len(out) == len(rows)
+    assert all(abs(taken[s] - want[s]) <= 0.05 * want[s] + 20 * mixing.BLOCK for s in want)
 
 
 def test_sainte_lague(spark):

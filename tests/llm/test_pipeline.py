@@ -47,3 +47,22 @@ def test_stages(spark, frame, rows, tmp_path):
     want = Counter((i, tuple(codec.encode(t).tolist())) for i, t, *_ in mixed)
     assert Counter((r.doc_id, tuple(r.ids)) for r in seen["encoding"].collect()) == want
     assert Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_empty_and_odd_tables(spark, frame, tmp_path):
+    """An empty table stays empty; null ids, null and empty texts, repeated rows and null sources pass or go as stated."""
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    y = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    long, some = "a null id " * 40, "some words " * 90
+    odd = [[None, long, "en", "s"], [None, long, "en", "s"], [5, None, None, None], [6, "", "en", "s"], [7, some, None, None]]
+    for name, rows in (("none", []), ("odd", odd)):
+        at = f"{tmp_path}/{name}"
+        frame(rows).select(*cols).write.parquet(f"{at}/documents.parquet")
+        y.write.parquet(f"{at}/labels.parquet")
+        got = {r.doc_id for r in corpus_pipeline.run(spark, at).collect()}
+        assert got == ({None, 7} if rows else set())  # documents without words are never taken
+    docs = frame(odd).select(*cols)
+    at = f"{tmp_path}/odd"
+    count = lambda k: corpus_pipeline.STAGES[k][1](spark, docs, at).count()
+    assert [count(k) for k in range(3)] == [5, 3, 5]
+    assert sorted(r.n_ids for r in corpus_pipeline.STAGES[4][1](spark, docs, at).collect())[:2] == [0, 0]

@@ -1,7 +1,7 @@
 """Shared conventions for document tables.
 
 ``did`` is ``doc_id`` with null mapped to the smallest long, so that joins and
-orders are total; ``rh`` hashes the row's text.  ``(did, rh)`` names a row: rows
+orders are total, and a doc_id of -2^63 counts as null; ``rh`` hashes the row's text.  ``(did, rh)`` names a row: rows
 that agree on both are identical copies, which every operator treats alike.
 """
 
@@ -49,14 +49,20 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return out.select(*left.columns, *([] if how in ("left_semi", "left_anti") else other))
 
 
-def matching(docs: DataFrame, names: DataFrame, *more: str) -> DataFrame:
+def matching(docs: DataFrame, names: DataFrame, *more: str, source: str | None = None) -> DataFrame:
     """Rows of ``docs`` that ``names`` (did, rh) name, with all their columns, and ``more`` columns of names as ``_<column>``.
 
     The row's name is added and used under names of its own, so columns of any name may stand in ``docs``.
+    With ``source`` that column of docs (null matches null) is part of the name, as is names' column source.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    d = docs.select("*", did.alias("_row_did"), F.xxhash64(text).alias("_row_rh"))
-    n = names.select(F.col("did").alias("_n_did"), F.col("rh").alias("_n_rh"), *[F.col(c).alias(f"_{c}") for c in more])
+    d = docs.select("*", did.alias("_row_did"), F.xxhash64(text).alias("_row_rh")) if "_row_did" not in docs.columns else docs
+    n = names.select(
+        F.col("did").alias("_n_did"), F.col("rh").alias("_n_rh"), *[F.col(c).alias(f"_{c}") for c in more],
+        *([F.col("source").alias("_n_source")] if source else []),
+    )
     same = (F.col("_row_did") == F.col("_n_did")) & (F.col("_row_rh") == F.col("_n_rh"))
+    if source:
+        same &= F.col(source).cast("string").eqNullSafe(F.col("_n_source"))
     return d.join(n, same, "inner" if more else "left_semi").select(*d.columns, *[f"_{c}" for c in more])

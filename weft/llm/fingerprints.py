@@ -1,19 +1,20 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and pieces, in DataFrame operations only.
 
-A text is cut, without losing a character, into sections (after blank lines),
-these into paragraphs (after line ends) and these into pieces (sentences, or 64
-characters of a longer one).  Pieces are hashed; a paragraph's node hashes its
-pieces, a section's node its paragraphs, the root (SHA-256) all sections and
-the length.  The fingerprint is the written tree:
+A text is cut, without losing a character, into sections (after blank lines) and
+these into paragraphs (after line ends).  A paragraph's node is the SHA-256 of its
+text, a section's that of its paragraphs' nodes (both cut to 128 bits), the root
+that of the sections' nodes.  Below its node a paragraph keeps 32-bit hashes of
+its pieces (sentences, or 64 characters of a longer one), by which likeness is
+measured.  The fingerprint is the written tree:
 
     root ":" section "/" section ...   with   section = node "=" paragraph ";" paragraph ...
-                                       and    paragraph = leaf "," leaf ...
+                                       and    paragraph = node "." piece "," piece ...
 
 Equal texts have equal roots and fingerprints; two fingerprints are compared
 from the root down (``differing_branches``), which locates edits; their
-likeness is the share of leaves in common (Dice), 1 only for equal roots.
+likeness is the share of pieces in common (Dice), 1 only for equal roots.
 
-Edge cases: null text is the empty text (a root without branches); two empty
+Edge cases: null text is the empty text (one empty paragraph); two empty
 texts are alike (1), an empty and another are not (0).  Rows that repeat an id
 are documents of their own whose next document is that of the next larger id;
 of several rows with that id it is the one with the smallest text hash.  The
@@ -33,47 +34,49 @@ SECTION_END = r"(?<=\n\n)(?!\n)"
 PARAGRAPH_END = r"(?<=\n)(?!\n)"
 
 
+def _node(text: Column) -> Column:
+    return F.left(F.sha2(text.cast("binary"), 256), F.lit(32))
+
+
 def tree(text: Column) -> Column:
-    """array<array<array<bigint>>>: leaf hashes by section and paragraph."""
+    """array<array<struct<node, pieces>>>: paragraphs by section."""
     def paragraph(p: Column) -> Column:
-        return F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x))
-
-    def section(s: Column) -> Column:
-        return F.transform(F.split(s, PARAGRAPH_END), paragraph)
+        pieces = F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x).bitwiseAND(0xFFFFFFFF))
+        return F.struct(_node(p).alias("node"), pieces.alias("pieces"))
 
-    return F.transform(F.split(text, SECTION_END), section)
+    return F.transform(F.split(text, SECTION_END), lambda s: F.transform(F.split(s, PARAGRAPH_END), paragraph))
 
 
 def leaves(tree_col: str | Column) -> Column:
-    return F.array_distinct(F.flatten(F.flatten(tree_col)))
+    """The distinct pieces of a tree."""
+    return F.array_distinct(F.flatten(F.transform(F.flatten(tree_col), lambda p: p["pieces"])))
 
 
-def _short(h: Column) -> Column:
-    return F.lower(F.lpad(F.hex(h.bitwiseAND(0xFFFFFFFF)), 8, "0"))
+def sections(tree_col: str | Column) -> Column:
+    """The sections' nodes."""
+    return F.transform(tree_col, lambda s: _node(F.array_join(F.transform(s, lambda p: p["node"]), "")))
 
 
-def _long(h: Column) -> Column:
-    return F.lower(F.lpad(F.hex(h), 16, "0"))
+def root(tree_col: str | Column) -> Column:
+    return F.sha2(F.array_join(sections(tree_col), "").cast("binary"), 256)
 
 
-def root(text: Column, tree_col: Column) -> Column:
-    nodes = F.transform(tree_col, lambda s: F.xxhash64(F.transform(s, lambda p: F.xxhash64(p))))
-    parts = F.concat_ws("/", F.transform(nodes, _long), F.length(text).cast("string"), F.sha2(text.cast("binary"), 256))
-    return F.sha2(parts.cast("binary"), 256)
+def written(tree_col: str | Column) -> Column:
+    """The fingerprint string."""
+    def piece(h: Column) -> Column:
+        return F.lower(F.lpad(F.hex(h), 8, "0"))
 
+    def paragraph(p: Column) -> Column:
+        return F.concat(p["node"], F.lit("."), F.array_join(F.transform(p["pieces"], piece), ","))
 
-def written(text: Column, tree_col: Column) -> Column:
-    """The fingerprint string."""
-    def section(s: Column) -> Column:
-        node = _long(F.xxhash64(F.transform(s, lambda p: F.xxhash64(p))))
-        below = F.concat_ws(";", F.transform(s, lambda p: F.concat_ws(",", F.transform(p, _short))))
-        return F.concat(node, F.lit("="), below)
+    def section(node: Column, s: Column) -> Column:
+        return F.concat(node, F.lit("="), F.array_join(F.transform(s, paragraph), ";"))
 
-    return F.concat(root(text, tree_col), F.lit(":"), F.concat_ws("/", F.transform(tree_col, section)))
+    return F.concat(root(tree_col), F.lit(":"), F.array_join(F.zip_with(sections(tree_col), tree_col, section), "/"))
 
 
 def likeness(equal: Column, a: Column, b: Column) -> Column:
-    """Dice's share of distinct leaves ``a`` and ``b``; 1 only for equal texts."""
+    """Dice's share of distinct pieces ``a`` and ``b``; 1 only for equal roots."""
     n = F.size(a) + F.size(b)
     dice = F.when(n > 0, 2.0 * F.size(F.array_intersect(a, b)) / n).otherwise(0.0)
     return F.when(equal, 1.0).otherwise(F.least(dice, 1.0 - 1.0 / (n + 2.0)))
@@ -85,7 +88,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return k.select(
         real_id("did").alias("doc_id"),
         F.length("text").cast("long").alias("n_chars"),
-        written(F.col("text"), F.col("tree")).alias("fingerprint"),
+        written("tree").alias("fingerprint"),
     )
 
 
@@ -150,10 +153,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     nxt = nxt.where("r = 1").select(
         "for_did",
         F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"),
-        F.col("rh").alias("next_rh"),
-        F.length("text").alias("next_n"),
-        leaves(tree(F.col("text"))).alias("next_leaves"),
+        tree(F.col("text")).alias("next_tree"),
     )
+    nxt = nxt.select("for_did", "head", root("next_tree").alias("next_root"), leaves("next_tree").alias("next_leaves"))
     d = base.join(nxt, base["did"] == nxt["for_did"]).withColumn("n", F.length("text"))
     cut = F.floor(F.col("n") / 2).cast("int")
     d = d.withColumn(
@@ -166,10 +168,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         real_id("did").alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        written(F.col("text"), F.col("tree")).alias("fingerprint"),
-        written(F.col("edited"), F.col("edited_tree")).alias("edited_fingerprint"),
-        likeness(F.col("text") == F.col("edited"), F.col("leaves"), leaves("edited_tree")).alias("near_edited"),
-        likeness(
-            (F.col("rh") == F.col("next_rh")) & (F.col("n") == F.col("next_n")), F.col("leaves"), F.col("next_leaves")
-        ).alias("near_next"),
+        written("tree").alias("fingerprint"),
+        written("edited_tree").alias("edited_fingerprint"),
+        likeness(root("tree") == root("edited_tree"), F.col("leaves"), leaves("edited_tree")).alias("near_edited"),
+        likeness(root("tree") == F.col("next_root"), F.col("leaves"), F.col("next_leaves")).alias("near_next"),
     )

@@ -6,9 +6,11 @@ times its source's size, the excess going to the others by weight.
 
 The words are handed out in blocks of ``block`` words.  Sources get whole
 numbers of blocks by the highest quotients target / (2k - 1); each source's
-blocks go to its shards the same way.  A shard is a seeded hash cell of one
-source, small enough to be ordered in one task however large the source is; in
-it the documents form a line of words in seeded order.  A quota of q blocks of
+blocks go to its shards the same way.  A shard is a seeded hash cell of about
+``MIN_SHARD_WORDS`` words of one source: a larger source has more of them, never
+larger ones.  Blocks go down to shards through groups of ``FAN``, level by level,
+so a ranking has FAN cells at most.  In a shard the documents form a line of
+words in seeded order.  A quota of q blocks of
 a line of m blocks is q // m passes over the line plus a run of q % m blocks
 from a seeded start, so no word is taken more than ``repeat`` times.
 
@@ -16,8 +18,9 @@ Only the highest-quotient seats near a share can be in doubt, so the ranking
 looks at a few candidates for each source (or shard), never at all blocks.
 
 Edge cases: null or blank text has size 0 and takes 0; an empty table, or one
-without words, gives zero targets; repeated rows are documents of their own;
-equal seeded hashes are ordered by id, text hash and size.
+without words, gives zero targets; repeated rows are documents of their own,
+numbered so that reruns give each the same; equal seeded hashes are ordered by
+id, text hash and size.  A document longer than a shard makes its shard longer.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm._rows import join_on, keyed, matching, real_id
+from weft.llm._shared import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 16
 SEED = 11
 MIN_SHARD_WORDS = 50_000
-MAX_SHARDS = 4096
+FAN = 1024
 
 
 def n_words(text: str | Column) -> Column:
@@ -91,6 +95,25 @@ def sainte_lague(cells: DataFrame, group: list[str], share: str, seats: str, tie
     return out.select(*cells.columns, (F.col("_lo") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
+def _down_to_cells(cells: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """``cells`` (source, shard, cell_size) with ``quota``: a source's blocks apportioned through groups of FAN shards, then of FAN groups' shards."""
+    depth = 1
+    while FAN**depth < most:
+        depth += 1
+    if depth > 1:
+        cells = saved(cells)
+    parents = sources.withColumn("node", F.lit(0))
+    for level in reversed(range(depth)):
+        node = F.floor(F.col("shard") / FAN**level).cast("int")
+        here = cells.groupBy("source", node.alias("node")).agg(F.sum("cell_size").alias("cell_size"))
+        here = here.withColumn("parent", F.floor(F.col("node") / FAN).cast("int") if level < depth - 1 else F.lit(0))
+        here = join_on(here, parents.select("source", F.col("node").alias("parent"), F.col("quota").alias("seats")), ["source", "parent"])
+        total = F.sum("cell_size").over(Window.partitionBy("source", "parent"))
+        share = F.when(total > 0, F.col("seats") * F.col("cell_size") / total).otherwise(0.0)
+        parents = sainte_lague(here.withColumn("share", share), ["source", "parent"], "share", "seats", ["node"])
+    return parents.select("source", F.col("node").alias("shard"), "cell_size", "quota")
+
+
 def mix_plan(docs: DataFrame, share: float = 1.5, repeat: int = 2, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(did, rh, source, size, source_size, target, passes, cut_from, cut_to): what the mix takes of each document.
 
@@ -98,21 +121,20 @@ def mix_plan(docs: DataFrame, share: float = 1.5, repeat: int = 2, block: int =
     """
     base = keyed(docs, "source")
     sized = base.select("did", "rh", F.col("source").cast("string").alias("source"), n_words("text").alias("size"))
+    sized = saved(sized)  # texts are read once
     targets = source_targets(sized, share, repeat)
-    all_words = F.sum("source_size").over(Window.partitionBy())
-    cell_words = F.greatest(F.lit(MIN_SHARD_WORDS), F.ceil(all_words / MAX_SHARDS))
-    targets = targets.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / cell_words), F.lit(1)).cast("int"))
+    targets = targets.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / MIN_SHARD_WORDS), F.lit(1)).cast("int"))
     everyone = Window.partitionBy()
     targets = targets.withColumn("seats", F.round(F.sum("target").over(everyone) / block).cast("long"))
     targets = targets.withColumn("share", F.col("target") / block).withColumn("one", F.lit(1))
     targets = sainte_lague(targets, ["one"], "share", "seats", ["source"]).withColumnRenamed("quota", "blocks")
-    targets = targets.select("source", "source_size", "target", "shards", "blocks")
+    targets = saved(targets.select("source", "source_size", "target", "shards", "blocks"))
     d = join_on(sized, targets, ["source"])
     d = d.withColumn("o", F.xxhash64(F.lit(seed), "did", "rh"))
     d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "did", "rh"), F.col("shards")).cast("int"))
-    cells = d.groupBy("source", "shard", "source_size", "blocks").agg(F.sum("size").alias("cell_size"))
-    cells = cells.withColumn("cell_share", F.when(F.col("source_size") > 0, F.col("blocks") * F.col("cell_size") / F.col("source_size")).otherwise(0.0))
-    cells = sainte_lague(cells, ["source"], "cell_share", "blocks", ["shard"])
+    cells = d.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
+    most = targets.agg(F.max("shards").alias("m")).first()["m"] or 1
+    cells = _down_to_cells(cells, targets.select("source", F.col("blocks").alias("quota")), most)
     m = F.ceil(F.col("cell_size") / block).cast("long")
     cells = cells.withColumn("m", m).withColumn("quota", F.least(F.col("quota"), repeat * F.col("m")))
     cells = cells.withColumn("passes", F.when(F.col("m") > 0, F.floor(F.col("quota") / F.col("m"))).otherwise(0).cast("int"))
@@ -143,10 +165,25 @@ def mix_sizes(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows with all columns of ``docs``: a document for each pass that takes it whole, and once more
     with the words of its run, joined by blanks, if the run cuts it; ``n_chars`` is that of the text.
-    Documents without words aren't taken; repeated rows share one plan."""
-    plan = mix_plan(docs, **options).select("did", "rh", "size", "passes", "cut_from", "cut_to")
-    plan = plan.where("size > 0 AND (passes > 0 OR cut_to > cut_from)").dropDuplicates(["did", "rh"])
-    rows = matching(docs, plan, "size", "passes", "cut_from", "cut_to")
+
+    Documents without words aren't taken.  Rows that repeat id, text and source are numbered in the order of all
+    their columns, and plans in the order of what they take, so that reruns agree.
+    """
+    row, take = ["did", "rh", "source"], ["size", "passes", "cut_from", "cut_to"]
+    plan = mix_plan(docs, **options).select(*row, *take).groupBy(*row, *take).agg(F.count("*").alias("n"))
+    in_turn = Window.partitionBy(*row).orderBy(*take)
+    plan = plan.withColumn("to", F.sum("n").over(in_turn)).withColumn("kinds", F.count("*").over(Window.partitionBy(*row)))
+    plan = saved(plan.where("size > 0 AND (kinds > 1 OR passes > 0 OR cut_to > cut_from)"))
+    alike = plan.where("kinds = 1")
+    rows = matching(docs, alike, *take, source="source")
+    apart = plan.where("kinds > 1")
+    if not apart.isEmpty():  # repeated rows of which a run takes some
+        theirs = matching(docs, apart.select(*row).distinct(), source="source")
+        name = ["_row_did", "_row_rh", "source"]
+        turn = F.row_number().over(Window.partitionBy(*name).orderBy(F.xxhash64(*docs.columns), *docs.columns))
+        theirs = matching(theirs.withColumn("_nth", turn), apart, *take, "n", "to", source="source")
+        theirs = theirs.where("_nth > _to - _n AND _nth <= _to").select(*rows.columns)
+        rows = rows.unionByName(theirs)
     cut = F.col("_cut_to") - F.col("_cut_from")
     whole = (cut == F.col("_size")) & (F.col("_size") > 0)
     times = (F.col("_passes") + F.when(whole, 1).otherwise(0)).cast("int")
