@@ -41,6 +41,37 @@ def test_out_of_place_distance():
     assert predict("aaa bb d")[0] == "x" and predict("aaa bb d")[1] < 1
 
 
+def test_language_by_brute_force(frame):
+    """The whole result from plain counts, ranks and distances."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    import xxhash
+
+    rng = random.Random(8)
+    rows = [[k, words(lang, rng, rng.randint(1, 60)), [lang, None][k % 9 == 0], "s"] for k, lang in enumerate(["aa", "bb", "cc"] * 50)]
+    rows += [[900, None, "aa", "s"], [901, "12 34", "bb", "s"], [902, "Ka KA ka", "cc", "s"], [3, words("bb", rng, 9), "bb", "s"]]
+    size, name = language_id.PROFILE, lambda g: xxhash.xxh64_intdigest(g)
+    grams = lambda t: Counter(
+        f" {w} "[i : i + n] for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for n in (1, 2, 3) for i in range(len(w) + 3 - n)
+    )
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    counts = defaultdict(Counter)
+    for i, t, lang, _ in rows:
+        if lang and t is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[lang].update(grams(t))
+    profile = {x: {g: r for r, g in enumerate(sorted(c, key=lambda g: (-c[g], signed(name(g))))[:size])} for x, c in counts.items()}
+    want = Counter()
+    for i, t, *_ in rows:
+        c, held = grams(t), zlib.crc32(str(i).encode()) % 3 == 1
+        own = sorted(c, key=lambda g: (-c[g], name(g)))[:size]
+        far = {x: sum(min(abs(p.get(g, 10**9) - r), size) for r, g in enumerate(own)) for x, p in profile.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        want[(i, held, best, round(1 - far[best] / (len(own) * size), 9)) if own else (i, held, "und", 0.0)] += 1
+    out = language_id.learn_and_identify(frame(rows), held_out("doc_id", 3, 1)).collect()
+    assert Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in out) == want
+
+
 def test_folds(frame):
     import zlib
 
@@ -199,6 +230,9 @@ def test_documents(docs, rows):
     model = sentencepiece_codec.load()
     out = sentencepiece_codec.encode_documents(docs, model)
     assert all(r.round_trip and r.n_ids == len(r.ids) for r in out.collect())
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    got = sorted((r.doc_id is not None, r.doc_id, list(r.ids)) for r in out.collect() if r.doc_id is not None)
+    assert got == sorted((True, i, sp.encode(t or "")) for i, t, *_ in rows if i is not None)  # the whole table, as the library has it
     back = sentencepiece_codec.decode_documents(out, model).where(F.col("doc_id") != 100)
     want = {i: t or "" for i, t, *_ in rows}
     assert all(r.text == want[r.doc_id] for r in back.collect())

@@ -191,6 +191,39 @@ def test_shards(docs, rows):
         assert (r["size"], r.text_crc32) == (len(text[r.doc_id]) + 1, zlib.crc32(text[r.doc_id]))
 
 
+@pytest.mark.parametrize("shards,bins,vnodes", [(16, sharding.BINS, sharding.VNODES), (5, 8, 3)])
+def test_ring_walk(docs, rows, shards, bins, vnodes):
+    """Each row by a walk of its own: its shard if that has room, else clockwise to the next point whose shard has."""
+    out = sharding.shard_ring(docs, shards=shards, bins=bins, vnodes=vnodes).collect()
+    text = F.coalesce("text", F.lit(""))
+    d = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), F.crc32(text.cast("binary")).alias("crc"),
+                    (F.octet_length(text) + 1).cast("long").alias("size"))
+    d = d.withColumn("bin", F.pmod(F.xxhash64(F.lit(7), "did", "crc", "size"), F.lit(bins)).cast("int"))
+    points = sorted(
+        (int.from_bytes(hashlib.blake2b(f"7/{s}/{v}".encode(), digest_size=8).digest(), "big"), s) for s in range(shards) for v in range(vnodes)
+    )
+    order = list(dict.fromkeys(s for _, s in points))
+    room = {s: len(rows) // shards + (k < len(rows) % shards) for k, s in enumerate(order)}
+    line, waiting, want = sorted(d.collect(), key=lambda r: (r.bin, r.did, r.crc, r["size"])), [], Counter()
+
+    def walk(r):
+        at = r.bin * (2**64 // bins)
+        return [s for p, s in points if p >= at] + [s for p, s in points if p < at]
+
+    for r in line:
+        s = walk(r)[0]
+        if room[s]:
+            room[s] -= 1
+            want[(r.doc_id, r["size"], r.crc, s)] += 1
+        else:
+            waiting.append(r)
+    for r in waiting:
+        s = next(s for s in walk(r) if room[s])
+        room[s] -= 1
+        want[(r.doc_id, r["size"], r.crc, s)] += 1
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard) for r in out) == want
+
+
 def test_shards_few_bins(docs, rows):
     check_shards(sharding.shard_ring(docs, shards=7, bins=4, vnodes=3).collect(), rows, 7)
 
