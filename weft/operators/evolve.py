@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from weft import checkpoints
 from weft.operators import metrics, scoring
 from weft.operators.ordering import rank_entrants, sort_rule_array
+from weft.sources import files
 
 PRIME = 2_147_483_647
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
@@ -236,18 +237,46 @@ def rmse_evaluator(sequences: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return evaluate
 
 
-def evolve(population: DataFrame, evaluate: Callable[[DataFrame], DataFrame], generations: int, size: int, seed: int, **options) -> DataFrame:
+def log_row(evaluated: DataFrame, generation: int, run: int = 0) -> DataFrame:
+    """The summary of one generation of (ind, fitness, test, rules)."""
+    used = F.size(F.filter("rules", lambda r: r["status"] != 0))
+    return metrics.generation_summary(evaluated.select(
+        F.lit(run).alias("run"), F.lit(generation).alias("generation"), F.col("ind").alias("ind_idx"), "fitness", "test",
+        F.size("rules").alias("rule_count"), used.alias("used_rule_count"),
+    ))
+
+
+def best_model(population: DataFrame) -> DataFrame:
+    """The elite's rules in the columns of a model file, whose index has no name."""
+    r = elite(population).select(F.explode("rules").alias("r")).select("r.*")
+    return r.orderBy("rule_idx").select("rule_idx", "pattern", "weight", "status").toDF("", "pattern", "weight", "status")
+
+
+def evolve(
+    population: DataFrame, evaluate: Callable[[DataFrame], DataFrame], generations: int, size: int, seed: int,
+    log: str | None = None, model: str | None = None, **options,
+) -> DataFrame:
     """(ind, fitness, rules) after a bounded number of generations.
 
-    ``evaluate`` turns (ind, rules) into (ind, fitness, rules) with statuses.  Each generation's table is
-    checkpointed, which cuts the lineage and survives the loss of executors.
+    ``evaluate`` turns (ind, rules) into (ind, fitness, test, rules) with statuses.  Each generation's table is
+    checkpointed, which cuts the lineage and survives the loss of executors.  A row for each generation is appended
+    to the CSV folder ``log``, and the best model so far replaces that in ``model``.
     """
     checkpoints.ensure(population.sparkSession)
+
+    def written(g: int, fresh: DataFrame, now: DataFrame) -> DataFrame:
+        if log:
+            files.append(log_row(fresh, g), log)
+        if model:
+            files.overwrite(best_model(now), model, single=True)  # one model's rules
+        return now
+
     now = evaluate(population).checkpoint()
+    written(0, now, now)
     for g in range(1, generations + 1):
         fresh = evaluate(next_generation(now, seed, g, size, **options)).checkpoint()
         best = elite(now).select(F.lit(0).alias("ind"), "fitness", "rules")
-        now = guard_elite(best, fresh).checkpoint()
+        now = written(g, fresh, guard_elite(best, fresh).checkpoint())
     return now
 
 

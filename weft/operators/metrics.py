@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("RMSE", "correlation")
@@ -36,8 +36,7 @@ def cv10(g: DataFrame, by: str = "model_id") -> DataFrame:
 
 def rmse_chunks(predictions: DataFrame) -> DataFrame:
     """(model_id, chunk, n, sse): chunk = floor(i / (n / 10)), the last one taking the rest."""
-    per = Window.partitionBy("model_id")
-    p = predictions.withColumn("_n", F.count("*").over(per))
+    p = predictions.join(predictions.groupBy("model_id").agg(F.count("*").alias("_n")), "model_id")  # a row for each model
     chunk = F.least(F.lit(9), F.floor(F.col("row_idx") / (F.col("_n") / 10))).cast("int")
     return p.withColumn("chunk", chunk).groupBy("model_id", "chunk").agg(F.count("*").alias("n"), _sse().alias("sse"))
 

@@ -30,9 +30,9 @@ def top_candidates(candidates: DataFrame, k: int = 10) -> DataFrame:
     return candidates.orderBy(F.desc("fitness"), "cand_id").limit(k)
 
 
-def by_weight(rules: DataFrame) -> DataFrame:
-    """Rules by falling weight; equal weights in reversed order."""
-    return rules.orderBy(F.desc("weight"), F.desc("rule_idx"))
+def by_weight(rules: DataFrame, *tie: str) -> DataFrame:
+    """Rules by falling weight; equal weights in reversed order, then by ``tie``."""
+    return rules.orderBy(F.desc("weight"), F.desc("rule_idx"), *tie)
 
 
 def by_value(rows: DataFrame, value: str, tie: str, descending: bool = True) -> DataFrame:

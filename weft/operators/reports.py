@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators.metrics import pearson
+from weft.plans.row_index import ordered_index
 
 #: Greater than any generation in a log.
 NO_GENERATION = 100_000_000
@@ -74,10 +75,11 @@ def ranks(predictions: DataFrame, by: str = "model_id", actual_rank: str = "row"
     """
     if actual_rank not in ("row", "fitness"):
         raise ValueError(f"actual_rank must be row or fitness, not {actual_rank!r}")
-    per = Window.partitionBy(by)
-    predicted = F.row_number().over(per.orderBy(F.desc("score"), "row_idx"))
-    actual = F.col("row_idx") + 1 if actual_rank == "row" else F.row_number().over(per.orderBy(F.desc("fitness"), "row_idx"))
-    d = predictions.withColumn("predicted_rank", predicted.cast("long")).withColumn("actual_rank", actual.cast("long"))
+    d = ordered_index(predictions, F.desc("score"), "row_idx", by=(by,), name="predicted_rank")
+    if actual_rank == "fitness":
+        d = ordered_index(d, F.desc("fitness"), "row_idx", by=(by,), name="actual_rank")
+    actual = F.col("row_idx" if actual_rank == "row" else "actual_rank") + 1
+    d = d.withColumn("predicted_rank", F.col("predicted_rank") + 1).withColumn("actual_rank", actual.cast("long"))
     return d.withColumn("rank_error", F.abs(F.col("predicted_rank") - F.col("actual_rank")))
 
 

@@ -7,9 +7,13 @@ prediction is the sum of these weights, 0 without a hit.
 The default form turns the substring test into an equi-join: sequences become
 their k-grams of the lengths that occur in the rules, rules become the distinct
 strings {pattern, reverse}, and the earliest rule of each position is an
-aggregation.  ``score_nested`` is the row-local form with higher-order
-functions: no shuffle, every rule tried at every position, and weights added
-from left to right.
+aggregation.  Sequences are dealt out by their id once; rules of up to
+``BROADCAST_ROWS`` rows (they are counted) are broadcast, so the k-grams, the
+positions' first rules and the sums of a sequence stay in its task and are never
+shuffled.  Larger rule sets are joined by shuffle.
+
+``score_nested`` is the row-local form with higher-order functions: every rule
+tried at every position, and weights added from left to right.
 
 Tables: sequences (seq_id, sequence), rules (model_id, rule_idx, pattern,
 weight).  A null or empty pattern never matches but stays a rule.
@@ -21,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUM, PRODUCT = 0, 1
+BROADCAST_ROWS = 200_000
 
 
 def check_mode(mode: int) -> None:
@@ -28,6 +33,11 @@ def check_mode(mode: int) -> None:
         raise ValueError(f"mode must be {SUM} (sum) or {PRODUCT} (product), not {mode!r}")
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has few enough rows to be broadcast; counts no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def match_strings(rules: DataFrame) -> DataFrame:
     """(model_id, rule_idx, weight, gram): the strings that a rule matches; a palindrome counts once."""
     both = F.array_distinct(F.array("pattern", F.reverse("pattern")))
@@ -35,47 +45,70 @@ def match_strings(rules: DataFrame) -> DataFrame:
     return usable.select("model_id", "rule_idx", "weight", F.explode(both).alias("gram"))
 
 
-def kgrams(sequences: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(seq_id, pos, gram) for every position and each k of ``lengths`` (k) that fits there.
+def kgrams(sequences: DataFrame, lengths: DataFrame, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """(seq_id, *carry, pos, gram) for every position and each k of ``lengths`` (k) that fits there.
 
-    ``lengths`` has a row for each distinct pattern length, so it is joined as a
-    broadcast array: as wide as the longest pattern at most.
+    ``lengths`` has a row for each distinct pattern length, so it is joined as a broadcast array: as wide as the
+    longest pattern at most.  With ``whole`` every sequence, empty and null ones too, has the empty gram at position 0.
     """
     ks = lengths.agg(F.sort_array(F.collect_set("k")).alias("ks"))
-    s = sequences.where(F.length("sequence") > 0).join(F.broadcast(ks))
-    n = F.length("sequence")
-    s = s.select("seq_id", "sequence", "ks", F.explode(F.sequence(F.lit(1), n)).alias("pos"))
-    fitting = F.filter("ks", lambda k: F.col("pos") + k - 1 <= F.length("sequence"))
-    s = s.select("seq_id", "sequence", "pos", F.explode(fitting).alias("k"))
-    return s.select("seq_id", "pos", F.substring(F.col("sequence"), F.col("pos"), F.col("k")).alias("gram"))
+    text = F.coalesce("sequence", F.lit(""))
+    s = sequences.select("seq_id", *carry, text.alias("_text")).join(F.broadcast(ks))
+    n = F.length("_text")
+    from_ = 0 if whole else 1
+    s = (s if whole else s.where(n > 0)).withColumn("pos", F.explode(F.sequence(F.lit(from_), n)))
+    fitting = F.filter("ks", lambda k: F.col("pos") + k - 1 <= n)
+    s = s.withColumn("k", F.explode(F.when(F.col("pos") == 0, F.array(F.lit(0))).otherwise(fitting)))
+    return s.select("seq_id", *carry, "pos", F.substring(F.col("_text"), F.col("pos"), F.col("k")).alias("gram"))
 
 
-def hits(sequences: DataFrame, rules: DataFrame) -> DataFrame:
-    """(model_id, seq_id, pos, rule_idx, weight, n_rules): the winning rule of each position that any rule matches."""
-    strings = match_strings(rules)
+def _first_rules(sequences: DataFrame, rules: DataFrame, carry: tuple[str, ...] = (), models: DataFrame | None = None) -> DataFrame:
+    """(model_id, seq_id, *carry, pos, rule_idx, weight, n_rules): the winning rule of each position that any rule matches.
+
+    With ``models`` each model has a row of position 0, without a rule, for every sequence.
+    """
+    strings = match_strings(rules).drop("weight")
     lengths = strings.select(F.length("gram").alias("k")).distinct()
-    matched = kgrams(sequences, lengths).join(strings.drop("weight"), "gram")
-    # The least index is a hash aggregate; a struct with the weight would be sorted.
-    won = matched.groupBy("model_id", "seq_id", "pos").agg(F.min("rule_idx").alias("rule_idx"), F.count("*").alias("n_rules"))
+    if models is not None:
+        none = models.select("model_id", F.lit(None).cast("int").alias("rule_idx"), F.lit("").alias("gram"))
+        strings = strings.unionByName(none)
     weights = rules.select("model_id", "rule_idx", "weight")
-    return won.join(weights, ["model_id", "rule_idx"]).select("model_id", "seq_id", "pos", "rule_idx", "weight", "n_rules")
+    if is_small(rules):  # at most two strings for each rule and one for each model
+        strings, weights = F.broadcast(strings), F.broadcast(weights)
+    parts = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = kgrams(sequences.repartition(parts, "seq_id"), lengths, carry, models is not None)
+    matched = grams.join(strings, "gram")
+    # The least index is a hash aggregate; a struct with the weight would be sorted.
+    won = matched.groupBy("model_id", "seq_id", *carry, "pos").agg(F.min("rule_idx").alias("rule_idx"), F.count("*").alias("n_rules"))
+    won = won.join(weights, ["model_id", "rule_idx"], "inner" if models is None else "left")
+    return won.select("model_id", "seq_id", *carry, "pos", "rule_idx", "weight", "n_rules")
+
+
+def hits(sequences: DataFrame, rules: DataFrame) -> DataFrame:
+    """(model_id, seq_id, pos, rule_idx, weight, n_rules): the winning rule of each position that any rule matches."""
+    return _first_rules(sequences, rules)
 
 
-def score(sequences: DataFrame, rules: DataFrame, models: DataFrame | None = None, mode: int = SUM) -> DataFrame:
-    """(model_id, seq_id, score, hits) for every model and sequence, also those without a hit.
+def score(
+    sequences: DataFrame, rules: DataFrame, models: DataFrame | None = None, mode: int = SUM, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(model_id, seq_id, score, hits, *carry) for every model and sequence, also those without a hit.
 
-    The product mode multiplies weights onto 0 and so is 0; ``products`` has the corrected form.
+    ``carry`` names columns of ``sequences``, one value for each seq_id.  The product mode multiplies weights onto 0
+    and so is 0; ``products`` has the corrected form.
     """
     check_mode(mode)
     models = rules.select("model_id").distinct() if models is None else models.select("model_id")
-    per = hits(sequences, rules).groupBy("model_id", "seq_id")
-    per = per.agg(F.sum("weight").alias("s"), F.count("*").alias("h"))
-    # Models are a small dimension: the pairs are the size of the result itself.
-    pairs = sequences.select("seq_id").join(F.broadcast(models))
-    value = F.coalesce("s", F.lit(0.0)) if mode == SUM else F.lit(0.0)
-    return pairs.join(per, ["model_id", "seq_id"], "left").select(
-        "model_id", "seq_id", value.alias("score"), F.coalesce("h", F.lit(0)).cast("long").alias("hits")
-    )
+    per = _first_rules(sequences, rules, carry, models).groupBy("model_id", "seq_id", *carry)
+    per = per.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("s"), F.count("rule_idx").alias("hits"))
+    value = F.col("s") if mode == SUM else F.lit(0.0)
+    return per.select("model_id", "seq_id", value.alias("score"), "hits", *carry)
+
+
+def predictions(sequences: DataFrame, rules: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(model_id, seq_id, score, fitness, error, *carry) of sequences with their fitness, without a join back to them."""
+    p = score(sequences, rules, carry=("fitness", *carry))
+    return p.select("model_id", "seq_id", "score", "fitness", F.abs(F.col("score") - F.col("fitness")).alias("error"), *carry)
 
 
 def products(sequences: DataFrame, rules: DataFrame) -> DataFrame:
@@ -95,7 +128,12 @@ def flat(models: DataFrame) -> DataFrame:
 
 
 def score_nested(sequences: DataFrame, rules: DataFrame) -> DataFrame:
-    """(model_id, seq_id, score) row by row, without a shuffle of the sequences; for few rules or exact order of addition."""
+    """(model_id, seq_id, score) row by row, without a shuffle of the sequences; for few rules or exact order of addition.
+
+    More than ``BROADCAST_ROWS`` rules raise: every rule is tried at every position, so ``score`` is the form for them.
+    """
+    if not is_small(rules):
+        raise ValueError(f"more than {BROADCAST_ROWS} rules; use score")
     m = nested(rules).withColumn(
         "rules",
         F.transform("rules", lambda r: F.struct(
@@ -151,15 +189,22 @@ def squared_errors(sequences: DataFrame, rules: DataFrame, models: DataFrame | N
     A sequence without a hit adds fitness² for every model, so the pairs of models and sequences are never made.
     """
     models = rules.select("model_id").distinct() if models is None else models.select("model_id")
-    per = hits(sequences, rules).groupBy("model_id", "seq_id").agg(F.sum("weight").alias("s"))
+    per = _first_rules(sequences, rules, ("fitness",)).groupBy("model_id", "seq_id", "fitness").agg(F.sum("weight").alias("s"))
     f = F.col("fitness")
-    delta = per.join(sequences.select("seq_id", "fitness"), "seq_id").groupBy("model_id")
-    delta = delta.agg(F.sum(F.pow(F.col("s") - f, 2) - f * f).alias("d"))
+    delta = per.groupBy("model_id").agg(F.sum(F.pow(F.col("s") - f, 2) - f * f).alias("d"))
     all_rows = sequences.agg(F.count("*").alias("n"), F.coalesce(F.sum(f * f), F.lit(0.0)).alias("zero"))
     out = models.join(delta, "model_id", "left").join(F.broadcast(all_rows))  # one row
     return out.select("model_id", "n", (F.col("zero") + F.coalesce("d", F.lit(0.0))).alias("sse"))
 
 
+def totals(sequences: DataFrame, rules: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(seq_id, *carry, total): the sum over all models' scores, 0 without a hit."""
+    no_model = F.lit(None).cast(rules.schema["model_id"].dataType).alias("model_id")
+    all_models = rules.sparkSession.range(1).select(no_model)
+    per = _first_rules(sequences, rules, carry, all_models).groupBy("seq_id", *carry)
+    return per.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("total"))
+
+
 def first_by_sequence(predictions: DataFrame) -> DataFrame:
     """The first row (by row_idx) of each sequence, for lookups of actual values by sequence."""
     cols = [c for c in predictions.columns if c != "sequence"]

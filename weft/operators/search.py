@@ -39,9 +39,8 @@ def candidates(spark: SparkSession, n: int, size: int, seed: int) -> DataFrame:
 def ensemble_score(sequences: DataFrame, rules: DataFrame) -> DataFrame:
     """(seq_id, score): mean over all models, hits or none; 0 where the sequence isn't soluble; null without models."""
     n = rules.select("model_id").distinct().agg(F.count("*").alias("n"))
-    total = scoring.hits(sequences, rules).groupBy("seq_id").agg(F.sum("weight").alias("s"))
-    d = sequences.join(total, "seq_id", "left").join(F.broadcast(n))
-    mean = F.try_divide(F.coalesce("s", F.lit(0.0)), F.col("n"))
+    d = scoring.totals(sequences, rules, ("sequence",)).join(F.broadcast(n))  # one row
+    mean = F.try_divide(F.col("total"), F.col("n"))
     return d.select("seq_id", F.when(soluble("sequence"), mean).otherwise(0.0).alias("score"))
 
 

@@ -33,8 +33,7 @@ def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
-    s, r = _inputs(spark, d)
-    return scoring.absolute_error(scoring.score(s, r), s)
+    return scoring.predictions(*_inputs(spark, d))
 
 
 @query(f"WITH {T.SQL_HITS} SELECT model_id, seq_id, score, hits FROM preds")
@@ -81,8 +80,8 @@ def rmse_cv10(spark, d):
 
 def _indexed(spark, d):
     """Predictions with row_idx: the place of the sequence among all, ordered by the sequence."""
-    s = ordered_index(T.sequences(spark, d), "sequence", F.substring("sequence", 1, 3))
-    return _predictions(spark, d).join(s.select("seq_id", "sequence", "row_idx"), "seq_id")
+    s, r = _inputs(spark, d)
+    return scoring.predictions(ordered_index(s, "sequence"), r, carry=("sequence", "row_idx"))
 
 
 _IDX = "idx AS (SELECT seq_id, row_number() OVER (ORDER BY sequence) - 1 AS row_idx FROM seqs)"
@@ -92,7 +91,7 @@ _IDX = "idx AS (SELECT seq_id, row_number() OVER (ORDER BY sequence) - 1 AS row_
 SELECT model_id, CAST(least(9, floor(row_idx / (n / 10.0::DOUBLE))) AS INTEGER) AS chunk, count(*) AS n,
   round(sum(power(score - fitness, 2)), 6) AS sse FROM p GROUP BY 1, 2""")
 def rmse_chunks(spark, d):
-    return metrics.rmse_chunks(_indexed(spark, d)).select("model_id", "chunk", "n", r6("sse"))
+    return metrics.rmse_chunks(_indexed(spark, d).checkpoint()).select("model_id", "chunk", "n", r6("sse"))
 
 
 @query(f"WITH {T.SQL_HITS} SELECT model_id, round(sqrt(avg(power(score - fitness, 2))), 6) AS rmse FROM preds GROUP BY 1")
@@ -308,7 +307,7 @@ def ensemble_score(spark, d):
 def _lcg(seed: int, *slots: str) -> str:
     h = str(seed)
     for s in slots:
-        h = f"((((({h}) * 48271 + ({s})::BIGINT * 69621 + 40692) % {evolve.PRIME}) * 16807 + 12345) % {evolve.PRIME})"
+        h = f"(((((({h}) * 48271 + ({s})::BIGINT * 69621 + 40692) % {evolve.PRIME} + {evolve.PRIME}) % {evolve.PRIME}) * 16807 + 12345) % {evolve.PRIME})"
     return h
 
 
@@ -382,39 +381,12 @@ def evaluate_population(spark, d):
     return run(evolve.nest(T.individuals(spark, d))).select("ind", r6("fitness"), r6("test"))
 
 
-@query()
-def trim_rules(spark, d):
-    n = evolve.nest(T.individuals(spark, d))
-    return n.select("ind", F.size("rules").alias("before"), evolve.trim(F.col("rules"), 8).alias("rules"))
-
-
-@query()
-def mutate_rules(spark, d):
-    n = evolve.nest(T.individuals(spark, d))
-    rates = dict(add=0.5, remove=0.5, weight=0.5, insert=0.5, delete=0.5)
-    return evolve.mutate(n, 5, 1, 100, T.MAX_PATTERN, -10.0, 10.0, **rates)
-
-
-@query()
-def init_models(spark, d):
-    return evolve.init_population(spark, 100, 100, 6, -10.0, 10.0, 110)
-
-
 @query()
 def evolve_step(spark, d):
     p = evolve.nest(T.individuals(spark, d)).join(T.population(spark, d), "ind")
     return evolve.next_generation(p.select("ind", "fitness", "rules"), 7, 1, size=40, diversity=0.5)
 
 
-@query()
-def search_step(spark, d):
-    s, r = _inputs(spark, d)
-    c = search.candidates(spark, 10000, 12, 3)
-    start = search.ensemble_score(c.select(F.col("cand_id").alias("seq_id"), "sequence"), r)
-    c = c.join(start.select(F.col("seq_id").alias("cand_id"), F.col("score").alias("fitness")), "cand_id")
-    return search.climb_step(c, r, s, 3, 1)
-
-
 @query("""SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer
 UNION ALL SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey)""")
 def insert_unique(spark, d):
@@ -477,3 +449,6 @@ def codon_expand(spark, d):
     letters = F.split("sequence", "")
     s = T.sequences(spark, d).select("seq_id", F.explode(letters).alias("c")).where("c <> ''")
     return s.select("seq_id", F.explode(F.element_at(table, F.col("c")))).groupBy("seq_id").agg(F.count("*").alias("codons"))
+
+
+from weft.plans import registry_evolve, registry_files  # noqa: E402, F401  (they register their queries here)

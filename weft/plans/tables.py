@@ -24,7 +24,10 @@ def _words(text: str):
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, sequence, fitness): fitness is ((occurrences * 7 + length) % 400) / 16."""
-    w = read(spark, sf_dir, "documents").select(F.explode(_words("text")).alias("sequence")).where("sequence <> ''")
+    docs = read(spark, sf_dir, "documents").select("text")
+    if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a file of few row groups would keep most cores idle
+        docs = docs.repartition(spark.sparkContext.defaultParallelism)
+    w = docs.select(F.explode(_words("text")).alias("sequence")).where("sequence <> ''")
     w = w.groupBy("sequence").agg(F.count("*").alias("n"))
     fitness = ((F.col("n") * 7 + F.length("sequence")) % 400) / F.lit(16.0)
     return w.select(F.col("sequence").alias("seq_id"), "sequence", fitness.alias("fitness"))
@@ -70,7 +73,7 @@ def evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = """list_transform(string_split(regexp_replace({t}, '[^A-Za-z]+', ' ', 'g'), ' '),
     lambda w: regexp_replace(upper(w), '[BJOUXZ]', '', 'g'))"""
 
-SQL_SEQUENCES = f"""seqs AS (
+SQL_SEQUENCES = f"""seqs AS MATERIALIZED (
   SELECT sequence AS seq_id, sequence, ((n * 7 + length(sequence)) % 400) / 16.0::DOUBLE AS fitness FROM (
     SELECT sequence, count(*) AS n FROM (SELECT unnest({_WORDS.format(t='text')}) AS sequence FROM documents)
     WHERE sequence <> '' GROUP BY sequence))"""
@@ -79,7 +82,7 @@ SQL_ITEM_WORDS = f"""item_words AS (
   SELECT item_id, unnest(w) AS pattern, unnest(range(len(w))) AS p
   FROM (SELECT item_id, {_WORDS.format(t='text')} AS w FROM benchmark))"""
 
-SQL_RULES = f"""{SQL_ITEM_WORDS}, rules AS (
+SQL_RULES = f"""{SQL_ITEM_WORDS}, rules AS MATERIALIZED (
   SELECT model_id, rule_idx, pattern, ((rule_idx * 37 + model_id * 11) % 81 - 40) / 4.0::DOUBLE AS weight FROM (
     SELECT model_id, pattern, CAST(row_number() OVER (PARTITION BY model_id ORDER BY length(pattern) DESC, first_at) - 1 AS INTEGER) AS rule_idx
     FROM (SELECT CAST(item_id % {MODELS} AS INTEGER) AS model_id, pattern, min(item_id * 100000 + p) AS first_at FROM item_words
@@ -98,14 +101,14 @@ SQL_EVOLUTION = """evo AS (
   SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS generation, value AS best_fitness FROM events)"""
 
 SQL_HITS = f"""{SQL_SEQUENCES}, {SQL_RULES},
-strings AS (SELECT DISTINCT model_id, rule_idx, weight, unnest([pattern, reverse(pattern)]) AS gram FROM rules),
-lens AS (SELECT DISTINCT length(gram) AS k FROM strings),
+strings AS MATERIALIZED (SELECT DISTINCT model_id, rule_idx, weight, unnest([pattern, reverse(pattern)]) AS gram FROM rules),
+lens AS MATERIALIZED (SELECT DISTINCT length(gram) AS k FROM strings),
 grams AS (SELECT seq_id, pos, substr(sequence, pos, k) AS gram
   FROM (SELECT seq_id, sequence, unnest(range(1, length(sequence) + 1)) AS pos FROM seqs) CROSS JOIN lens
   WHERE pos + k - 1 <= length(sequence)),
-hits AS (SELECT model_id, seq_id, pos, min(rule_idx) AS rule_idx, arg_min(weight, rule_idx) AS weight, count(*) AS n_rules
+hits AS MATERIALIZED (SELECT model_id, seq_id, pos, min(rule_idx) AS rule_idx, arg_min(weight, rule_idx) AS weight, count(*) AS n_rules
   FROM grams JOIN strings USING (gram) GROUP BY 1, 2, 3),
 models AS (SELECT DISTINCT model_id FROM rules),
-per AS (SELECT model_id, seq_id, sum(weight) AS s, count(*) AS h FROM hits GROUP BY 1, 2),
+per AS MATERIALIZED (SELECT model_id, seq_id, sum(weight) AS s, count(*) AS h FROM hits GROUP BY 1, 2),
 preds AS (SELECT m.model_id, q.seq_id, coalesce(s, 0.0)::DOUBLE AS score, coalesce(h, 0) AS hits, q.fitness
   FROM seqs q CROSS JOIN models m LEFT JOIN per p ON p.model_id = m.model_id AND p.seq_id = q.seq_id)"""

@@ -1,8 +1,7 @@
 """Sources and sinks: learn sets, rule models, run logs, text, result tables, configurations.
 
 Schemas are explicit; file order is by name; the place of a row in its file is
-kept as a column, since tables have no order.  Files of these kinds are small
-and read whole, so their lines are numbered inside the file.
+kept as a column, since tables have no order.
 """
 
 from __future__ import annotations
@@ -22,19 +21,44 @@ LOG_COLUMNS = (
 
 def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file, line_no, line) from 0, without a byte-order mark or line ends."""
+    return _lines(spark, path, glob).drop("_path")
+
+
+def _lines(spark: SparkSession, path: str, glob: str | None = None, blank: bool = True) -> DataFrame:
+    """(_path, file, line_no, line); ``blank=False`` leaves out blank lines.
+
+    A line's number is its place in its split after the lines of the file's splits before it, so a large file is read
+    by many tasks.
+    """
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", f"^{BOM}", "").alias("v"))
-    body = text.select("file", F.regexp_replace("v", r"\r?\n$", "").alias("v"))
-    return body.select("file", F.posexplode(F.split("v", r"\r?\n")).alias("line_no", "line"))
+    t = reader.text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value",
+    )
+    if not blank:
+        t = t.where(F.trim(F.regexp_replace("value", f"^{BOM}", "")) != "")
+    split = ["_path", "_block"]
+    sizes = t.groupBy(*split).agg(F.count("*").alias("_n"))  # a row for each split
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    t = t.withColumn("_at", F.row_number().over(Window.partitionBy(*split).orderBy("_at")) - 1).join(starts, split)
+    n = (F.col("_start") + F.col("_at")).cast("int")
+    return t.select("_path", "file", n.alias("line_no"), F.when(n == 0, F.regexp_replace("value", f"^{BOM}", "")).otherwise(F.col("value")).alias("line"))
+
+
+def _cells(line: str | Column) -> Column:
+    """Cells between commas; a quoted cell may hold commas and doubled quotes."""
+    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    quoted = r'^\s*"(.*)"\s*$'
+    return F.transform(parts, lambda c: F.when(c.rlike(quoted), F.regexp_replace(F.regexp_extract(c, quoted, 1), '""', '"')).otherwise(c))
 
 
 def _fields(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    """(file, row_idx, c): the cells of data lines; the first line is a header, blank lines don't count."""
-    rows = lines(spark, path, glob).where((F.col("line_no") > 0) & (F.trim("line") != ""))
-    order = Window.partitionBy("file").orderBy("line_no")
-    return rows.select("file", (F.row_number().over(order) - 1).cast("int").alias("row_idx"), F.split("line", ",").alias("c"))
+    """(_path, file, row_idx, c): the cells of data lines; the first line is a header (row -1), blank lines don't count."""
+    t = _lines(spark, path, glob, blank=False)
+    return t.select("_path", "file", (F.col("line_no") - 1).alias("row_idx"), _cells("line").alias("c"))
 
 
 def _number(c: Column) -> Column:
@@ -43,7 +67,7 @@ def _number(c: Column) -> Column:
 
 def learn_set(spark: SparkSession, path: str, glob: str | None = "*.csv") -> DataFrame:
     """(dataset, row_idx, sequence, fitness) by position; a malformed fitness is null, its row stays."""
-    f = _fields(spark, path, glob)
+    f = _fields(spark, path, glob).where("row_idx >= 0")
     name = F.substring_index("file", ".", 1)
     return f.select(name.alias("dataset"), "row_idx", F.trim(F.get("c", F.lit(0))).alias("sequence"), _number(F.get("c", F.lit(1))).alias("fitness"))
 
@@ -54,26 +78,36 @@ def malformed(learn: DataFrame) -> DataFrame:
 
 
 def models(spark: SparkSession, path: str, glob: str | None = "*.csv", drop_last: bool = True, na_is_null: bool = True) -> DataFrame:
-    """(file, model_id, rule_idx, pattern, weight, status) of index,pattern,weight[,status] files.
+    """(file, model_id, rule_idx, pattern, weight, status) of files whose header names pattern, weight and maybe status.
 
     ``drop_last`` leaves out each file's last rule, as the original loader does; ``na_is_null`` reads the
-    pattern NA as missing.  Without a status column all statuses are 0.
+    pattern NA as missing.  Without a status column all statuses are 0; a file without a pattern or weight column has
+    rules without one.
     """
     f = _fields(spark, path, glob)
+    heads = f.where("row_idx = -1").select("_path", F.transform("c", lambda c: F.trim(c)).alias("_names"))  # a row for each file
+    if drop_last:
+        heads = heads.join(f.groupBy("_path").agg((F.count("*") - 2).alias("_last")), "_path")
+    f = f.where("row_idx >= 0").join(heads, "_path")
     if drop_last:
-        f = f.withColumn("_n", F.count("*").over(Window.partitionBy("file"))).where("row_idx < _n - 1")
-    pattern = F.trim(F.get("c", F.lit(1)))
+        f = f.where("row_idx < _last")
+
+    def cell(name: str) -> Column:
+        at = F.array_position("_names", name).cast("int")
+        return F.when(at > 0, F.trim(F.get("c", at - 1)))
+
+    pattern = cell("pattern")
     missing = (pattern == "") | ((pattern == "NA") if na_is_null else F.lit(False))
-    status = F.coalesce(F.trim(F.get("c", F.lit(3))).try_cast("int"), F.lit(0))
+    status = F.coalesce(cell("status").try_cast("int"), F.lit(0))
     return f.select(
         "file", F.substring_index("file", ".", 1).alias("model_id"), F.col("row_idx").alias("rule_idx"),
-        F.when(~missing, pattern).alias("pattern"), _number(F.get("c", F.lit(2))).alias("weight"), status.alias("status"),
+        F.when(~missing, pattern).alias("pattern"), cell("weight").try_cast("double").alias("weight"), status.alias("status"),
     )
 
 
 def evolution_log(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file, generation, ...): rows have nine values under eight names, so they are read by position."""
-    f = _fields(spark, path, glob)
+    f = _fields(spark, path, glob).where("row_idx >= 0")
     cols = []
     for i, spec in enumerate(LOG_COLUMNS.split(", ")):
         name, kind = spec.split()
@@ -83,7 +117,7 @@ def evolution_log(spark: SparkSession, path: str, glob: str | None = None) -> Da
 
 def pairs(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
     """(key, code) of a dimension table: alphabet, codons, hydropathy."""
-    f = _fields(spark, path, None)
+    f = _fields(spark, path, None).where("row_idx >= 0")
     code = F.trim(F.get("c", F.lit(1)))
     return f.select(F.trim(F.get("c", F.lit(0))).alias("key"), (code if value == "string" else code.try_cast(value)).alias("code"))
 
@@ -110,8 +144,8 @@ def truncate(spark: SparkSession, path: str, schema: str) -> None:
 
 
 def result_table(wide: DataFrame, path: str) -> None:
-    """The sink of a model x data set table: rows in data set order, without their index."""
-    overwrite(wide.orderBy("row_idx").drop("row_idx"), path, single=True)
+    """The sink of a model x data set table: files whose rows, in the order of their names, are in data set order."""
+    overwrite(wide.orderBy("row_idx").drop("row_idx"), path)
 
 
 def setup(folder: str) -> dict[str, str]:
