@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from weft import checkpoints
 
 _own: dict[str, str] = {}
+#: After so many tables the driver collects garbage: broadcast blocks stay on executors until it does.
+COLLECT_EVERY = 8
+_written = 0
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,6 +42,7 @@ def saved(df: DataFrame, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
     write's shuffle files go with it, and so do the saved tables in ``drop``,
     which nothing may read any more.
     """
+    global _written
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
@@ -47,6 +52,10 @@ def saved(df: DataFrame, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
+    _written += 1
+    if _written % COLLECT_EVERY == 0:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     for old in drop:
         _remove(spark, old._saved_at)
     out = spark.read.schema(schema).parquet(path)

@@ -167,7 +167,7 @@ def near_duplicates(
         "node", "did", F.coalesce("component", "node").alias("part")
     )
     least = saved(named.groupBy("part").agg(F.min("did").alias("component")))
-    named = saved(named.join(least, "part").select("node", "component"))
+    named = saved(named.join(least, "part").select("node", "component"), drop=(buckets, members, central, pivots, sets, nodes, least))
     out = marked.select("did", "rh", "n", "node").join(named, "node", "left")
     return out.select("did", "rh", "n", F.coalesce("component", "did").alias("component"))
 

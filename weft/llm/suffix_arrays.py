@@ -270,7 +270,7 @@ def repeated_spans(
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
-    return saved(out)
+    return saved(out, drop=(phrases, some, open_))
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

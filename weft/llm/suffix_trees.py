@@ -159,7 +159,8 @@ def repeated_windows(
         rest = rest.drop("prefix")
         nodes = saved(rest.groupBy("suffix").agg(F.min("did").alias("least")))
         out = out.unionByName(rest.join(nodes, "suffix").where("did > least").select("did", "tag", "at"))
-    return saved(settled.unionByName(out.select("did", "tag", F.col("at").alias("lo"), F.lit(1).alias("n"))))
+    out = settled.unionByName(out.select("did", "tag", F.col("at").alias("lo"), F.lit(1).alias("n")))
+    return saved(out, drop=(found, classes, rows))
 
 
 def _strip(length: int):
