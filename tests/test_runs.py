@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_scoring import brute
 
 from weft import checkpoints, runs
+from weft.__main__ import main
 from weft.plans.row_index import ordered_index
 from weft.sources import files
 
@@ -40,6 +41,15 @@ def test_measure_and_compare(spark, folders):
     assert got.best_model == min(value, key=value.get) and got.average == pytest.approx(sum(value.values()) / 2)
 
 
+def test_command(spark, folders):
+    at, learn, _ = folders
+    (at / "config.ini").write_text("# a run\nseed = 5\nmeasure = correlation\n")
+    common = ["-config", f"{at}/config.ini", "-learn", f"{at}/learn.csv", "-out", f"{at}/cli"]
+    assert main(["-md", f"{at}/models", *common], spark).count() == len(learn)
+    got = main(["-c", f"{at}/models", *common], spark).first()
+    assert got.best_model in ("a", "b") and got.best_value <= got.average
+
+
 def test_predict(spark, folders):
     at, _, _ = folders
     got = runs.predict(spark, f"{at}/models", f"{at}/learn.csv", count=3, size=8, iterations=1, pool=40).collect()

@@ -312,10 +312,13 @@ def _lcg(seed: int, *slots: str) -> str:
 
 
 _CHILDREN, _SIZE, _SEED = 24, 5, 17
-_ENTRANTS = f"""{T.SQL_POPULATION}, {T.SQL_INDIVIDUALS}, numbered AS (SELECT *, row_number() OVER (ORDER BY ind) - 1 AS num FROM pop),
+
+
+def _entrants(children: int, size: int, seed: int, generation: int) -> str:
+    return f"""{T.SQL_POPULATION}, {T.SQL_INDIVIDUALS}, numbered AS (SELECT *, row_number() OVER (ORDER BY ind) - 1 AS num FROM pop),
 entrants AS (SELECT CAST(child AS INTEGER) AS child, CAST(draw AS INTEGER) AS draw, ind, fitness FROM
-  (SELECT child, draw, {_lcg(_SEED, '0', 'child', 'draw')} % (SELECT count(*) FROM pop) AS num
-   FROM range({_CHILDREN}) c(child), range({_SIZE}) e(draw)) JOIN numbered USING (num)),
+  (SELECT child, draw, {_lcg(seed, str(generation), 'child', 'draw')} % (SELECT count(*) FROM pop) AS num
+   FROM range({children}) c(child), range({size}) e(draw)) JOIN numbered USING (num)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY fitness, draw) AS place FROM entrants),
 close AS (SELECT r.child, r.draw, count(*) AS c FROM ranked r JOIN inds i ON i.ind = r.ind
   JOIN ranked b ON b.child = r.child AND b.place = 1
@@ -323,6 +326,9 @@ close AS (SELECT r.child, r.draw, count(*) AS c FROM ranked r JOIN inds i ON i.i
 judged AS (SELECT r.*, coalesce(c, 0) AS closeness FROM ranked r LEFT JOIN close USING (child, draw))"""
 
 
+_ENTRANTS = _entrants(_CHILDREN, _SIZE, _SEED, 0)
+
+
 @query(f"WITH {_ENTRANTS} SELECT child, draw, ind, fitness, place FROM ranked")
 def tournament(spark, d):
     e = evolve.draw_entrants(T.population(spark, d), _CHILDREN, _SIZE, _SEED)
@@ -335,10 +341,19 @@ def pattern_overlap(spark, d):
     return evolve.closeness(T.individuals(spark, d), e).select("child", "draw", "ind", "closeness")
 
 
-_PARENTS = f"""{_ENTRANTS}, tops AS (SELECT child, max(fitness) FILTER (place > 1) AS mf, max(closeness) FILTER (place > 1) AS mc FROM judged GROUP BY 1),
+_CHOICE = """tops AS (SELECT child, max(fitness) FILTER (place > 1) AS mf, max(closeness) FILTER (place > 1) AS mc FROM judged GROUP BY 1),
 valued AS (SELECT j.*, CASE WHEN mc = 0 THEN fitness ELSE coalesce(fitness / nullif(mf, 0), 0.0) + 0.5 * closeness / nullif(mc, 0)::DOUBLE END AS value FROM judged j JOIN tops USING (child)),
 parents AS (SELECT child, max(ind) FILTER (place = 1) AS parent_a, max(ind) FILTER (k = 1) AS parent_b FROM
   (SELECT *, CASE WHEN place > 1 THEN row_number() OVER (PARTITION BY child, place > 1 ORDER BY value, place) END AS k FROM valued) GROUP BY 1)"""
+_PARENTS = f"{_ENTRANTS}, {_CHOICE}"
+
+
+def _crossed(seed: int, generation: int, keep: float) -> str:
+    """CTE crossed (child, rule_idx, pattern, weight, status) after parents."""
+    return f"""sides AS (SELECT child, 0 AS side, i.* FROM parents JOIN inds i ON ind = parent_a
+  UNION ALL SELECT child, 1, i.* FROM parents JOIN inds i ON ind = parent_b),
+crossed AS (SELECT child, CAST(row_number() OVER (PARTITION BY child ORDER BY length(pattern) DESC, rule_idx, side) - 1 AS INTEGER) AS rule_idx, pattern, weight, status
+  FROM sides WHERE status = 1 OR {_lcg(seed, str(generation), 'child', 'rule_idx', 'side')} / {evolve.PRIME}.0::DOUBLE < {keep})"""
 
 
 @query(f"WITH {_PARENTS} SELECT child, parent_a, parent_b FROM parents")
@@ -351,10 +366,7 @@ def _parents(spark, d):
     return evolve.choose_parents(evolve.closeness(T.individuals(spark, d), e), diversity=0.5)
 
 
-@query(f"""WITH {_PARENTS}, sides AS (SELECT child, 0 AS side, i.* FROM parents JOIN inds i ON ind = parent_a
-  UNION ALL SELECT child, 1, i.* FROM parents JOIN inds i ON ind = parent_b)
-SELECT child, CAST(row_number() OVER (PARTITION BY child ORDER BY length(pattern) DESC, rule_idx, side) - 1 AS INTEGER) AS rule_idx, pattern, weight, status
-FROM sides WHERE status = 1 OR {_lcg(_SEED, '0', 'child', 'rule_idx', 'side')} / {evolve.PRIME}.0::DOUBLE < 0.2""")
+@query(f"WITH {_PARENTS}, {_crossed(_SEED, 0, 0.2)} SELECT child, rule_idx, pattern, weight, status FROM crossed")
 def crossover_interleave(spark, d):
     return evolve.crossover(_parents(spark, d), T.individuals(spark, d), 0.2, _SEED)
 
@@ -381,12 +393,6 @@ def evaluate_population(spark, d):
     return run(evolve.nest(T.individuals(spark, d))).select("ind", r6("fitness"), r6("test"))
 
 
-@query()
-def evolve_step(spark, d):
-    p = evolve.nest(T.individuals(spark, d)).join(T.population(spark, d), "ind")
-    return evolve.next_generation(p.select("ind", "fitness", "rules"), 7, 1, size=40, diversity=0.5)
-
-
 @query("""SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer
 UNION ALL SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey)""")
 def insert_unique(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import evolve, search
 from weft.plans import tables as T
-from weft.plans.registry import _HYDRO, _inputs, _lcg, query
+from weft.plans.registry import _CHOICE, _HYDRO, _crossed, _entrants, _inputs, _lcg, query
 
 SEED, GENERATION, MAX_RULES, RULE_SIZE, LOW, HIGH = 5, 1, 100, T.MAX_PATTERN, -10.0, 10.0
 _RULE = ("ind", "rule_idx", "pattern", "weight", "status")
@@ -31,25 +31,30 @@ def _random_rule(seed: int, idx: str, *slots: str) -> str:
 _RENUMBER = "CAST(row_number() OVER (PARTITION BY ind ORDER BY length(pattern) DESC, rule_idx) - 1 AS INTEGER) AS rule_idx"
 
 
-def _mutate_sql(add: float = 0, remove: float = 0, weight: float = 0, insert: float = 0, delete: float = 0) -> str:
+def _mutate_ctes(src: str, seed: int, add: float = 0, remove: float = 0, weight: float = 0, insert: float = 0, delete: float = 0) -> str:
+    """CTEs from src (ind, rule_idx, pattern, weight, status) to mutated, of the same columns."""
     g = str(GENERATION)
 
     def u(*slots: str) -> str:
-        return _u(SEED, g, "ind", *slots)
+        return _u(seed, g, "ind", *slots)
 
     longer = f"""CASE WHEN {u('10', 'i')} < {insert} AND length(pattern) < {RULE_SIZE} THEN
-    substr(pattern, 1, CAST(spot AS INTEGER)) || {_letter(SEED, g, 'ind', '9', 'i')} || substr(pattern, CAST(spot AS INTEGER) + 1) ELSE pattern END"""
-    return f"""WITH {T.SQL_INDIVIDUALS}, n AS (SELECT ind, count(*) AS n FROM inds GROUP BY 1),
-grown AS (SELECT ind, rule_idx, pattern, weight, status FROM inds UNION ALL
-  SELECT ind, n AS rule_idx, {_random_rule(SEED, 'n', g, 'ind', '7')}, 0 AS status FROM n WHERE {u('1')} < {add} AND n < {MAX_RULES}),
+    substr(pattern, 1, CAST(spot AS INTEGER)) || {_letter(seed, g, 'ind', '9', 'i')} || substr(pattern, CAST(spot AS INTEGER) + 1) ELSE pattern END"""
+    return f"""sizes AS (SELECT ind, count(*) AS n FROM {src} GROUP BY 1),
+grown AS (SELECT ind, rule_idx, pattern, weight, status FROM {src} UNION ALL
+  SELECT ind, n AS rule_idx, {_random_rule(seed, 'n', g, 'ind', '7')}, 0 AS status FROM sizes WHERE {u('1')} < {add} AND n < {MAX_RULES}),
 m AS (SELECT ind, count(*) AS n FROM grown GROUP BY 1),
 cut AS (SELECT ind, rule_idx, pattern, weight, status, row_number() OVER (PARTITION BY ind ORDER BY rule_idx) - 1 AS i FROM grown JOIN m USING (ind)
-  WHERE NOT ({u('3')} < {remove} AND rule_idx = {_lcg(SEED, g, 'ind', '2')} % n)),
+  WHERE NOT ({u('3')} < {remove} AND rule_idx = {_lcg(seed, g, 'ind', '2')} % n)),
 one AS (SELECT ind, rule_idx, status, i, CASE WHEN {u('6', 'i')} < {weight} THEN weight + round({u('4', 'i')}, 2) * CASE WHEN {u('5', 'i')} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END ELSE weight END AS weight,
-  {longer} AS pattern FROM (SELECT *, {_lcg(SEED, g, 'ind', '8', 'i')} % (length(pattern) + 1) AS spot FROM cut)),
+  {longer} AS pattern FROM (SELECT *, {_lcg(seed, g, 'ind', '8', 'i')} % (length(pattern) + 1) AS spot FROM cut)),
 two AS (SELECT ind, rule_idx, status, weight, CASE WHEN {u('12', 'i')} < {delete} THEN substr(pattern, 1, c - 1) || substr(pattern, c + 1) ELSE pattern END AS pattern
-  FROM (SELECT *, CAST({_lcg(SEED, g, 'ind', '11', 'i')} % greatest(length(pattern), 1) + 1 AS INTEGER) AS c FROM one))
-SELECT ind, {_RENUMBER}, pattern, round(weight, 6) AS weight, status FROM two WHERE length(pattern) > 0"""
+  FROM (SELECT *, CAST({_lcg(seed, g, 'ind', '11', 'i')} % greatest(length(pattern), 1) + 1 AS INTEGER) AS c FROM one)),
+mutated AS (SELECT ind, {_RENUMBER}, pattern, round(weight, 6) AS weight, status FROM two WHERE length(pattern) > 0)"""
+
+
+def _mutate_sql(**rates: float) -> str:
+    return f"WITH {T.SQL_INDIVIDUALS}, {_mutate_ctes('inds', SEED, **rates)} SELECT ind, rule_idx, pattern, weight, status FROM mutated"
 
 
 def _mutated(spark, d, **rates: float) -> DataFrame:
@@ -91,6 +96,21 @@ def mutate_rules(spark, d):
     return _mutated(spark, d, **_ALL)
 
 
+_STEP, _TENTH = 7, dict(add=0.1, remove=0.1, weight=0.1, insert=0.1, delete=0.1)
+
+
+# No child has more than MAX_RULES rules here, so trimming, which trim_rules holds, changes nothing.
+@query(f"""WITH {_entrants(39, 5, _STEP, GENERATION)}, {_CHOICE}, {_crossed(_STEP, GENERATION, 0.2)},
+best AS (SELECT ind FROM pop ORDER BY fitness, ind LIMIT 1),
+born AS (SELECT child + 1 AS ind, rule_idx, pattern, weight, status FROM crossed
+  UNION ALL SELECT 0, rule_idx, pattern, weight, status FROM inds WHERE ind = (SELECT ind FROM best)),
+{_mutate_ctes('born', _STEP, **_TENTH)} SELECT CAST(ind AS INTEGER) AS ind, rule_idx, pattern, weight, status FROM mutated""")
+def evolve_step(spark, d):
+    p = evolve.nest(T.individuals(spark, d)).join(T.population(spark, d), "ind")
+    out = evolve.next_generation(p.select("ind", "fitness", "rules"), _STEP, GENERATION, size=40, diversity=0.5)
+    return evolve.flatten(out).select("ind", "rule_idx", "pattern", F.round("weight", 6).alias("weight"), "status")
+
+
 _KEEP = 8
 
 
