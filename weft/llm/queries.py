@@ -13,6 +13,7 @@ from weft.llm import (
     language_id,
     minhash,
     mixing,
+    packing,
     radix,
     sentencepiece_codec,
     sharding,
@@ -69,6 +70,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), labels, held_out("doc_id", 5, 0))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(documents(spark, sf_dir), packing.load(), end=1))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.fill_in_middle(documents(spark, sf_dir)))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
+    "op12_packing": op12_packing,
     "op13_infill": op13_infill,
 }
 
