@@ -19,6 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` over a partition for each core at least, for work that is done where the rows are read: a file of few row
+    groups would keep most cores idle."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def keyed(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, rh, text, *more): null text becomes empty; all other columns are left behind."""
     ship(docs.sparkSession)

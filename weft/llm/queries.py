@@ -22,7 +22,7 @@ from weft.llm import (
     suffix_trees,
     toxicity,
 )
-from weft.llm._rows import documents
+from weft.llm._rows import dealt, documents
 from weft.llm._sample import held_out
 
 
@@ -78,11 +78,11 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack(documents(spark, sf_dir), packing.load(), end=1))
+    return packing.digests(packing.pack(dealt(documents(spark, sf_dir).select("doc_id", "text")), packing.load(), end=1))
 
 
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infill.digests(infill.fill_in_middle(documents(spark, sf_dir)))
+    return infill.digests(infill.fill_in_middle(dealt(documents(spark, sf_dir).select("doc_id", "text"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
