@@ -31,6 +31,21 @@ def test_ids_are_the_library_s(text):
     assert np.frombuffer(ENCODER.encode(text), packing.IDS).tolist() == library_ids(text)
 
 
+@settings(max_examples=2000, deadline=None)
+@given(st.text(st.sampled_from("abcdefghijklmnopqrstuvwxyzABCDEFGéèêñüßØÿ"), min_size=1, max_size=30), st.sampled_from(["", " ", "\n"]), st.text(st.sampled_from(".,!*$%&#'-"), max_size=4))
+def test_simple_words(letters, before, after):
+    word = before + letters + after
+    assert packing.SIMPLE.fullmatch(word) and ENCODER.simple(word) == library_ids(word)
+
+
+def test_other_vocabularies_use_the_library_alone():
+    import json
+
+    d = json.loads(SPEC)
+    assert packing.merges_by_rank(json.dumps(d | {"normalizer": {"type": "Lowercase"}}).encode()) is None
+    assert packing.merges_by_rank(json.dumps(d | {"model": d["model"] | {"merges": d["model"]["merges"][::-1]}}).encode()) is None
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 2047), st.integers(1, 60), max_size=40))
 def test_plan(counts):

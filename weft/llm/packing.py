@@ -26,11 +26,13 @@ length takes which place depends on how the input is split into tasks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,12 +55,39 @@ FLUSH = 4 << 20
 IDS = np.dtype("<u4")
 
 
+#: Words of Latin letters, then punctuation: every library cuts them alike.
+SIMPLE = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+[!-/:-@\[-`{-~]*")
+#: How byte-level vocabularies cut a text before merging (fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def merges_by_rank(spec: bytes) -> Callable[[str], list[int]] | None:
+    """The vocabulary's merges run by ``tiktoken``, three times as fast on single words, if its ids follow the merges' order
+    and it is byte-level without exceptions; else None."""
+    import tiktoken
+
+    d = json.loads(spec)
+    model, cut = d["model"], d["pre_tokenizer"] or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if model["type"] != "BPE" or not plain or d["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex"):
+        return None
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow 255
+    byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in visible)}
+    special = {t["content"] for t in d["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    pairs = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    made = [model["vocab"][x] for x in pairs]
+    if made != sorted(made) or len(pairs) + 256 != len(ranks):
+        return None
+    return tiktoken.Encoding("merges", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Encoder:
     """A tokenizer of the ``tokenizers`` library, asked once for each word.
 
     Such a tokenizer cuts a text before each blank that follows a character that isn't one, so the ids of a text are
     those of its words, each with the blank before it.  Words that end in a character that may count as a blank are
-    joined with the next.
+    joined with the next.  Simple words go through ``merges_by_rank`` where the vocabulary allows it.
     """
 
     #: At most one blank and what follows up to the next.
@@ -69,10 +98,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(spec)
+        self.simple = merges_by_rank(spec)
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, IDS).tobytes()
+        if self.simple and SIMPLE.fullmatch(text):
+            return array("I", self.simple(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids, each in four bytes, the least significant first."""
