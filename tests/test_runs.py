@@ -43,7 +43,7 @@ def test_measure_and_compare(spark, folders):
 
 def test_command(spark, folders):
     at, learn, _ = folders
-    (at / "config.ini").write_text("# a run\nseed = 5\nmeasure = correlation\n")
+    (at / "config.ini").write_text("# a run\nseed = 5\nfitness_alg = correlation\n")
     common = ["-config", f"{at}/config.ini", "-learn", f"{at}/learn.csv", "-out", f"{at}/cli"]
     assert main(["-md", f"{at}/models", *common], spark).count() == len(learn)
     got = main(["-c", f"{at}/models", *common], spark).first()
@@ -59,15 +59,50 @@ def test_predict(spark, folders):
 def test_train_writes_log_and_model(spark, folders):
     at, _, _ = folders
     last = runs.train(spark, f"{at}/learn.csv", f"{at}/out", generations=2, size=4, max_rules=9, rule_size=2)
-    assert last.count() == 4
+    assert last.count() == 4 and last.columns == ["seed", "ind", "fitness", "rules"]
     log = spark.read.option("header", True).option("inferSchema", True).csv(f"{at}/out/log").orderBy("generation").collect()
     assert [r.generation for r in log] == [0, 1, 2] and all(r.best_used_rule_count <= r.best_rule_count for r in log)
-    model = files.models(spark, f"{at}/out/model", drop_last=False)
+    model = files.models(spark, f"{at}/out/model/seed=1", drop_last=False)
     best = last.orderBy("fitness", "ind").first()
     want = [(r["rule_idx"], r["pattern"], r["weight"], r["status"]) for r in best["rules"]]
     assert [tuple(r) for r in model.orderBy("rule_idx").select("rule_idx", "pattern", "weight", "status").collect()] == want
 
 
+CONFIGURATION = """
+seed = 3
+population_size = 5   # few
+maximum_rule_size = 2
+maximum_rule_count = 6
+rule_weight_min = 1.0
+rule_weight_max = 2.0
+runs = 1
+crossover_unused_selection_chance = 1.0
+fitness_alg = correlation
+tournament_size = 2
+diversity_selection = True
+diversity_weight = 0.01
+mut_add_rule = 0
+mut_change_weight = 0
+mut_add_to_pattern = 0
+"""
+
+
+def test_configuration_reaches_the_run(spark, folders):
+    at, _, _ = folders
+    want = runs.options(files.parse_config(CONFIGURATION))
+    assert want == {
+        "size": 5, "rule_size": 2, "max_rules": 6, "low": 1.0, "high": 2.0, "tournament": 2, "keep_unused": 1.0, "metric": "correlation",
+        "diversity": 0.01, "rates": {"add": 0.0, "remove": 0.1, "weight": 0.0, "insert": 0.0, "delete": 0.1},
+    }
+    (at / "run.ini").write_text(CONFIGURATION)
+    end = main(["-config", f"{at}/run.ini", "-learn", f"{at}/learn.csv", "-out", f"{at}/seeds", "-repeats", "2"], spark).collect()
+    assert sorted((r.seed, r.ind) for r in end) == [(s, i) for s in (3, 4) for i in range(5)]
+    for r in end:
+        assert 0 <= r.fitness <= 1 and len(r.rules) <= 6 and all(1 <= x.weight <= 2 and len(x.pattern) <= 2 for x in r.rules)
+    log = files.evolution_log(spark, f"{at}/seeds/log")
+    assert sorted(r.run for r in spark.read.option("header", True).csv(f"{at}/seeds/log").collect()) == ["3", "3", "4", "4"] and log.count() == 4
+
+
 def test_ordered_index(spark):
     d = spark.range(500).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5).alias("v")).repartition(7)
     rows = [(r.id, r.g, r.v) for r in d.collect()]

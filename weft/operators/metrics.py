@@ -23,17 +23,30 @@ def rmse_cv10(predictions: DataFrame, by: str = "model_id") -> DataFrame:
     return cv10(predictions.groupBy(by).agg(F.count("*").alias("n"), _sse().alias("sse")), by)
 
 
-def cv10(g: DataFrame, by: str = "model_id") -> DataFrame:
-    """The same from (model_id, n, sse)."""
+def cv10(g: DataFrame, by: str = "model_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same from (model_id, n, sse), and the columns ``keep``."""
     t = F.floor(F.col("n") / 10)
     ok = F.col("n") >= 10
     return g.select(
         by, "n",
         F.when(ok, F.sqrt(9 * F.col("sse") / (10 * (F.col("n") - t)))).alias("train"),
-        F.when(ok, F.sqrt(F.try_divide(F.col("sse"), (10 * t).cast("double")))).alias("test"),
+        F.when(ok, F.sqrt(F.try_divide(F.col("sse"), (10 * t).cast("double")))).alias("test"), *keep,
     )
 
 
+def from_sums(g: DataFrame, metric: str, by: str = "model_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(model_id, train, test, *keep) by the metric's name from ``scoring.model_sums``."""
+    if metric == "RMSE":
+        return cv10(g, by, keep).select(by, "train", "test", *keep)
+    if metric != "correlation":
+        raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
+    n = F.col("n")
+    both = n * F.col("sf") - F.col("s") * F.col("f")
+    spread = (n * F.col("ss") - F.pow("s", F.lit(2))) * (n * F.col("ff") - F.pow("f", F.lit(2)))
+    flat = (F.col("low") == F.col("high")) | (spread <= 0)
+    return g.select(by, F.when(flat, 1.0).otherwise(1 - F.try_divide(both * both, spread)).alias("train"), F.lit(0.0).alias("test"), *keep)
+
+
 def rmse_chunks(predictions: DataFrame) -> DataFrame:
     """(model_id, chunk, n, sse): chunk = floor(i / (n / 10)), the last one taking the rest."""
     p = predictions.join(predictions.groupBy("model_id").agg(F.count("*").alias("_n")), "model_id")  # a row for each model

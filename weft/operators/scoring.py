@@ -21,7 +21,9 @@ weight).  A null or empty pattern never matches but stays a rule.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUM, PRODUCT = 0, 1
@@ -45,20 +47,29 @@ def match_strings(rules: DataFrame) -> DataFrame:
     return usable.select("model_id", "rule_idx", "weight", F.explode(both).alias("gram"))
 
 
-def kgrams(sequences: DataFrame, lengths: DataFrame, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+def kgrams(
+    sequences: DataFrame, lengths: DataFrame, carry: tuple[str, ...] = (), whole: bool = False, site: str | None = None, every: bool = False
+) -> DataFrame:
     """(seq_id, *carry, pos, gram) for every position and each k of ``lengths`` (k) that fits there.
 
     ``lengths`` has a row for each distinct pattern length, so it is joined as a broadcast array: as wide as the
     longest pattern at most.  With ``whole`` every sequence, empty and null ones too, has the empty gram at position 0.
+    With ``site``, a column, only the positions are taken whose grams may cover that one.  With ``every`` a position at
+    which no gram fits has a null one.
     """
     ks = lengths.agg(F.sort_array(F.collect_set("k")).alias("ks"))
     text = F.coalesce("sequence", F.lit(""))
-    s = sequences.select("seq_id", *carry, text.alias("_text")).join(F.broadcast(ks))
+    s = sequences.select("seq_id", *carry, text.alias("_text"), *([F.col(site).alias("_site")] if site else [])).join(F.broadcast(ks))
     n = F.length("_text")
-    from_ = 0 if whole else 1
-    s = (s if whole else s.where(n > 0)).withColumn("pos", F.explode(F.sequence(F.lit(from_), n)))
+    from_ = F.lit(0 if whole else 1)
+    if site:
+        s = s.where("_site BETWEEN 1 AND length(_text)")
+        places = F.sequence(F.greatest(F.lit(1), F.col("_site") - F.coalesce(F.array_max("ks"), F.lit(1)) + 1), F.col("_site"))
+    else:
+        places = F.sequence(from_, n)
+    s = (s if whole else s.where(n > 0)).withColumn("pos", F.explode(places))
     fitting = F.filter("ks", lambda k: F.col("pos") + k - 1 <= n)
-    s = s.withColumn("k", F.explode(F.when(F.col("pos") == 0, F.array(F.lit(0))).otherwise(fitting)))
+    s = s.withColumn("k", (F.explode_outer if every else F.explode)(F.when(F.col("pos") == 0, F.array(F.lit(0))).otherwise(fitting)))
     return s.select("seq_id", *carry, "pos", F.substring(F.col("_text"), F.col("pos"), F.col("k")).alias("gram"))
 
 
@@ -89,6 +100,24 @@ def hits(sequences: DataFrame, rules: DataFrame) -> DataFrame:
     return _first_rules(sequences, rules)
 
 
+def position_sums(sequences: DataFrame, rules: DataFrame, site: str | None = None) -> DataFrame:
+    """(seq_id, sums): the winning weights of all models together, for each position of a sequence in order.
+
+    With ``site``, a column of ``sequences``, only for the positions whose first rules depend on that letter: from the
+    longest pattern before it up to the site itself.  An empty sequence has no row.
+    """
+    strings, weights = match_strings(rules).drop("weight"), rules.select("model_id", "rule_idx", "weight")
+    lengths = strings.select(F.length("gram").alias("k")).distinct()
+    if is_small(rules):
+        strings, weights = F.broadcast(strings), F.broadcast(weights)
+    parts = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = kgrams(sequences.repartition(parts, "seq_id"), lengths, site=site, every=True)
+    won = grams.join(strings, "gram", "left").groupBy("seq_id", "pos", "model_id").agg(F.min("rule_idx").alias("rule_idx"))
+    at = won.join(weights, ["model_id", "rule_idx"], "left").groupBy("seq_id", "pos").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("s"))
+    placed = F.array_sort(F.collect_list(F.struct("pos", "s")))
+    return at.groupBy("seq_id").agg(F.transform(placed, lambda x: x["s"]).alias("sums"))
+
+
 def score(
     sequences: DataFrame, rules: DataFrame, models: DataFrame | None = None, mode: int = SUM, carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -130,10 +159,9 @@ def flat(models: DataFrame) -> DataFrame:
 def score_nested(sequences: DataFrame, rules: DataFrame) -> DataFrame:
     """(model_id, seq_id, score) row by row, without a shuffle of the sequences; for few rules or exact order of addition.
 
-    More than ``BROADCAST_ROWS`` rules raise: every rule is tried at every position, so ``score`` is the form for them.
+    Every rule is tried at every position.  Up to ``BROADCAST_ROWS`` rules all models go to all sequences; beyond, each
+    model meets the sequences by a shuffle, a row for each model.
     """
-    if not is_small(rules):
-        raise ValueError(f"more than {BROADCAST_ROWS} rules; use score")
     m = nested(rules).withColumn(
         "rules",
         F.transform("rules", lambda r: F.struct(
@@ -151,7 +179,8 @@ def score_nested(sequences: DataFrame, rules: DataFrame) -> DataFrame:
         F.array().cast("array<int>")
     )
     total = F.aggregate(positions, F.lit(0.0), lambda acc, pos: acc + at(pos))
-    return sequences.join(F.broadcast(m)).select("model_id", "seq_id", F.coalesce(total, F.lit(0.0)).alias("score"))
+    pairs = sequences.join(F.broadcast(m) if is_small(rules) else m)
+    return pairs.select("model_id", "seq_id", F.coalesce(total, F.lit(0.0)).alias("score"))
 
 
 def absolute_error(scores: DataFrame, actual: DataFrame) -> DataFrame:
@@ -183,8 +212,99 @@ def drop_unused(status: DataFrame) -> DataFrame:
     return status.where(F.col("status") != 0)
 
 
+#: Rule numbers that a bitmap's word holds.
+WORD = 64
+#: Rules of larger models aren't noted in bitmaps.
+MOST_WORDS = 64
+
+
+def bitmap_words(rules: DataFrame) -> int:
+    """How many words the bitmap of a model's rules has; 0 where there would be more than ``MOST_WORDS``."""
+    top = rules.agg(F.max("rule_idx")).first()[0]
+    words = 1 if top is None else top // WORD + 1
+    return words if words <= MOST_WORDS else 0
+
+
+def model_sums(
+    sequences: DataFrame, rules: DataFrame, models: DataFrame | None = None, index: GramIndex | None = None, words: int | None = None
+) -> DataFrame:
+    """(model_id, n, sse, s, ss, sf, f, ff, low, high, won): what a model's metrics need, in one pass over the hits.
+
+    ``s`` and ``ss`` sum the scores and their squares, ``sf`` scores times fitness, ``f`` and ``ff`` fitness, ``low`` and
+    ``high`` are the least and greatest score, all over every sequence (seq_id, sequence, fitness); ``won`` is a bitmap of
+    the rules that won a position, as ``words`` words of 64 bits (null for 0).  A sequence without a hit scores 0 for every model, so the pairs of
+    models and sequences are never made.  With ``index`` the sequences' grams are read from it.
+    """
+    models = rules.select("model_id").distinct() if models is None else models.select("model_id")
+    words = bitmap_words(rules) if words is None else words
+    won = _first_rules(sequences, rules, ("fitness",)) if index is None else index.first_rules(rules)
+    bits = [F.when(F.floor(F.col("rule_idx") / WORD) == w, F.expr(f"shiftleft(1L, rule_idx - {w * WORD})")).otherwise(F.lit(0)) for w in range(words)]
+    f = F.col("fitness")
+    per = won.groupBy("model_id", "seq_id", "fitness").agg(F.sum("weight").alias("x"), *[F.bit_or(b).alias(f"w{w}") for w, b in enumerate(bits)])
+    x = F.col("x")
+    g = per.groupBy("model_id").agg(
+        F.count("*").alias("hit"), F.sum(F.pow(x - f, 2) - f * f).alias("d"), F.sum("x").alias("s"), F.sum(x * x).alias("ss"), F.sum(x * f).alias("sf"),
+        F.min("x").alias("low"), F.max("x").alias("high"),
+        (F.array(*[F.bit_or(f"w{w}") for w in range(words)]) if words else F.lit(None).cast("array<long>")).alias("won"),
+    )
+    every = index.totals if index else sequences.agg(F.count("*").alias("n"), F.sum("fitness").alias("f"), F.sum(f * f).alias("ff"))
+    out = models.join(g, "model_id", "left").join(F.broadcast(every))  # one row
+    zero, missed = F.lit(0.0), F.coalesce("hit", F.lit(0)) < F.col("n")
+    none = F.array(*[F.lit(0).cast("long")] * words) if words else F.lit(None).cast("array<long>")
+    return out.select(
+        "model_id", "n", (F.coalesce("ff", zero) + F.coalesce("d", zero)).alias("sse"), *[F.coalesce(c, zero).alias(c) for c in ("s", "ss", "sf", "f", "ff")],
+        F.when(missed, F.least("low", zero)).otherwise(F.col("low")).alias("low"), F.when(missed, F.greatest("high", zero)).otherwise(F.col("high")).alias("high"),
+        F.coalesce("won", none).alias("won"),
+    )
+
+
+def has_won(won: Column, rule_idx: Column) -> Column:
+    """1 if the rule is in a bitmap of ``model_sums``, else 0."""
+    word = F.get(won, F.floor(rule_idx / WORD).cast("int"))
+    return F.call_function("getbit", word, F.pmod(rule_idx, F.lit(WORD)).cast("int")).cast("int")
+
+
+@dataclass(frozen=True)
+class GramIndex:
+    """A learn set's k-grams, written once and read by every generation: a bucketed table (seq_id, fitness, gram, positions).
+
+    Its buckets are those of ``seq_id``, so that neither the join with broadcast rules nor a position's first rule nor a
+    sequence's sum has an exchange.  Rules beyond ``BROADCAST_ROWS`` are joined by shuffle.
+    """
+
+    spark: SparkSession
+    name: str
+    longest: int
+    totals: DataFrame
+
+    @classmethod
+    def write(cls, sequences: DataFrame, name: str, longest: int, buckets: int, path: str | None = None) -> GramIndex:
+        """Of sequences (seq_id, sequence, fitness), for patterns of up to ``longest`` letters."""
+        spark = sequences.sparkSession
+        lengths = spark.range(1, longest + 1).select(F.col("id").cast("int").alias("k"))
+        grams = kgrams(sequences.repartition(buckets, "seq_id"), lengths, ("fitness",))
+        rows = grams.groupBy("seq_id", "fitness", "gram").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        out = rows.write.mode("overwrite").bucketBy(buckets, "seq_id").sortBy("seq_id")
+        (out.option("path", path) if path else out).saveAsTable(name)
+        f = F.col("fitness")
+        every = sequences.agg(F.count("*").alias("n"), F.sum("fitness").alias("f"), F.sum(f * f).alias("ff")).first()
+        return cls(spark, name, longest, spark.createDataFrame([tuple(every)], "n long, f double, ff double"))
+
+    def first_rules(self, rules: DataFrame) -> DataFrame:
+        """(model_id, seq_id, fitness, pos, rule_idx, weight), as ``hits`` has them."""
+        strings, weights = match_strings(rules).drop("weight"), rules.select("model_id", "rule_idx", "weight")
+        if is_small(rules):
+            strings, weights = F.broadcast(strings), F.broadcast(weights)
+        met = self.spark.table(self.name).join(strings, "gram").select("model_id", "seq_id", "fitness", "rule_idx", F.explode("positions").alias("pos"))
+        won = met.groupBy("model_id", "seq_id", "fitness", "pos").agg(F.min("rule_idx").alias("rule_idx"))
+        return won.join(weights, ["model_id", "rule_idx"]).select("model_id", "seq_id", "fitness", "pos", "rule_idx", "weight")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS `{self.name}`")
+
+
 def squared_errors(sequences: DataFrame, rules: DataFrame, models: DataFrame | None = None) -> DataFrame:
-    """(model_id, n, sse) over all sequences (seq_id, sequence, fitness), from the hits alone.
+    """(model_id, n, sse) over all sequences (seq_id, sequence, fitness), from the hits alone; for models of any number of rules.
 
     A sequence without a hit adds fitness² for every model, so the pairs of models and sequences are never made.
     """

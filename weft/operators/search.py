@@ -30,10 +30,14 @@ def soluble(sequence: str | Column) -> Column:
 
 def candidates(spark: SparkSession, n: int, size: int, seed: int) -> DataFrame:
     """(cand_id, sequence): random sequences; size 0 or less gives all of them one random length from 8 to 12."""
-    d = spark.range(n).select(F.col("id").alias("cand_id"))
+    return candidates_for(spark.range(n).select(F.col("id").alias("cand_id")), size, seed)
+
+
+def candidates_for(ids: DataFrame, size: int, seed: int) -> DataFrame:
+    """The same for given ids (cand_id)."""
     length = F.lit(size) if size > 0 else integer(8, 12, seed, -1)
     text = F.array_join(F.transform(F.sequence(F.lit(1), length), lambda k: letter(seed, "cand_id", k)), "")
-    return d.select("cand_id", text.alias("sequence"))
+    return ids.select("cand_id", text.alias("sequence"))
 
 
 def ensemble_score(sequences: DataFrame, rules: DataFrame) -> DataFrame:
@@ -50,10 +54,11 @@ def novel(cands: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def point_mutants(cands: DataFrame, seed: int, iteration: int) -> DataFrame:
-    """(cand_id, mutant): one random site gets a random letter, which may be the old one."""
-    at = integer(F.lit(1), F.length("sequence"), seed, iteration, "cand_id", 1)
-    new = F.overlay("sequence", letter(seed, iteration, "cand_id", 2), at, F.lit(1))
-    return cands.select("cand_id", new.alias("mutant"))
+    """(cand_id, mutant, site): one random site gets a random letter, which may be the old one; an empty sequence has none."""
+    d = cands.select("cand_id", "sequence").where(F.length("sequence") > 0)
+    d = d.withColumn("site", integer(F.lit(1), F.length("sequence"), seed, iteration, "cand_id", 1))
+    new = F.overlay("sequence", letter(seed, iteration, "cand_id", 2), F.col("site"), F.lit(1))
+    return d.select("cand_id", new.alias("mutant"), "site")
 
 
 def climb_step(cands: DataFrame, rules: DataFrame, known: DataFrame, seed: int, iteration: int) -> DataFrame:
@@ -71,12 +76,35 @@ def climb_step(cands: DataFrame, rules: DataFrame, known: DataFrame, seed: int,
     )
 
 
+def rescored(cands: DataFrame, mutants: DataFrame, rules: DataFrame) -> DataFrame:
+    """(cand_id, sequence, fitness, sums, mutant, new_sums) of cands (cand_id, sequence, fitness, sums) and their mutants.
+
+    ``sums`` are those of ``scoring.position_sums``.  A changed letter can change the first rules only of positions that lie
+    less than the longest pattern before it, so of a sequence of n letters longest / n of the grams are made and matched.
+    """
+    local = scoring.position_sums(mutants.select(F.col("cand_id").alias("seq_id"), F.col("mutant").alias("sequence"), "site"), rules, "site")
+    d = cands.join(mutants, "cand_id").join(local.select(F.col("seq_id").alias("cand_id"), F.col("sums").alias("_local")), "cand_id")
+    before = F.slice("sums", F.lit(1), F.col("site") - F.size("_local"))
+    after = F.slice("sums", F.col("site") + 1, F.length("sequence"))
+    return d.select(*cands.columns, "mutant", F.concat(before, "_local", after).alias("new_sums"))
+
+
 def climb(cands: DataFrame, rules: DataFrame, known: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """A bounded number of steps, each checkpointed."""
+    """(cand_id, sequence, fitness) after a bounded number of ``climb_step``s, each checkpointed.
+
+    Candidates keep their positions' sums, so a step scores anew only what its mutation may change.
+    """
     checkpoints.ensure(cands.sparkSession)
-    start = ensemble_score(cands.select(F.col("cand_id").alias("seq_id"), "sequence"), rules)
-    now = cands.join(start.select(F.col("seq_id").alias("cand_id"), F.col("score").alias("fitness")), "cand_id")
-    now = now.select("cand_id", "sequence", "fitness").checkpoint()
+    n = rules.select("model_id").distinct().count()
+    mean = lambda text, sums: F.when(soluble(text), F.try_divide(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x), F.lit(n))).otherwise(0.0)
+    sums = scoring.position_sums(cands.select(F.col("cand_id").alias("seq_id"), "sequence"), rules).withColumnRenamed("seq_id", "cand_id")
+    now = cands.join(sums, "cand_id", "left").withColumn("sums", F.coalesce("sums", F.array().cast("array<double>")))
+    now = now.select("cand_id", "sequence", mean("sequence", "sums").alias("fitness"), "sums").checkpoint()
+    seen = known.select(F.col("sequence").alias("mutant")).distinct().withColumn("_known", F.lit(True))
     for i in range(1, iterations + 1):
-        now = climb_step(now, rules, known, seed, i).checkpoint()
-    return now
+        m = rescored(now, point_mutants(now, seed, i), rules).join(seen, "mutant", "left")
+        m = m.select("cand_id", "mutant", F.when(F.col("_known"), 0.0).otherwise(mean("mutant", "new_sums")).alias("new"), "new_sums")
+        better = F.coalesce(F.col("new") > F.col("fitness"), F.lit(False))
+        pick = lambda a, b: F.when(better, F.col(a)).otherwise(F.col(b)).alias(b)  # noqa: E731, B023
+        now = now.join(m, "cand_id", "left").select("cand_id", pick("mutant", "sequence"), pick("new", "fitness"), pick("new_sums", "sums")).checkpoint()
+    return now.select("cand_id", "sequence", "fitness")

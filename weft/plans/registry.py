@@ -41,12 +41,12 @@ def score_models(spark, d):
     return scoring.score(*_inputs(spark, d))
 
 
-@query(f"WITH {T.SQL_HITS} SELECT model_id, seq_id, 0.0::DOUBLE AS score, hits FROM preds")
+@query(f"WITH {T.SQL_SCORED} SELECT model_id, seq_id, 0.0::DOUBLE AS score, hits FROM scored")
 def score_product_mode(spark, d):
     return scoring.score(*_inputs(spark, d), mode=scoring.PRODUCT)
 
 
-@query(f"WITH {T.SQL_HITS} SELECT model_id, seq_id, score, fitness, abs(score - fitness) AS error FROM preds")
+@query(f"WITH {T.SQL_SCORED} SELECT model_id, seq_id, score, fitness, abs(score - fitness) AS error FROM scored")
 def abs_error(spark, d):
     return _predictions(spark, d)
 
@@ -202,9 +202,9 @@ def complete_runs(spark, d):
     return reports.complete_runs(T.evolution(spark, d), 5).select("run", "generation", r6("best_fitness"))
 
 
-@query(f"WITH {T.SQL_EVOLUTION} SELECT run, count(*) AS n FROM evo GROUP BY 1 HAVING count(*) < 5")
+@query(f"WITH {T.SQL_EVOLUTION} SELECT run, count(*) AS n FROM evo GROUP BY 1 HAVING count(*) < 66")
 def rejected_runs(spark, d):
-    return reports.complete_runs(T.evolution(spark, d), 5, complete=False)
+    return reports.complete_runs(T.evolution(spark, d), 66, complete=False)
 
 
 @query(f"""WITH {T.SQL_EVOLUTION} SELECT run AS best_run, round(best_fitness, 6) AS best_fitness FROM evo WHERE generation = 2
@@ -314,8 +314,9 @@ def _lcg(seed: int, *slots: str) -> str:
 _CHILDREN, _SIZE, _SEED = 24, 5, 17
 
 
-def _entrants(children: int, size: int, seed: int, generation: int) -> str:
-    return f"""{T.SQL_POPULATION}, {T.SQL_INDIVIDUALS}, numbered AS (SELECT *, row_number() OVER (ORDER BY ind) - 1 AS num FROM pop),
+def _draws(children: int, size: int, seed: int, generation: int) -> str:
+    """CTEs from pop and inds to judged, the entrants by place with their closeness."""
+    return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY ind) - 1 AS num FROM pop),
 entrants AS (SELECT CAST(child AS INTEGER) AS child, CAST(draw AS INTEGER) AS draw, ind, fitness FROM
   (SELECT child, draw, {_lcg(seed, str(generation), 'child', 'draw')} % (SELECT count(*) FROM pop) AS num
    FROM range({children}) c(child), range({size}) e(draw)) JOIN numbered USING (num)),
@@ -326,19 +327,27 @@ close AS (SELECT r.child, r.draw, count(*) AS c FROM ranked r JOIN inds i ON i.i
 judged AS (SELECT r.*, coalesce(c, 0) AS closeness FROM ranked r LEFT JOIN close USING (child, draw))"""
 
 
+def _entrants(children: int, size: int, seed: int, generation: int) -> str:
+    return f"{T.SQL_POPULATION}, {T.SQL_INDIVIDUALS}, {_draws(children, size, seed, generation)}"
+
+
 _ENTRANTS = _entrants(_CHILDREN, _SIZE, _SEED, 0)
 
 
+def _tournaments(spark, d) -> DataFrame:
+    p = T.population(spark, d).join(evolve.nest(T.individuals(spark, d)), "ind", "left")
+    return evolve.tournaments(p, _CHILDREN, _SIZE, _SEED)
+
+
 @query(f"WITH {_ENTRANTS} SELECT child, draw, ind, fitness, place FROM ranked")
 def tournament(spark, d):
-    e = evolve.draw_entrants(T.population(spark, d), _CHILDREN, _SIZE, _SEED)
-    return ordering.rank_entrants(e).withColumn("place", F.col("place").cast("long"))
+    e = _tournaments(spark, d).select("child", F.posexplode("entrants").alias("place", "e"))
+    return e.select("child", "e.draw", "e.ind", "e.fitness", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query(f"WITH {_ENTRANTS} SELECT child, draw, ind, closeness FROM judged")
 def pattern_overlap(spark, d):
-    e = evolve.draw_entrants(T.population(spark, d), _CHILDREN, _SIZE, _SEED)
-    return evolve.closeness(T.individuals(spark, d), e).select("child", "draw", "ind", "closeness")
+    return _tournaments(spark, d).select("child", F.explode("entrants").alias("e")).select("child", "e.draw", "e.ind", "e.closeness")
 
 
 _CHOICE = """tops AS (SELECT child, max(fitness) FILTER (place > 1) AS mf, max(closeness) FILTER (place > 1) AS mc FROM judged GROUP BY 1),
@@ -358,17 +367,14 @@ crossed AS (SELECT child, CAST(row_number() OVER (PARTITION BY child ORDER BY le
 
 @query(f"WITH {_PARENTS} SELECT child, parent_a, parent_b FROM parents")
 def tournament_diversity(spark, d):
-    return _parents(spark, d)
-
-
-def _parents(spark, d):
-    e = evolve.draw_entrants(T.population(spark, d), _CHILDREN, _SIZE, _SEED)
-    return evolve.choose_parents(evolve.closeness(T.individuals(spark, d), e), diversity=0.5)
+    p = evolve.choose_parents(_tournaments(spark, d), diversity=0.5)
+    return p.select("child", F.col("parent_a.ind").alias("parent_a"), F.col("parent_b.ind").alias("parent_b"))
 
 
 @query(f"WITH {_PARENTS}, {_crossed(_SEED, 0, 0.2)} SELECT child, rule_idx, pattern, weight, status FROM crossed")
 def crossover_interleave(spark, d):
-    return evolve.crossover(_parents(spark, d), T.individuals(spark, d), 0.2, _SEED)
+    c = evolve.crossover(evolve.choose_parents(_tournaments(spark, d), diversity=0.5), 0.2, _SEED)
+    return c.select("child", F.explode("rules").alias("r")).select("child", "r.*")
 
 
 @query(f"""WITH {T.SQL_INDIVIDUALS}, k AS (SELECT *, sum(CASE WHEN status = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY ind, pattern) AS used,
@@ -378,21 +384,47 @@ def duplicate_rules(spark, d):
     return evolve.remove_duplicates(T.individuals(spark, d))
 
 
-@query(f"""WITH {T.SQL_SEQUENCES}, {T.SQL_INDIVIDUALS},
-strings AS (SELECT DISTINCT ind, rule_idx, weight, unnest([pattern, reverse(pattern)]) AS gram FROM inds),
-lens AS (SELECT DISTINCT length(gram) AS k FROM strings),
-grams AS (SELECT seq_id, pos, substr(sequence, pos, k) AS gram
-  FROM (SELECT seq_id, sequence, unnest(range(1, length(sequence) + 1)) AS pos FROM seqs) CROSS JOIN lens WHERE pos + k - 1 <= length(sequence)),
-hits AS (SELECT ind, seq_id, pos, arg_min(weight, rule_idx) AS weight FROM grams JOIN strings USING (gram) GROUP BY 1, 2, 3),
-per AS (SELECT ind, seq_id, sum(weight) AS s FROM hits GROUP BY 1, 2),
-g AS (SELECT i.ind, count(*) AS n, sum(power(coalesce(s, 0) - fitness, 2)) AS sse FROM seqs q CROSS JOIN (SELECT DISTINCT ind FROM inds) i
-  LEFT JOIN per p ON p.ind = i.ind AND p.seq_id = q.seq_id GROUP BY 1)
-SELECT ind, round(sqrt(9 * sse / (10 * (n - n // 10))), 6) AS fitness, round(sqrt(sse / (10 * (n // 10))), 6) AS test FROM g""")
+def _measured(src: str, out: str, who: str = "") -> str:
+    """CTEs from src (ind, rule_idx, pattern, weight) and seqs to out (ind, fitness, test) and out_won (ind, rule_idx)."""
+    who = who or f"(SELECT DISTINCT ind FROM {src})"
+    return f"""{out}_s AS (SELECT DISTINCT ind, rule_idx, weight, unnest([pattern, reverse(pattern)]) AS gram FROM {src}),
+{out}_l AS (SELECT DISTINCT length(gram) AS k FROM {out}_s),
+{out}_g AS (SELECT seq_id, pos, substr(sequence, pos, k) AS gram
+  FROM (SELECT seq_id, sequence, unnest(range(1, length(sequence) + 1)) AS pos FROM seqs) CROSS JOIN {out}_l WHERE pos + k - 1 <= length(sequence)),
+{out}_h AS MATERIALIZED (SELECT ind, seq_id, pos, min(rule_idx) AS rule_idx, arg_min(weight, rule_idx) AS weight FROM {out}_g JOIN {out}_s USING (gram) GROUP BY 1, 2, 3),
+{out}_won AS (SELECT DISTINCT ind, rule_idx FROM {out}_h),
+{out}_p AS (SELECT ind, seq_id, sum(weight) AS s FROM {out}_h GROUP BY 1, 2),
+{out}_e AS (SELECT i.ind, count(*) AS n, sum(power(coalesce(s, 0) - fitness, 2)) AS sse FROM seqs q CROSS JOIN {who} i
+  LEFT JOIN {out}_p p ON p.ind = i.ind AND p.seq_id = q.seq_id GROUP BY 1),
+{out} AS MATERIALIZED (SELECT ind, sqrt(9 * sse / (10 * (n - n // 10))) AS fitness, sqrt(sse / (10 * (n // 10))) AS test FROM {out}_e)"""
+
+
+_EVALUATED = f"""WITH {T.SQL_SEQUENCES}, {T.SQL_INDIVIDUALS}, {_measured("inds", "g")}
+SELECT ind, round(fitness, 6) AS fitness, round(test, 6) AS test FROM g"""
+
+
+@query(_EVALUATED)
 def evaluate_population(spark, d):
-    run = evolve.rmse_evaluator(T.sequences(spark, d))
+    run = evolve.evaluator(T.sequences(spark, d))
+    return run(evolve.nest(T.individuals(spark, d))).select("ind", r6("fitness"), r6("test"))
+
+
+@query(_EVALUATED)
+def evaluate_indexed(spark, d):
+    """The same from the positional index of the learn set."""
+    s = T.sequences(spark, d)
+    run = evolve.evaluator(s, index=T.index(s))
     return run(evolve.nest(T.individuals(spark, d))).select("ind", r6("fitness"), r6("test"))
 
 
+@query(f"""WITH {T.SQL_SEQUENCES}, {T.SQL_INDIVIDUALS}, {_measured("inds", "g")} SELECT i.ind, i.rule_idx, CAST(w.rule_idx IS NOT NULL AS INTEGER) AS status
+FROM inds i LEFT JOIN g_won w ON w.ind = i.ind AND w.rule_idx = i.rule_idx""")
+def evaluated_status(spark, d):
+    """The statuses that an evaluation sets."""
+    out = evolve.evaluator(T.sequences(spark, d))(evolve.nest(T.individuals(spark, d)))
+    return evolve.flatten(out).select("ind", "rule_idx", "status")
+
+
 @query("""SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer
 UNION ALL SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey)""")
 def insert_unique(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import evolve, search
 from weft.plans import tables as T
-from weft.plans.registry import _CHOICE, _HYDRO, _crossed, _entrants, _inputs, _lcg, query
+from weft.plans.registry import _CHOICE, _HYDRO, _crossed, _draws, _entrants, _inputs, _lcg, _measured, query, r6
 
 SEED, GENERATION, MAX_RULES, RULE_SIZE, LOW, HIGH = 5, 1, 100, T.MAX_PATTERN, -10.0, 10.0
 _RULE = ("ind", "rule_idx", "pattern", "weight", "status")
@@ -31,8 +31,9 @@ def _random_rule(seed: int, idx: str, *slots: str) -> str:
 _RENUMBER = "CAST(row_number() OVER (PARTITION BY ind ORDER BY length(pattern) DESC, rule_idx) - 1 AS INTEGER) AS rule_idx"
 
 
-def _mutate_ctes(src: str, seed: int, add: float = 0, remove: float = 0, weight: float = 0, insert: float = 0, delete: float = 0) -> str:
-    """CTEs from src (ind, rule_idx, pattern, weight, status) to mutated, of the same columns."""
+def _mutate_ctes(src: str, seed: int, add: float = 0, remove: float = 0, weight: float = 0, insert: float = 0, delete: float = 0, who: str = "") -> str:
+    """CTEs from src (ind, rule_idx, pattern, weight, status) to mutated, of the same columns; who: the individuals."""
+    who = who or f"(SELECT DISTINCT ind FROM {src})"
     g = str(GENERATION)
 
     def u(*slots: str) -> str:
@@ -40,7 +41,7 @@ def _mutate_ctes(src: str, seed: int, add: float = 0, remove: float = 0, weight:
 
     longer = f"""CASE WHEN {u('10', 'i')} < {insert} AND length(pattern) < {RULE_SIZE} THEN
     substr(pattern, 1, CAST(spot AS INTEGER)) || {_letter(seed, g, 'ind', '9', 'i')} || substr(pattern, CAST(spot AS INTEGER) + 1) ELSE pattern END"""
-    return f"""sizes AS (SELECT ind, count(*) AS n FROM {src} GROUP BY 1),
+    return f"""sizes AS (SELECT w.ind, count(s.ind) AS n FROM {who} w LEFT JOIN {src} s ON s.ind = w.ind GROUP BY 1),
 grown AS (SELECT ind, rule_idx, pattern, weight, status FROM {src} UNION ALL
   SELECT ind, n AS rule_idx, {_random_rule(seed, 'n', g, 'ind', '7')}, 0 AS status FROM sizes WHERE {u('1')} < {add} AND n < {MAX_RULES}),
 m AS (SELECT ind, count(*) AS n FROM grown GROUP BY 1),
@@ -127,15 +128,50 @@ def trim_rules(spark, d):
     return n.select("ind", "before", F.posexplode("rules").alias("place", "r")).select("ind", "before", "place", "r.*")
 
 
-_INIT = 110
+_INIT = 40
 
 
-@query(f"""WITH c AS (SELECT CAST(ind AS INTEGER) AS ind, unnest(range(1 + {_lcg(_INIT, '0', 'ind', '-1')} % 33)) AS rule_idx FROM range(100) t(ind)),
-r AS (SELECT ind, rule_idx, {_random_rule(_INIT, 'rule_idx', '0', 'ind')} FROM c)
-SELECT ind, {_RENUMBER}, pattern, round(weight, 6) AS weight, 0 AS status FROM r""")
+@query(f"""WITH runs AS (SELECT n_nationkey + 110 AS seed FROM nation),
+c AS (SELECT seed, CAST(ind AS INTEGER) AS ind, unnest(range(1 + {_lcg('seed', '0', 'ind', '-1')} % 33)) AS rule_idx FROM runs, range({_INIT}) t(ind)),
+r AS (SELECT seed, ind, rule_idx, {_random_rule('seed', 'rule_idx', '0', 'ind')} FROM c)
+SELECT seed, ind, {_RENUMBER.replace("PARTITION BY ind", "PARTITION BY seed, ind")}, pattern, round(weight, 6) AS weight, 0 AS status FROM r""")
 def init_models(spark, d):
-    p = evolve.flatten(evolve.init_population(spark, 100, 100, RULE_SIZE, LOW, HIGH, _INIT))
-    return p.select("ind", "rule_idx", "pattern", F.round("weight", 6).alias("weight"), "status")
+    """A population for each run; there is a run for each nation."""
+    runs = T.read(spark, d, "nation").select((F.col("n_nationkey") + 110).cast("long").alias("seed"))
+    p = evolve.flatten(evolve.init_population(spark, _INIT, 100, RULE_SIZE, LOW, HIGH, 0, runs), ("seed",))
+    return p.select("seed", "ind", "rule_idx", "pattern", F.round("weight", 6).alias("weight"), "status")
+
+
+_SEEDS, _POP, _FEW, _TINY = (5, 9), 8, 12, dict(add=0.1, remove=0.1, weight=0.1, insert=0.1, delete=0.1)
+_ALL_INDS = f"(SELECT CAST(k AS INTEGER) AS ind FROM range({_POP}) t(k))"
+
+
+def _one_run(seed: int) -> str:
+    """One run of one generation: initialised, measured, a generation on, measured, and the elite guarded."""
+    return f"""SELECT CAST({seed} AS BIGINT) AS seed, * FROM (WITH
+c AS (SELECT CAST(ind AS INTEGER) AS ind, unnest(range(1 + {_lcg(seed, '0', 'ind', '-1')} % {_FEW // 3})) AS rule_idx FROM range({_POP}) t(ind)),
+r AS (SELECT ind, rule_idx, {_random_rule(seed, 'rule_idx', '0', 'ind')} FROM c),
+start AS MATERIALIZED (SELECT ind, {_RENUMBER}, pattern, weight FROM r), {_measured("start", "pop")},
+inds AS MATERIALIZED (SELECT s.ind, s.rule_idx, pattern, weight, CAST(w.rule_idx IS NOT NULL AS INTEGER) AS status
+  FROM start s LEFT JOIN pop_won w ON w.ind = s.ind AND w.rule_idx = s.rule_idx),
+{_draws(_POP - 1, 5, seed, 1)}, {_CHOICE}, {_crossed(seed, 1, 0.2)},
+best AS (SELECT ind, fitness FROM pop ORDER BY fitness, ind LIMIT 1),
+born AS (SELECT CAST(child + 1 AS INTEGER) AS ind, rule_idx, pattern, weight, status FROM crossed
+  UNION ALL SELECT 0, rule_idx, pattern, weight, status FROM inds WHERE ind = (SELECT ind FROM best)),
+{_mutate_ctes('born', seed, **_TINY, who=_ALL_INDS)}, {_measured("mutated", "after", _ALL_INDS)}
+SELECT a.ind, round(least(a.fitness, CASE WHEN a.ind = 0 THEN b.fitness ELSE a.fitness END), 6) AS fitness,
+  CASE WHEN a.ind = 0 AND b.fitness < a.fitness THEN (SELECT count(*) FROM inds WHERE ind = b.ind) ELSE (SELECT count(*) FROM mutated m WHERE m.ind = a.ind) END AS rules
+FROM after a, best b)"""
+
+
+# The children of these seeds have few enough rules to be left as they are by trimming.
+@query(f"WITH {T.SQL_SEQUENCES} " + " UNION ALL ".join(_one_run(s) for s in _SEEDS))
+def replicate_runs(spark, d):
+    """Whole runs of two seeds, one generation each, as one program."""
+    out = evolve.replicate_runs(
+        spark, T.sequences(spark, d), list(_SEEDS), 1, _POP, max_rules=_FEW, rule_size=RULE_SIZE, low=LOW, high=HIGH, diversity=0.5, rates=_TINY
+    )
+    return out.select("seed", "ind", r6("fitness"), F.size("rules").cast("long").alias("rules"))
 
 
 @query(f"WITH {T.SQL_POPULATION} SELECT ind, fitness FROM pop ORDER BY fitness, ind LIMIT 1")
@@ -165,27 +201,51 @@ def _score_sql(x: str) -> str:
   THEN coalesce(s, 0.0) / (SELECT count(DISTINCT model_id) FROM rules) ELSE 0.0 END AS score FROM {x} LEFT JOIN {x}_s USING (id))"""
 
 
-_POOL, _SIZE, _CLIMB = 10000, 12, 3
+_SIZE, _CLIMB, _STEPS = 12, 3, 3
+
+_POOL = f"""c0 AS MATERIALIZED (SELECT c_custkey AS id, array_to_string(list_transform(range(1, {_SIZE + 1}), lambda k: {_letter(_CLIMB, 'c_custkey', 'k')}), '') AS sequence FROM customer)"""
+_STRINGS = """strings AS MATERIALIZED (SELECT DISTINCT model_id, rule_idx, weight, unnest([pattern, reverse(pattern)]) AS gram FROM rules),
+lens AS (SELECT DISTINCT length(gram) AS k FROM strings)"""
+
+
+def _step_sql(i: int) -> str:
+    """CTEs from c{i-1}_v (id, sequence, score) to c{i}_v after one mutation each."""
+    b = f"c{i - 1}_v"
+    return f"""m{i} AS MATERIALIZED (SELECT id, substr(sequence, 1, spot - 1) || {_letter(_CLIMB, str(i), 'id', '2')} || substr(sequence, spot + 1) AS sequence
+  FROM (SELECT *, CAST(1 + {_lcg(_CLIMB, str(i), 'id', '1')} % length(sequence) AS INTEGER) AS spot FROM {b})),
+{_score_sql(f'm{i}')},
+c{i}_v AS MATERIALIZED (SELECT id, CASE WHEN g > f THEN new ELSE old END AS sequence, CASE WHEN g > f THEN g ELSE f END AS score FROM (
+  SELECT c.id, c.sequence AS old, m.sequence AS new, c.score AS f, CASE WHEN EXISTS (SELECT 1 FROM seqs q WHERE q.sequence = m.sequence) THEN 0.0 ELSE m.score END AS g
+  FROM {b} c JOIN m{i}_v m USING (id)))"""
+
 
+def _climb_sql(steps: int) -> str:
+    return f"""WITH {T.SQL_SEQUENCES}, {T.SQL_RULES}, {_STRINGS}, {_POOL}, {_score_sql('c0')}, {', '.join(_step_sql(i) for i in range(1, steps + 1))}
+SELECT id AS cand_id, sequence, round(score, 6) AS fitness FROM c{steps}_v"""
 
-@query(f"""WITH {T.SQL_SEQUENCES}, {T.SQL_RULES},
-strings AS (SELECT DISTINCT model_id, rule_idx, weight, unnest([pattern, reverse(pattern)]) AS gram FROM rules),
-lens AS (SELECT DISTINCT length(gram) AS k FROM strings),
-c AS MATERIALIZED (SELECT id, array_to_string(list_transform(range(1, {_SIZE + 1}), lambda k: {_letter(_CLIMB, 'id', 'k')}), '') AS sequence FROM range({_POOL}) t(id)),
-m AS MATERIALIZED (SELECT id, substr(sequence, 1, spot - 1) || {_letter(_CLIMB, '1', 'id', '2')} || substr(sequence, spot + 1) AS sequence
-  FROM (SELECT *, CAST(1 + {_lcg(_CLIMB, '1', 'id', '1')} % length(sequence) AS INTEGER) AS spot FROM c)),
-{_score_sql('c')}, {_score_sql('m')},
-j AS (SELECT c.id, c.sequence AS old, m.sequence AS new, c.score AS f, CASE WHEN EXISTS (SELECT 1 FROM seqs q WHERE q.sequence = m.sequence) THEN 0.0 ELSE m.score END AS g
-  FROM c_v c JOIN m_v m USING (id))
-SELECT id AS cand_id, CASE WHEN g > f THEN new ELSE old END AS sequence, round(CASE WHEN g > f THEN g ELSE f END, 6) AS fitness FROM j""")
+
+def _pool(spark, d) -> DataFrame:
+    """A candidate for each customer."""
+    ids = T.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("cand_id"))
+    return search.candidates_for(ids, _SIZE, _CLIMB)
+
+
+@query(_climb_sql(1))
 def search_step(spark, d):
     s, r = _inputs(spark, d)
-    c = search.candidates(spark, _POOL, _SIZE, _CLIMB)
+    c = _pool(spark, d)
     start = search.ensemble_score(c.select(F.col("cand_id").alias("seq_id"), "sequence"), r)
     c = c.join(start.select(F.col("seq_id").alias("cand_id"), F.col("score").alias("fitness")), "cand_id")
     return search.climb_step(c, r, s, _CLIMB, 1).select("cand_id", "sequence", F.round("fitness", 6).alias("fitness"))
 
 
-@query(f"""SELECT id AS cand_id, array_to_string(list_transform(range(1, {_SIZE + 1}), lambda k: {_letter(_CLIMB, 'id', 'k')}), '') AS sequence FROM range({_POOL}) t(id)""")
+@query(_climb_sql(_STEPS))
+def climb_loop(spark, d):
+    """Several steps, each of which scores anew only what its mutation may change."""
+    s, r = _inputs(spark, d)
+    return search.climb(_pool(spark, d), r, s, _STEPS, _CLIMB).select("cand_id", "sequence", F.round("fitness", 6).alias("fitness"))
+
+
+@query(f"WITH {_POOL} SELECT id AS cand_id, sequence FROM c0")
 def candidate_pool(spark, d):
-    return search.candidates(spark, _POOL, _SIZE, _CLIMB)
+    return _pool(spark, d)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft import checkpoints
 from weft.functions import scalars
-from weft.operators import crud, evolve, metrics, ordering, scoring
+from weft.operators import crud, metrics, ordering, scoring
 from weft.plans import tables as T
 from weft.plans.registry import _FIT, _IDX, _indexed, _predictions, query, r6
 from weft.sources import files
@@ -47,10 +47,11 @@ def model_scan_whole(spark, d):
     return files.models(spark, _model_files(spark, d), drop_last=False).select("rule_idx", "pattern", "weight", "status")
 
 
-@query(f"SELECT unnest(string_split('{' '.join(evolve.ALPHABET)}', ' ')) AS key, unnest(string_split('{' '.join(evolve.ALPHABET)}', ' ')) AS code")
+@query(f"WITH {T.SQL_SEQUENCES}, l AS (SELECT DISTINCT unnest(string_split(sequence, '')) AS key FROM seqs) SELECT key, key AS code FROM l WHERE key <> ''")
 def alphabet_scan(spark, d):
+    """The alphabet of the learn set, through a file."""
     at = _folder(spark)
-    letters = spark.range(len(evolve.ALPHABET)).select(F.substring(F.lit(evolve.ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)).alias("key"))
+    letters = T.sequences(spark, d).select(F.explode(F.split("sequence", "")).alias("key")).where("key <> ''").distinct()
     files.overwrite(letters.select("key", F.col("key").alias("code")), at)
     return files.pairs(spark, at)
 
@@ -141,16 +142,22 @@ def least_fit(spark, d):
     return ordering.by_value(T.sequences(spark, d).select("seq_id", "fitness"), "fitness", "seq_id", descending=False).limit(10)
 
 
-@query("SELECT * FROM (VALUES ('id', 'bigint', true), ('name', 'string', true), ('value', 'double', true)) t(col, kind, found)")
+_NATION = {"n_nationkey": "bigint", "n_name": "string", "n_regionkey": "bigint"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS col, '{k}' AS kind, true AS found, count({c}) AS filled FROM nation" for c, k in _NATION.items()))
 def catalog_tables(spark, d):
-    name = f"weft_{uuid.uuid4().hex}"
-    columns = crud.blueprint('{"name": "shop", "t": {"name": "TEXT", "value": "REAL"}}')[1]["t"]
-    crud.create_table(spark, name, columns)
-    crud.create_table(spark, name, columns)  # a second time changes nothing
+    """A catalog table with the columns of a given one, its rows, and what the catalog says of it."""
+    name, rows = f"weft_{uuid.uuid4().hex}", T.read(spark, d, "nation").select(*[F.col(c).cast(k).alias(c) for c, k in _NATION.items()])
+    for _ in range(2):  # a second time changes nothing
+        crud.create_table(spark, name, dict(rows.dtypes))
+    crud.insert(spark.table(name), rows).write.insertInto(name)
     found = crud.table_exists(spark, name) and name in crud.tables(spark)
-    rows = [(c, k, found) for c, k in crud.table_info(spark.table(name))]
+    kinds = dict(crud.table_info(spark.table(name)))
+    counts = spark.table(name).agg(*[F.count(c).alias(c) for c in kinds]).first()
+    out = spark.createDataFrame([(c, k, found, counts[c]) for c, k in kinds.items()], "col string, kind string, found boolean, filled long")
     spark.sql(f"DROP TABLE {name}")
-    return spark.createDataFrame(rows, "col string, kind string, found boolean")
+    return out
 
 
 _PAIR = ("r_regionkey", "r_name")

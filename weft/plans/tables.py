@@ -6,9 +6,14 @@ benchmark items, both reduced to the 20 letters of the alphabet.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft import checkpoints
+from weft.operators import scoring
+
 MODELS = 4
 MAX_PATTERN = 6
 
@@ -33,6 +38,13 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.col("sequence").alias("seq_id"), "sequence", fitness.alias("fitness"))
 
 
+def index(seqs: DataFrame) -> scoring.GramIndex:
+    """A positional index of sequences, in a catalog table whose files lie in the shared folder."""
+    name = f"weft_grams_{uuid.uuid4().hex}"
+    buckets = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scoring.GramIndex.write(seqs, name, MAX_PATTERN, buckets, f"{checkpoints.folder(seqs.sparkSession)}/{name}")
+
+
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model_id, rule_idx, pattern, weight): longest first, then in the order of appearance."""
     b = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(_words("text")).alias("p", "pattern"))
@@ -112,3 +124,12 @@ models AS (SELECT DISTINCT model_id FROM rules),
 per AS MATERIALIZED (SELECT model_id, seq_id, sum(weight) AS s, count(*) AS h FROM hits GROUP BY 1, 2),
 preds AS (SELECT m.model_id, q.seq_id, coalesce(s, 0.0)::DOUBLE AS score, coalesce(h, 0) AS hits, q.fitness
   FROM seqs q CROSS JOIN models m LEFT JOIN per p ON p.model_id = m.model_id AND p.seq_id = q.seq_id)"""
+
+#: The same predictions in one aggregation.
+SQL_SCORED = f"""{SQL_SEQUENCES}, {SQL_RULES},
+strings AS (SELECT DISTINCT model_id, rule_idx, weight, unnest([pattern, reverse(pattern)]) AS gram FROM rules),
+grams AS (SELECT seq_id, pos, substr(sequence, pos, k) AS gram
+  FROM (SELECT seq_id, sequence, unnest(range(1, length(sequence) + 1)) AS pos FROM seqs), range(1, {MAX_PATTERN + 1}) l(k) WHERE pos + k - 1 <= length(sequence)),
+firsts AS (SELECT model_id, seq_id, arg_min(weight, rule_idx) AS weight, 1 AS hit FROM grams JOIN strings USING (gram) GROUP BY model_id, seq_id, pos),
+either AS (SELECT * FROM firsts UNION ALL SELECT model_id, seq_id, 0.0, 0 FROM seqs, (SELECT DISTINCT model_id FROM rules)),
+scored AS (SELECT model_id, seq_id, sum(weight)::DOUBLE AS score, sum(hit)::BIGINT AS hits, any_value(fitness) AS fitness FROM either JOIN seqs USING (seq_id) GROUP BY 1, 2)"""

@@ -135,8 +135,18 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def overwrite(df: DataFrame, path: str, single: bool = False) -> None:
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+def put(df: DataFrame, path: str, *keys: str) -> None:
+    """Rows of ``keys`` into a CSV folder, each key's in a folder of its own (``of_<key>=``): writing them again, as after a
+    retry, replaces them and nothing else.  A row for each key is expected, so few rows."""
+    marked = df.select("*", *[F.col(k).alias(f"of_{k}") for k in keys]).coalesce(1)
+    out = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
+    out.partitionBy(*[f"of_{k}" for k in keys]).csv(path)
+
+
+def overwrite(df: DataFrame, path: str, single: bool = False, by: tuple[str, ...] = ()) -> None:
+    """``single``: in one file, for each value of ``by`` if there is any, whose columns name the folders."""
+    out = (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True)
+    (out.partitionBy(*by) if by else out).csv(path)
 
 
 def truncate(spark: SparkSession, path: str, schema: str) -> None:
