@@ -165,3 +165,36 @@ def test_contract(spark, monkeypatch):
 
     monkeypatch.setattr(builtins, "__import__", without)
     assert "score_models" in e.queries() and not any(k.startswith("op") for k in e.queries())
+
+
+def test_write_back_touches_only_changed_partitions(spark, tmp_path):
+    at = tmp_path / "t"
+    rows = [(k, "abc"[k % 3] if k % 7 else None, float(k)) for k in range(60)]
+    spark.createDataFrame(rows, "k int, p string, v double").repartition(2).write.partitionBy("p").parquet(str(at))
+    names = lambda: {p: sorted(x.name for x in (at / p).glob("*.parquet")) for p in sorted(x.name for x in at.glob("p=*"))}
+    back = lambda: sorted((r.k, r.p, r.v) for r in spark.read.parquet(str(at)).collect())
+    before = names()
+    crud.update_files(spark, str(at), {"v": F.col("v") + 100}, (F.col("p") == "a") & (F.col("k") > 30), ("p",))
+    rows = [(k, p, v + 100 if p == "a" and k > 30 else v) for k, p, v in rows]
+    assert sorted(back(), key=str) == sorted(rows, key=str)
+    after = names()
+    assert {p for p in before if before[p] != after[p]} == {"p=a"}
+    crud.delete_files(spark, str(at), F.col("p").isNull() | ((F.col("p") == "b") & (F.col("k") < 9)), ("p",))
+    rows = [r for r in rows if not (r[1] is None or (r[1] == "b" and r[0] < 9))]
+    assert sorted(back(), key=str) == sorted(rows, key=str)
+    last = names()
+    assert sorted(last) == ["p=a", "p=b", "p=c"] and last["p=a"] == after["p=a"] and last["p=c"] == before["p=c"]
+    crud.delete_files(spark, str(at), F.col("v") < 0, ("p",))
+    assert names() == last
+    with pytest.raises(ValueError):
+        crud.update_files(spark, str(at), {"p": F.lit("z")}, F.lit(True), ("p",))
+
+
+def test_cells_of_any_number_and_length(spark):
+    lines = {
+        "a,b": ["a", "b"], "": [""], ",": ["", ""], '"a,b", "c ""d"" e" ,f': ["a,b", 'c "d" e', "f"], 'x"y,z': ['x"y', "z"],
+        ",".join(['"q,r"'] * 16_000): ["q,r"] * 16_000, '"' + 'w""' * 50_000 + '",z': ['w"' * 50_000, "z"], "p," + "v" * 200_000: ["p", "v" * 200_000],
+    }
+    d = spark.createDataFrame([(k,) for k in lines], "line string")
+    for r in d.select("line", files._cells("line").alias("c")).collect():
+        assert r.c == lines[r.line], r.line[:40]

@@ -78,3 +78,40 @@ def update(df: DataFrame, values: dict[str, Column], condition: Column) -> DataF
 def delete(df: DataFrame, condition: Column) -> DataFrame:
     """A null condition deletes nothing."""
     return df.where(~F.coalesce(condition, F.lit(False)))
+
+
+def _touched(df: DataFrame, condition: Column, by: tuple[str, ...]) -> DataFrame:
+    """The rows of the partitions that hold a row that meets the condition."""
+    met = df.where(condition).select(*[F.col(c).alias(f"_m_{c}") for c in by]).distinct()
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+    return df.join(met, same, "left_semi")
+
+
+def _rewrite(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
+    out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(*by).parquet(path)
+
+
+def update_files(spark: SparkSession, path: str, values: dict[str, Column], condition: Column, by: tuple[str, ...]) -> None:
+    """Updates the Parquet folder ``path``, which is partitioned by the columns ``by``.
+
+    Only partitions with a row that meets the condition are written again; the files of the others stay as they are.
+    """
+    if moved := set(values) & set(by):
+        raise ValueError(f"rows can't be moved between partitions: {sorted(moved)}")
+    df = spark.read.parquet(path)
+    _rewrite(update(_touched(df, condition, by), values, condition), path, by)
+
+
+def delete_files(spark: SparkSession, path: str, condition: Column, by: tuple[str, ...]) -> None:
+    """Deletes rows of a Parquet folder in the same way; the folders of partitions that keep no row go."""
+    df = spark.read.parquet(path)
+    here = _touched(df.withColumn("_folder", F.regexp_replace("_metadata.file_path", "/[^/]*$", "")), condition, by)
+    kept = F.count_if(~F.coalesce(condition, F.lit(False))).alias("kept")
+    emptied = [r["_folder"] for r in here.groupBy("_folder").agg(kept).where("kept = 0").collect()]  # folders without a row
+    _rewrite(delete(_touched(df, condition, by), condition), path, by)
+    for folder in emptied:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(folder))
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

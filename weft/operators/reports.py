@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators.metrics import pearson
+from weft.operators.selection import quantiles
 from weft.plans.row_index import ordered_index
 
 #: Greater than any generation in a log.
@@ -27,7 +28,7 @@ def motif_count_histogram(status: DataFrame) -> DataFrame:
 def quartile_band(evo: DataFrame, generations: int | None = None) -> DataFrame:
     """(generation, q25, median, q75) of best_fitness over runs, exact with linear interpolation."""
     e = evo if generations is None else evo.where(F.col("generation") < generations)
-    q = e.groupBy("generation").agg(F.percentile("best_fitness", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(e, "best_fitness", (0.25, 0.5, 0.75), "generation")
     return q.select("generation", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
 
 
@@ -47,7 +48,7 @@ def median_surface(evo: DataFrame, generations: int | None = None, first_runs: i
         runs = evo.select("epoch", "run").distinct()  # a row for each run
         runs = runs.withColumn("r", F.row_number().over(Window.partitionBy("epoch").orderBy("run")))
         evo = evo.join(runs.where(F.col("r") <= first_runs).select("epoch", "run"), ["epoch", "run"], "left_semi")
-    return evo.groupBy("epoch", "generation").agg(F.median("best_fitness").alias("median"))
+    return quantiles(evo, "best_fitness", (0.5,), "epoch", "generation").select("epoch", "generation", F.col("q")[0].alias("median"))
 
 
 def polygon(points: DataFrame, by: str = "run") -> DataFrame:
@@ -93,21 +94,44 @@ def rank_agreement(predictions: DataFrame, top: int = 10, **options) -> DataFram
     )
 
 
-def adjacent_distinct(lines: DataFrame) -> DataFrame:
-    """(file, line_no, line): stripped lines that differ from the one before; leading blank lines vanish."""
-    stripped = lines.withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))
-    before = F.lag("line", 1, "").over(Window.partitionBy("file").orderBy("line_no"))
-    return stripped.withColumn("_before", before).where("line <> _before").drop("_before")
+#: Lines of a file that one task orders at a time.
+BLOCK = 65_536
 
 
-def repair_log(lines: DataFrame) -> DataFrame:
+def _blocks(lines: DataFrame, block: int) -> tuple[DataFrame, Window]:
+    """The lines with their block of consecutive numbers, and a window over a block: a file is read by many tasks."""
+    return lines.withColumn("_block", F.floor(F.col("line_no") / block)), Window.partitionBy("file", "_block").orderBy("line_no")
+
+
+def adjacent_distinct(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(file, line_no, line): stripped lines that differ from the one before; leading blank lines vanish.
+
+    Lines are compared within blocks; a block's first line is compared with the last one of the block before it, which
+    comes from a summary with a row for each block.
+    """
+    d, per = _blocks(lines.withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))), block)
+    last = d.groupBy("file", "_block").agg(F.max_by("line", "line_no").alias("_last"))
+    carried = last.select("file", "_block", F.lag("_last", 1, "").over(Window.partitionBy("file").orderBy("_block")).alias("_carried"))
+    d = d.withColumn("_before", F.lag("line").over(per)).withColumn("_first", F.row_number().over(per) == 1)
+    d = d.join(carried, ["file", "_block"])
+    before = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))
+    return d.where(F.col("line") != before).select(*lines.columns)
+
+
+def repair_log(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """Lines (file, line_no, generation, ...) without those of an attempt that a restart did again.
 
-    Read backwards, a line stays if its generation is below all that stayed, until 0.
+    Read backwards, a line stays if its generation is below all that stayed, until 0.  The least generation of the lines
+    after it is that of its block's, or of a later block's, of which a summary has a row each.
     """
-    later = Window.partitionBy("file").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = lines.withColumn("_least", F.coalesce(F.min("generation").over(later), F.lit(NO_GENERATION)))
-    return kept.where("generation < _least").drop("_least")
+    d, _ = _blocks(lines, block)
+    per = Window.partitionBy("file", "_block").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    least = d.groupBy("file", "_block").agg(F.min("generation").alias("_of_block"))
+    later = Window.partitionBy("file").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = least.select("file", "_block", F.coalesce(F.min("_of_block").over(later), F.lit(NO_GENERATION)).alias("_carried"))
+    here = F.coalesce(F.min("generation").over(per), F.lit(NO_GENERATION))
+    d = d.withColumn("_here", here).join(carried, ["file", "_block"])
+    return d.where(F.col("generation") < F.least("_here", "_carried")).select(*lines.columns)
 
 
 LOG_FIELDS = ("best_fitness", "best_test", "best_rule_count", "best_used_rule_count", "avg_fitness", "avg_test", "avg_rule_count", "avg_used_rule_count")

@@ -160,6 +160,34 @@ def catalog_tables(spark, d):
     return out
 
 
+def _order_files(spark: SparkSession, d: str) -> str:
+    at = _folder(spark)
+    o = T.read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o.write.partitionBy("o_orderpriority").parquet(at)
+    return at
+
+
+_RICH = "o_totalprice > 200000 AND o_orderpriority < '3'"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {_RICH} THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders")
+def update_table(spark, d):
+    """An update written back to a partitioned table, and the table read again."""
+    at = _order_files(spark, d)
+    crud.update_files(spark, at, {"o_orderstatus": F.lit("X")}, F.expr(_RICH), ("o_orderpriority",))
+    return spark.read.parquet(at).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+_POOR = "o_orderpriority = '5-LOW' OR (o_totalprice < 100000 AND o_orderpriority = '1-URGENT')"
+
+
+@query(f"SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT coalesce({_POOR}, false)")
+def delete_from_table(spark, d):
+    at = _order_files(spark, d)
+    crud.delete_files(spark, at, F.expr(_POOR), ("o_orderpriority",))
+    return spark.read.parquet(at).select("o_orderkey", "o_orderpriority")
+
+
 _PAIR = ("r_regionkey", "r_name")
 
 

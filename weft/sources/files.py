@@ -6,6 +6,7 @@ kept as a column, since tables have no order.
 
 from __future__ import annotations
 
+import fnmatch
 import re
 from pathlib import Path
 
@@ -48,11 +49,20 @@ def _lines(spark: SparkSession, path: str, glob: str | None = None, blank: bool
     return t.select("_path", "file", n.alias("line_no"), F.when(n == 0, F.regexp_replace("value", f"^{BOM}", "")).otherwise(F.col("value")).alias("line"))
 
 
+#: A cell with the comma before it: quoted, with commas and doubled quotes in it, or plain.  The quantifiers give nothing
+#: back, so a cell is matched without recursion however long it is.
+CELL = r',(\s*+"[^"]*+(?:""[^"]*+)*+"\s*+(?=,|$)|[^,]*+)'
+
+
 def _cells(line: str | Column) -> Column:
     """Cells between commas; a quoted cell may hold commas and doubled quotes."""
-    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    quoted = r'^\s*"(.*)"\s*$'
-    return F.transform(parts, lambda c: F.when(c.rlike(quoted), F.regexp_replace(F.regexp_extract(c, quoted, 1), '""', '"')).otherwise(c))
+    line = F.col(line) if isinstance(line, str) else line
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
+    bare = lambda c: F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.transform(parts, lambda c: F.when(
+        bare(c).startswith('"') & bare(c).endswith('"') & (F.length(bare(c)) > 1),
+        F.regexp_replace(F.substring(bare(c), F.lit(2), F.length(bare(c)) - 2), '""', '"'),
+    ).otherwise(c))
 
 
 def _fields(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
@@ -123,12 +133,13 @@ def pairs(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> list[str]:
-    """Names of the files of a folder, sorted; a folder of models or logs has few."""
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    rows = reader.load(path).select(F.col("_metadata.file_name").alias("f")).collect()
-    return sorted(r["f"] for r in rows)
+    """Names of the files in a folder and those below, sorted, as its file system lists them; a folder of models or logs has
+    few.  Names that Spark hides aren't listed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, names = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        names.append(found.next().getPath().getName())
+    return sorted(n for n in names if n[0] not in "_." and (glob is None or fnmatch.fnmatchcase(n, glob)))
 
 
 def append(df: DataFrame, path: str) -> None:
