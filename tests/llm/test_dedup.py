@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from llm_helpers import LOWER, WORD, sort_key
+from pyspark.sql import functions as F
 
 from weft.llm import minhash, radix, suffix_arrays, suffix_trees
 
@@ -167,3 +168,14 @@ def test_empty(empty):
     assert minhash.near_components(empty).collect() == []
     assert radix.keep_one(empty).collect() == []
     assert minhash.keep_first(empty).collect() == []
+
+
+def test_many_rows_under_one_id(spark):
+    """Each of 80,000 rows that repeat an id has its own result."""
+    passage = " ".join(f"p{k}" for k in range(13))
+    first = spark.createDataFrame([(1, f"first {passage} end")], "doc_id long, text string")
+    text = F.concat(F.lit("row "), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, F.lit(" " + passage)).otherwise(F.lit(" other")), F.lit(" z"))
+    many = spark.range(80_000).select(F.lit(7).cast("long").alias("doc_id"), text.alias("text"))
+    out = suffix_trees.strip_repeats(first.unionByName(many))
+    got = {(r.doc_id, r.n_words, r.n_removed): r.n for r in out.groupBy("doc_id", "n_words", "n_removed").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, 15, 0): 1, (7, 16, 13): 40_000, (7, 4, 0): 40_000}

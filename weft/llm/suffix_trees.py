@@ -17,7 +17,7 @@ a node by itself and is settled by an aggregation, so a passage shared by very
 many documents is never gathered in a task.
 
 Edge cases: null is the empty text; texts of fewer words than ``length`` have no
-window; rows that repeat an id don't count as smaller than each other; a null id
+window; rows that repeat an id don't count as smaller than each other, and each has its own result; a null id
 is smaller than all others; an empty table gives an empty result.
 """
 
@@ -37,16 +37,12 @@ from weft.llm._shared import saved
 
 LENGTH, WIDTH, GRAM, GROUP = 13, 8, 3, 4096
 PREFIXES = (3, 8)
-#: A row is named by its id and the low bits of its text's hash; the latter only tell rows with the same id apart.
-TAG_BITS = 28
-
-
-def _tag(rh):
-    return rh.bitwiseAND((1 << TAG_BITS) - 1)
+#: Bits of ``loc`` for the number of a block's further starts.
+MORE_BITS = 4
 
 
 def _anchors(length: int, width: int, gram: int, places: bool, base: list[int]):
-    """(key, did), and with ``places`` (whole, loc): loc packs first start, number of further starts and the row's tag."""
+    """(key, did), and with ``places`` (whole, tag, loc): loc packs first start and number of further starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,8 +56,8 @@ def _anchors(length: int, width: int, gram: int, places: bool, base: list[int]):
                 out = {"key": pa.array(B.signed(a.key)), "did": pa.array(did[row])}
                 if places:
                     first = a.lo - w.off[a.row]
-                    loc = (first << 32) | ((a.hi - a.lo) << TAG_BITS) | tag[row]
-                    out |= {"whole": pa.array(B.signed(a.whole)), "loc": pa.array(loc)}
+                    loc = (first << MORE_BITS) | (a.hi - a.lo)
+                    out |= {"whole": pa.array(B.signed(a.whole)), "tag": pa.array(tag[row]), "loc": pa.array(loc)}
                 yield pa.RecordBatch.from_pydict(out)
 
     return run
@@ -78,8 +74,8 @@ def _suffixes(length: int):
                 words = texts[k].as_buffer().to_pybytes().split()
                 did, tag = dids[k].as_py(), tags[k].as_py()
                 for loc in locs[k].as_py():
-                    first = loc >> 32
-                    for i in range(first, first + ((loc >> TAG_BITS) & 15) + 1):
+                    first = loc >> MORE_BITS
+                    for i in range(first, first + (loc & ((1 << MORE_BITS) - 1)) + 1):
                         out["did"].append(did)
                         out["tag"].append(tag)
                         out["at"].append(i)
@@ -118,7 +114,7 @@ def repeated_windows(
 ) -> DataFrame:
     """(did, tag, lo, n): windows lo .. lo + n - 1 of a row also start in a document with a smaller id.
 
-    ``base`` has did, tag and text.
+    ``base`` has did, text and tag, the whole hash of the text: both name a row, also among many that repeat an id.
     """
     gram = min(GRAM, length)
     width = max(1, min(width, length - gram + 1, 16))
@@ -126,16 +122,15 @@ def repeated_windows(
     keys = base.mapInArrow(_anchors(length, width, gram, False, points[: B.PAIR]), "key long, did long")
     keys = keys.groupBy("key").agg(F.min("did").alias("a"), F.max("did").alias("z"))
     keys = saved(keys.where("a < z").select("key"))
-    found = base.mapInArrow(_anchors(length, width, gram, True, points), "key long, did long, whole long, loc long")
+    found = base.mapInArrow(_anchors(length, width, gram, True, points), "key long, did long, whole long, tag long, loc long")
     found = saved(found.join(keys, "key"))
     classes = saved(found.groupBy("key", "whole").agg(F.min("did").alias("first")))
     open_keys = classes.groupBy("key").agg(F.min("first").alias("least"), F.max("first").alias("most"))
     open_keys = saved(open_keys.where("least < most").select("key"))
     tagged = found.join(classes, ["key", "whole"])
-    tag = F.col("loc").bitwiseAND((1 << TAG_BITS) - 1)
-    lo, n = F.shiftright("loc", 32).cast("int"), F.shiftright("loc", TAG_BITS).bitwiseAND(15).cast("int") + 1
-    settled = tagged.where("did > first").select("did", tag.alias("tag"), lo.alias("lo"), n.alias("n"))
-    left = tagged.where("did = first").join(open_keys, "key").select("did", tag.alias("tag"), "loc")
+    lo, n = F.shiftright("loc", MORE_BITS).cast("int"), F.col("loc").bitwiseAND((1 << MORE_BITS) - 1).cast("int") + 1
+    settled = tagged.where("did > first").select("did", "tag", lo.alias("lo"), n.alias("n"))
+    left = tagged.where("did = first").join(open_keys, "key").select("did", "tag", "loc")
     by_doc = left.groupBy("did", "tag").agg(F.collect_list("loc").alias("locs"))
     texts = base.join(by_doc, ["did", "tag"]).select("did", "tag", "text", "locs")
     rows = saved(texts.mapInArrow(_suffixes(length), "did long, tag long, at int, suffix binary"))
@@ -189,7 +184,7 @@ def _strip(length: int):
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row."""
-    base = keyed(docs).select("did", _tag(F.col("rh")).alias("tag"), "text")
+    base = keyed(docs).select("did", F.col("rh").alias("tag"), "text")
     spans = repeated_windows(base, length, **options)
     by_doc = spans.groupBy("did", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     both = join_on(base, by_doc, ["did", "tag"], "left").select("did", "text", "spans")
