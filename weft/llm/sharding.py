@@ -10,7 +10,8 @@ order) counts differ by one at most.
 The ring walk needs only the row count of each bin, a table of at most ``bins``
 rows, so the driver plans it; rows are placed by a broadcast of that plan (its
 size is bounded by ``bins``, not by the data) and their rank within the bin.
-Bins are small at any size, so neither a hot source nor copies pile up.
+A bin holds 1 / ``bins`` of the rows, whatever their source; rows that repeat id and
+text share one, so very many of these make a large bin.
 
 Edge cases: null text has size 1 and crc32 of nothing (0); null ids hash like
 any other value; repeated rows get slots of their own; an empty table gives an
