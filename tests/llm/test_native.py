@@ -77,13 +77,28 @@ def test_single_and_sparse_ids(frame):
 
 
 def test_differing_branches(spark):
-    a = "One. Two.\nThree here.\n\nNext section.\nLast line."
-    b = a.replace("Three", "Tree")
-    d = spark.createDataFrame([(a, b), (a, a), (a, a + "\nmore")], "a string, b string")
+    lines = ["One. Two.\n", "Three here.\n\n", "Next section.\n", "Two lines.\n", "Last line.\n"]  # two sections of 2 and 3
+    text = "".join(lines)
+    cases = {
+        text: [],
+        text.replace("Three", "Tree"): [(0, 1, "a"), (0, 1, "b")],
+        "Zero.\n" + text: [(0, 0, "b")],  # inserted in front, in the middle, at the end
+        "".join([*lines[:3], "New.\n", *lines[3:]]): [(1, 1, "b")],
+        text + "more.\n": [(1, 3, "b")],
+        text + "more": [(1, 3, "a"), (1, 3, "b")],  # a section that ends with a line end has an empty paragraph after it
+        "".join(lines[1:]): [(0, 0, "a")],  # deleted
+        "".join([*lines[:3], lines[4]]): [(1, 1, "a")],
+        "".join(lines[:4]): [(1, 2, "a")],
+        "".join([*lines[1:3], lines[0], *lines[3:]]): [(0, 0, "a"), (1, 1, "b")],  # moved
+        "".join([*lines[:2], *lines[3:], lines[2]]): [(1, 0, "a"), (1, 2, "b")],
+        "".join([lines[4], *lines[:4]]): [(1, 2, "a"), (0, 0, "b")],
+        text + lines[0] + lines[0]: [(1, 3, "b"), (1, 4, "b")],  # repeated
+        "": [(0, 0, "a"), (0, 1, "a"), (1, 0, "a"), (1, 1, "a"), (1, 2, "a"), (1, 3, "a")],  # the first empty one stays
+    }
     fp = lambda c: fingerprints.written(fingerprints.tree(F.col(c)))
-    d = d.select(fp("a").alias("a"), fp("b").alias("b"))
-    got = [[tuple(x) for x in r[0]] for r in d.select(fingerprints.differing_branches("a", "b")).collect()]
-    assert got[0] == [(0, 1)] and got[1] == [] and got[2] == [(1, 1), (1, 2)]
+    d = spark.createDataFrame([(text, other) for other in cases], "a string, b string").select("b", fp("a").alias("fa"), fp("b").alias("fb"))
+    got = {r.b: [tuple(x) for x in r.d] for r in d.select("b", fingerprints.differing_branches("fa", "fb").alias("d")).collect()}
+    assert got == cases
 
 
 def targets(sizes):

@@ -92,26 +92,78 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _branches(fingerprint: Column) -> Column:
+    """array<struct<section, paragraph, key>>: a key is a paragraph's node and the how manieth of that node it is."""
+    sections = F.split(F.substring_index(fingerprint, ":", -1), "/")
+
+    def within(s: Column, i: Column) -> Column:
+        paragraphs = F.split(F.substring_index(s, "=", -1), ";")
+        return F.transform(paragraphs, lambda p, j: F.struct(i.alias("section"), j.alias("paragraph"), F.substring_index(p, ".", 1).alias("node")))
+
+    def keyed_ones(all_: Column) -> Column:
+        nth = lambda x, i: F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda y: y["node"] == x["node"])).cast("string")
+        return F.transform(all_, lambda x, i: F.struct(
+            x["section"].alias("section"), x["paragraph"].alias("paragraph"), F.concat_ws("#", x["node"], nth(x, i)).alias("key")
+        ))
+
+    return _let(F.flatten(F.transform(sections, within)), keyed_ones)
+
+
+def _in_order(common: Column) -> Column:
+    """Of pairs (i, j) in the order of i, the places of a longest run whose j rise too."""
+    def longest(acc: Column, c: Column) -> Column:
+        """The length of the longest such run that ends at each pair."""
+        below = F.transform(acc, lambda n, k: F.when(common[k]["j"] < c["j"], n).otherwise(0))
+        return F.concat(acc, F.array(F.coalesce(F.array_max(below), F.lit(0)) + 1))
+
+    def back(best: Column) -> Column:
+        start = F.struct(F.array_max(best).alias("need"), F.lit(1 << 62).alias("bound"), F.array().cast("array<int>").alias("kept"))
+
+        def step(s: Column, k: Column) -> Column:
+            taken = F.struct((s["need"] - 1).alias("need"), common[k]["j"].alias("bound"), F.concat(s["kept"], F.array(k)).alias("kept"))
+            return F.when((best[k] == s["need"]) & (common[k]["j"] < s["bound"]), taken).otherwise(s)
+
+        return F.aggregate(F.sequence(F.size(best) - 1, F.lit(0), F.lit(-1)), start, step, lambda s: s["kept"])
+
+    none = F.array().cast("array<int>")
+    return F.when(F.size(common) == 0, none).otherwise(_let(F.aggregate(common, none, longest), back))
+
+
 def differing_branches(a: str | Column, b: str | Column) -> Column:
-    """array<struct<section, paragraph>>: branches in which fingerprints ``a`` and ``b`` differ, from 0; [] for equal roots."""
+    """array<struct<section, paragraph, side>>: branches, from 0, in which fingerprints ``a`` and ``b`` differ; [] for equal roots.
+
+    Paragraphs are aligned by their nodes: those of equal nodes in the same order on both sides are the same. All others
+    differ: side "a" has what isn't in b or stands elsewhere there, side "b" what isn't in a or has come from elsewhere. So
+    an inserted or deleted paragraph is one branch, a changed or moved one is one on each side. The work grows with the
+    square of the paragraphs' number.
+    """
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    sections = [F.split(F.substring_index(x, ":", -1), "/") for x in (a, b)]
+    kind = "array<struct<section:int,paragraph:int,side:string>>"
 
-    def below(s: Column) -> Column:
-        return F.split(F.coalesce(F.substring_index(s, "=", -1), F.lit("")), ";")
+    def left(side: str, own: Column, kept: Column) -> Column:
+        rest = F.filter(own, lambda x, i: ~F.array_contains(kept, i))
+        return F.transform(rest, lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph"), F.lit(side).alias("side")))
 
-    def within(x: Column, i: Column) -> Column:
-        pairs = F.zip_with(below(x["l"]), below(x["r"]), lambda p, q: p.eqNullSafe(q))
-        at = F.transform(pairs, lambda same, j: F.struct(i.alias("section"), j.alias("paragraph"), same.alias("same")))
-        wrong = F.filter(at, lambda y: ~y["same"])
-        return F.transform(wrong, lambda y: F.struct(y["section"].alias("section"), y["paragraph"].alias("paragraph")))
+    def align(x: Column) -> Column:
+        other = F.transform(x["b"], lambda y: y["key"])
+        pairs = F.transform(x["a"], lambda y, i: F.struct(i.alias("i"), F.array_position(other, y["key"]).alias("j")))
 
-    pairs = F.zip_with(*sections, lambda l, r: F.struct(l.alias("l"), r.alias("r")))
-    branches = F.flatten(
-        F.transform(pairs, lambda x, i: F.when(x["l"].eqNullSafe(x["r"]), F.slice(within(x, i), 1, 0)).otherwise(within(x, i)))
-    )
+        def rest(common: Column) -> Column:
+            return _let(_in_order(common), lambda kept: F.concat(
+                left("a", x["a"], F.transform(kept, lambda k: common[k]["i"])),
+                left("b", x["b"], F.transform(kept, lambda k: (common[k]["j"] - 1).cast("int"))),
+            ))
+
+        return _let(F.filter(pairs, lambda p: p["j"] > 0), rest)
+
+    found = _let(F.struct(_branches(a).alias("a"), _branches(b).alias("b")), align).cast(kind)
     same_root = F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)
-    return F.when(same_root, F.slice(branches, 1, 0)).otherwise(branches)
+    return F.when(same_root, F.array().cast(kind)).otherwise(found)
 
 
 def _successors(t: DataFrame, lo: int, hi: int, wrap: int) -> DataFrame:
