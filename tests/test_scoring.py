@@ -105,3 +105,25 @@ def test_squared_errors_from_hits(data, spark):
 def test_first_by_sequence(spark):
     d = spark.createDataFrame([(2, "A", 5.0), (1, "A", 6.0), (0, "B", None)], "row_idx int, sequence string, fitness double")
     assert {tuple(x) for x in scoring.first_by_sequence(d).collect()} == {(1, "A", 6.0), (0, "B", None)}
+
+
+def test_half_a_million_rules(spark, monkeypatch):
+    """Automata over parts of the rules and groups of sequences agree with the broadcast join, and shuffle less than grams."""
+    n, text = 500_000, lambda salt: F.md5(F.concat(F.lit(salt), F.col("id").cast("string")))
+    pattern = F.substring(text("r"), F.lit(1), (F.col("id") % 5 + 2).cast("int"))
+    rules = spark.range(n).select(
+        (F.col("id") % 3).cast("int").alias("model_id"), F.floor(F.col("id") / 3).cast("int").alias("rule_idx"), pattern.alias("pattern"),
+        ((F.col("id") * 37 % 81 - 40) / 4).cast("double").alias("weight"),
+    ).cache()
+    seqs = spark.range(120).select(
+        F.col("id").alias("seq_id"), F.substring(text("s"), F.lit(1), (F.col("id") % 31).cast("int")).alias("sequence"), F.col("id").cast("double").alias("fitness")
+    ).cache()
+    many = sorted(map(tuple, scoring.score(seqs, rules, carry=("fitness",)).collect()))
+    monkeypatch.setattr(scoring, "AUTOMATON_SEQUENCES", 70)
+    won = scoring.hits(seqs, rules)
+    plan = won._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    found = sorted(map(tuple, won.collect()))
+    monkeypatch.setattr(scoring, "BROADCAST_ROWS", n)
+    assert many == sorted(map(tuple, scoring.score(seqs, rules, carry=("fitness",)).collect())) and len(many) == 360
+    assert found == sorted(map(tuple, scoring.hits(seqs, rules).collect())) and found

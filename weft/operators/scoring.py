@@ -10,7 +10,7 @@ strings {pattern, reverse}, and the earliest rule of each position is an
 aggregation.  Sequences are dealt out by their id once; rules of up to
 ``BROADCAST_ROWS`` rows (they are counted) are broadcast, so the k-grams, the
 positions' first rules and the sums of a sequence stay in its task and are never
-shuffled.  Larger rule sets are joined by shuffle.
+shuffled.  Larger rule sets go to multi-pattern automata, part by part.
 
 ``score_nested`` is the row-local form with higher-order functions: every rule
 tried at every position, and weights added from left to right.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,13 +80,14 @@ def _first_rules(sequences: DataFrame, rules: DataFrame, carry: tuple[str, ...]
     With ``models`` each model has a row of position 0, without a rule, for every sequence.
     """
     strings = match_strings(rules).drop("weight")
+    if not is_small(rules):
+        return _first_of_many(sequences, rules, strings, carry, models)
     lengths = strings.select(F.length("gram").alias("k")).distinct()
     if models is not None:
         none = models.select("model_id", F.lit(None).cast("int").alias("rule_idx"), F.lit("").alias("gram"))
         strings = strings.unionByName(none)
     weights = rules.select("model_id", "rule_idx", "weight")
-    if is_small(rules):  # at most two strings for each rule and one for each model
-        strings, weights = F.broadcast(strings), F.broadcast(weights)
+    strings, weights = F.broadcast(strings), F.broadcast(weights)  # at most two strings for each rule and one for each model
     parts = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grams = kgrams(sequences.repartition(parts, "seq_id"), lengths, carry, models is not None)
     matched = grams.join(strings, "gram")
@@ -95,6 +97,80 @@ def _first_rules(sequences: DataFrame, rules: DataFrame, carry: tuple[str, ...]
     return won.select("model_id", "seq_id", *carry, "pos", "rule_idx", "weight", "n_rules")
 
 
+#: Strings of one automaton, and sequences that it reads in one task.
+AUTOMATON_STRINGS, AUTOMATON_SEQUENCES = 200_000, 20_000
+
+
+def _scanner():
+    """A function of its own, so that executors need not have this package."""
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The least rule of each model at each position of the sequences (left), of the strings (right), and how many match."""
+        import ahocorasick
+
+        models = [repr(m) if isinstance(m, dict) else m for m in right.column("model_id").to_pylist()]
+        rule, of = right.column("rule_idx").to_pylist(), {}
+        for k, gram in enumerate(right.column("gram").to_pylist()):
+            of.setdefault(gram, []).append(k)
+        machine = ahocorasick.Automaton()
+        for gram, own in of.items():
+            machine.add_word(gram, (len(gram), own))
+        machine.make_automaton()
+        rows: list[list[int]] = [[], [], [], []]
+        for i, text in enumerate(left.column("sequence").to_pylist() if of else []):
+            first: dict = {}
+            for end, (n, own) in machine.iter(text):
+                pos = end - n + 2
+                for k in own:
+                    at = (pos, models[k])
+                    best = first.get(at)
+                    if best is None:
+                        first[at] = [k, 1]
+                    else:
+                        best[1] += 1
+                        if rule[k] < rule[best[0]]:
+                            best[0] = k
+            for (pos, _), (k, n) in first.items():
+                for out, v in zip(rows, (k, i, pos, n), strict=True):
+                    out.append(v)
+        which, who = pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64())
+        return pa.table({
+            "model_id": right.column("model_id").take(which), "seq_id": left.column("seq_id").take(who), "pos": pa.array(rows[2], pa.int32()),
+            "rule_idx": right.column("rule_idx").take(which), "n_rules": pa.array(rows[3], pa.int64()),
+        })
+
+    return scan
+
+
+def _first_of_many(sequences: DataFrame, rules: DataFrame, strings: DataFrame, carry: tuple[str, ...], models: DataFrame | None) -> DataFrame:
+    """The same for rules beyond ``BROADCAST_ROWS``, by automata that find all strings of a part of the rules in one pass.
+
+    Sequences go to each part of the rules, and a part to each group of sequences; both are of bounded size.  So a letter is
+    shuffled once for each part, not once for each gram that covers it.
+    """
+    parts = -(-strings.count() // AUTOMATON_STRINGS)
+    groups = max(1, -(-sequences.count() // AUTOMATON_SEQUENCES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    own = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(max(n, 1))).cast("int")
+    s = sequences.where(F.length("sequence") > 0).select("seq_id", "sequence", own(groups, "seq_id").alias("_group"), each(parts).alias("_part"))
+    r = strings.withColumn("_part", own(parts, "gram", "model_id", "rule_idx")).withColumn("_group", each(groups))
+    kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
+    schema = ", ".join((kind(rules, "model_id"), kind(sequences, "seq_id"), "pos int", kind(rules, "rule_idx"), "n_rules long"))
+    keys = ["_group", "_part"]
+    found = s.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(_scanner(), schema)
+    won = found.groupBy("model_id", "seq_id", "pos").agg(F.min("rule_idx").alias("rule_idx"), F.sum("n_rules").alias("n_rules"))
+    won = won.join(rules.select("model_id", "rule_idx", "weight"), ["model_id", "rule_idx"])
+    if carry:
+        won = won.join(sequences.select("seq_id", *carry), "seq_id")
+    won = won.select("model_id", "seq_id", *carry, "pos", "rule_idx", "weight", "n_rules")
+    if models is None:
+        return won
+    few = models.select("model_id")
+    every = sequences.select("seq_id", *carry).join(F.broadcast(few) if is_small(few) else few)  # every pair is asked for
+    none = every.select("model_id", "seq_id", *carry, F.lit(0).alias("pos"), F.lit(None).cast("int").alias("rule_idx"), F.lit(None).cast("double").alias("weight"), F.lit(1).cast("long").alias("n_rules"))
+    return won.unionByName(none)
+
+
 def hits(sequences: DataFrame, rules: DataFrame) -> DataFrame:
     """(model_id, seq_id, pos, rule_idx, weight, n_rules): the winning rule of each position that any rule matches."""
     return _first_rules(sequences, rules)
