@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under one half; null and empty texts stay, equal texts go or stay together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn_from(docs, labels, held_out("doc_id", 5, 0))
-    return docs.where(toxicity.scorer(model)(F.col("text").cast("string")) < 0.5)
+    return docs.where(toxicity.scorer(model)(F.col("text").cast("string")).score < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

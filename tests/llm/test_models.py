@@ -87,7 +87,7 @@ def fixed(text, lex=None):
 
 
 def test_grammar():
-    lex = toxicity.Lexicon({"zork*": 4.0})
+    lex = toxicity.Lexicon({"zork*": (4.0, 4.0)})
     assert lex.features("nothing here") == [0.0] * toxicity.FEATURES
     assert fixed("you moron") > fixed("a moron walked by")  # target
     assert fixed("he is not a moron") < fixed("he is a moron")  # negation
@@ -111,19 +111,19 @@ def clauses_by_rule(lex, text):
         found = []
         for i, (k, w) in enumerate(kinds):
             if k == toxicity.INSULT:
-                found.append((near(toxicity.TARGET, i, 6), near(toxicity.NEGATION, i, 3), near(toxicity.REPORT, i, 8), w))
+                found.append((near(toxicity.TARGET, i, 6), near(toxicity.NEGATION, i, 3), near(toxicity.REPORT, i, 8), w[0]))
             if k == toxicity.THREAT:
                 at = next((j for j in range(i + 1, min(i + 4, len(c))) if c[j] in (toxicity.TARGET, toxicity.THREAT)), None)
                 aimed = at is not None and c[at] == toxicity.TARGET
                 at = min(i + 3, len(c)) if at is None else at
-                found.append((3 if aimed else 2, near(toxicity.NEGATION, at, 3), near(toxicity.REPORT, at, 8), w))
+                found.append((3 if aimed else 2, near(toxicity.NEGATION, at, 3), near(toxicity.REPORT, at, 8), w[1]))
         if kinds:
             out.append(sorted((toxicity.arc(*x[:3]), x[3]) for x in found))
     return out
 
 
 def test_machine_follows_the_rules():
-    lex, rng = toxicity.Lexicon({"zork*": 4.0}), random.Random(2)
+    lex, rng = toxicity.Lexicon({"zork*": (4.0, 4.0)}), random.Random(2)
     pool = ["you", "moron", "kill", "not", "said", "zorkling", "tree", "walks", "blue", "and"]
     for _ in range(400):
         text = "".join(rng.choice(pool) + rng.choice([" "] * 9 + [". ", ", ", "\n"]) for _ in range(rng.randint(1, 40)))
@@ -160,6 +160,75 @@ def test_grammar_decides_where_words_can_not():
     assert accuracy(toxicity.GRAMMAR) > 0.95 > 0.8 > accuracy(off)
 
 
+def places_by_rule(text):
+    """Words with their places, by the words before them in their clause."""
+    lex, found = toxicity.Lexicon({}), {}
+    for clause in re.split(r"[.!?;,\n|]", text.lower()):
+        ws = re.findall(r"[^\W\d_]+", clause)
+        kinds = [lex.of(w)[0] for w in ws]
+        for i, w in enumerate(ws):
+            near = lambda k, span: k in kinds[max(0, i - span) : i]  # noqa: E731, B023
+            at = "held" if near(toxicity.NEGATION, 3) or near(toxicity.REPORT, 8) else "aimed" if near(toxicity.TARGET, 6) else "bare"
+            found.setdefault(w, set()).add(at)
+    return found
+
+
+def test_terms_are_learned_from_arcs(spark):
+    """Learned terms, their weights and the regression against their definitions, counted without Spark."""
+    rng, rows = random.Random(11), []
+    frames = [("you {} there", 1), ("a {} walks", 0), ("they are not {} at all", 0), ("she said a {} came", 0)]
+    for k in range(1200):
+        text = words("bb", rng, 12)
+        toxic = int(k % 6 == 0)
+        if toxic:
+            text += ". " + rng.choice(["you gronk there", "a vlim here", "you snarp", "snarp it is"])
+        elif k % 2:
+            shape = rng.choice(frames[1:])[0]
+            text += ". " + shape.format(rng.choice(["gronk", "gronk", "tree"] if shape[0] == "a" else ["snarp", "vlim"]))
+        rows.append((text, toxic))
+    n, t = len(rows), sum(y for _, y in rows)
+    learned = toxicity._learned_terms(spark.createDataFrame(rows, "text string, toxic int").repartition(3), n, t)
+    counts = {}
+    for text, y in rows:
+        terms = {}
+        for w, at in places_by_rule(text).items():
+            for term in {w, *(w[:k] + "*" for k in toxicity.STEMS if len(w) >= k)}:
+                terms.setdefault(term, set()).update(at)
+        for term, at in terms.items():
+            for name, any_of in (("plain", {"bare", "aimed"}), ("bare", {"bare"}), ("aimed", {"aimed"})):
+                if at & any_of:
+                    c = counts.setdefault(term, {p: [0, 0] for p in ("plain", "bare", "aimed")})
+                    c[name][y] += 1
+        for term in terms:
+            counts.setdefault(term, {p: [0, 0] for p in ("plain", "bare", "aimed")})
+    floor, want = 2 * np.log(3 * sum(any(map(any, c.values())) for c in counts.values())) + toxicity.SURE, {}
+    for term, c in counts.items():
+        got = {}
+        for place, (clean, hot) in c.items():
+            if term.endswith("*"):
+                hot -= max((x[place][1] for w, x in counts.items() if not w.endswith("*") and len(w) >= len(term) - 1 and w.startswith(term[:-1])), default=0)
+            share = (clean + hot) / n
+            g = 2 * sum(o * np.log(o / e) for o, e in ((hot, share * t), (clean, share * (n - t))) if o)
+            odds = np.log((hot + 0.5) / (t - hot + 0.5)) - np.log((clean + 0.5) / (n - t - clean + 0.5))
+            got[place] = (g >= floor and odds > 3, odds, hot + clean)
+        sure, base, _ = got["plain"]
+        pull = lambda p: max((p[2] * p[1] + toxicity.PULL * base) / (p[2] + toxicity.PULL), 0)  # noqa: E731, B023
+        if any(x[0] for x in got.values()):
+            want[term] = tuple(pull(got[p]) if sure else got[p][1] if got[p][0] else 0 for p in ("bare", "aimed"))
+    assert set(learned) == set(want) and all(learned[x] == pytest.approx(want[x]) for x in want)
+    assert learned["gronk"][0] == 0 < learned["gronk"][1]  # an insult only where it is aimed
+    assert min(learned["snarp"]) > 3 and learned["vlim"][0] > 3  # clean texts have them negated or reported
+    lex = toxicity.Lexicon(learned)
+    x, y = np.array([lex.features(a) for a, _ in rows]), np.array([b for _, b in rows])
+    w = toxicity._fit(x, y)
+    a = np.column_stack([np.ones(n), x])
+    slope = a.T @ (1 / (1 + np.exp(-a @ w)) - y) + np.array([1e-6] + [1.0] * x.shape[1]) * (w - np.array([toxicity.BIAS, *toxicity.PRIOR, toxicity.SHARE]))
+    assert np.abs(slope).max() < 1e-5  # the penalised likelihood is convex: a zero slope is its only optimum
+    scores, arcs = toxicity.judged(toxicity.Model(learned, w.tolist()), lex, [a for a, _ in rows])
+    assert np.mean((scores >= 0.5) == y) > 0.99
+    assert {a for a, s in zip(arcs, scores, strict=True) if s >= 0.5} == {"bare insult", "aimed insult"}
+
+
 def test_toxicity(spark, frame):
     rng = random.Random(4)
     rows, labels = [], []

@@ -22,11 +22,19 @@ own weights (``PRIOR``), which stand where the labels say nothing of an arc.
 
 The vocabularies start from short lists of four languages.  From at most about
 ``TRAIN_ROWS`` labelled rows (a documented bound, chosen by hash) words and word
-stems of 4 to 6 letters are added as insults if their association with the label
-is beyond chance for the number of terms tried (likelihood ratio), with their
-log odds as weight.  A stem must hold without the commonest word that has it, so
-one word never stands for all that begin alike.  All terms that pass are taken;
-their number is bounded by the sample.
+stems of 4 to 6 letters are added as insults.  They are learned from the arcs on
+which they stand: the machine reads each text, and a term counts where an insult
+in its place would be matched plain (bare or aimed), never where it is negated or
+reported.  A term is taken if the association of its plain places, or of its bare
+or its aimed ones alone, with the label is beyond chance for the number of
+associations tried (likelihood ratio).  It has a weight for bare and one for aimed
+places: the log odds of that place's own counts, drawn towards those of all plain
+places by ``PULL`` documents, or 0, with which it matches nothing there.  A stem
+must hold without the commonest word that has it, so one word never stands for all
+that begin alike.  All terms that pass are taken; their number is bounded by the
+sample.  Threats, targets, negations and reports are the lists' alone.
+
+Beside its score a text has the kind of arc that adds most to it (``arc``).
 
 Edge cases: null and empty texts have no match and get the score of a text
 without any; without labelled rows of both kinds the score comes from fixed
@@ -51,7 +59,7 @@ from pyspark.sql import functions as F
 from weft.llm._sample import bounded
 from weft.llm._ship import ship
 
-TRAIN_ROWS, STEMS, SURE = 20_000, (4, 5, 6), 6.0
+TRAIN_ROWS, STEMS, SURE, PULL = 20_000, (4, 5, 6), 6.0, 10
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 INSULTS = """idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown fool
@@ -155,31 +163,39 @@ PRIOR = [3.0 * match * neg * rep for match in (0.6, 1.0, 0.1, 1.0) for neg in (1
 BIAS = -3.0
 SHARE = 1.0
 FIRM = frozenset(arc(m, 0, 0) for m in (BARE, AIMED, THREAT_AIMED))
+ARC_NAMES = [
+    m + n + r
+    for m in ("bare insult", "aimed insult", "bare threat", "aimed threat") for n in ("", ", negated") for r in ("", ", reported")
+]
 FEATURES = ARCS + 1
 NAMES = [f"x{i}" for i in range(FEATURES)]
 
 
+#: Weights of a word at bare and at aimed places.
+Weights = tuple[float, float]
+
+
 class Lexicon:
-    """Class and weight of a word: the word itself, else its longest known stem."""
+    """Class and weights of a word: the word itself, else its longest known stem."""
 
-    def __init__(self, learned: dict[str, float]):
-        self.words: dict[str, tuple[int, float]] = {w: (INSULT, 2.0) for w in INSULTS}
+    def __init__(self, learned: dict[str, Weights]):
+        self.words: dict[str, tuple[int, Weights]] = {w: (INSULT, (2.0, 2.0)) for w in INSULTS}
         for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
-            self.words |= {w: (kind, 2.0) for w in words}
-        self.stems: dict[str, tuple[int, float]] = {}
-        for term, weight in learned.items():
+            self.words |= {w: (kind, (2.0, 2.0)) for w in words}
+        self.stems: dict[str, tuple[int, Weights]] = {}
+        for term, weights in learned.items():
             if term.endswith("*"):
-                self.stems[term[:-1]] = (INSULT, weight)
-            elif self.words.get(term, (INSULT, 0.0))[0] == INSULT:
-                self.words[term] = (INSULT, weight)
-        self.memo: dict[str, tuple[int, float]] = {}
+                self.stems[term[:-1]] = (INSULT, weights)
+            elif self.words.get(term, (INSULT,))[0] == INSULT:
+                self.words[term] = (INSULT, weights)
+        self.memo: dict[str, tuple[int, Weights]] = {}
 
-    def of(self, word: str) -> tuple[int, float]:
+    def of(self, word: str) -> tuple[int, Weights]:
         got = self.memo.get(word)
         if got is None:
             got = self.words.get(word)
             if got is None:
-                got = (OTHER, 0.0)
+                got = (OTHER, (0.0, 0.0))
                 for k in reversed(STEMS):
                     if len(word) >= k and word[:k] in self.stems:
                         got = self.stems[word[:k]]
@@ -211,10 +227,11 @@ class Lexicon:
             c, w = k
             if menace[state][c] != NONE:
                 found.append((menace[state][c], held))
-            if hit[state][c] != NONE:
-                found.append((hit[state][c], w))
+            a = hit[state][c]
+            if a != NONE and w[a // 4] > 0:
+                found.append((a, w[a // 4]))
             if c == THREAT:
-                held = w
+                held = w[AIMED]
             state = nxt[state][c]
         return all_
 
@@ -226,19 +243,38 @@ class Lexicon:
         return [*(math.log1p(x) for x in sums), sum(any(a in FIRM for a, _ in c) for c in clauses) / max(len(clauses), 1)]
 
 
-def _terms(text: str | None) -> set[str]:
-    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
-    return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) >= k}
+#: For each state of the machine, where an insult read there would stand: 1 bare, 2 aimed, 4 negated or reported.
+PLACES = [1 if row[INSULT] == arc(BARE, 0, 0) else 2 if row[INSULT] == arc(AIMED, 0, 0) else 4 for row in GRAMMAR.insult]
+COUNTS = ("clean", "toxic", "bare_clean", "bare_toxic", "aimed_clean", "aimed_toxic")
+
+
+def term_places(lex: Lexicon, text: str | None) -> dict[str, int]:
+    """Words and stems* of a text with their places (bits of ``PLACES``)."""
+    words: dict[str, int] = {}
+    of, nxt, state = lex.of, GRAMMAR.next, 0
+    for t in _TOKEN.findall((text or "").lower()):
+        if t in _END:
+            state = 0
+            continue
+        words[t] = words.get(t, 0) | PLACES[state]
+        state = nxt[state][of(t)[0]]
+    found = dict(words)
+    for w, bits in words.items():
+        for k in STEMS:
+            if len(w) >= k:
+                stem = f"{w[:k]}*"
+                found[stem] = found.get(stem, 0) | bits
+    return found
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
+    """For each term in how many clean and toxic texts it stands plain, bare and aimed."""
+    lex, counts = Lexicon({}), [Counter() for _ in COUNTS]
 
     def flush() -> pa.RecordBatch:
         terms = list(counts[0].keys() | counts[1].keys())
         out = pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)],
-            names=["term", "clean", "toxic"],
+            [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], names=["term", *COUNTS]
         )
         for c in counts:
             c.clear()
@@ -246,7 +282,9 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text"), strict=True):
-            counts[toxic].update(_terms(text.as_py()))
+            places = term_places(lex, text.as_py())
+            for first, bits in ((0, 3), (2, 1), (4, 2)):
+                counts[first + toxic].update(t for t, at in places.items() if at & bits)
             if len(counts[0]) + len(counts[1]) > 200_000:
                 yield flush()
     yield flush()
@@ -276,7 +314,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    learned: dict[str, float]
+    learned: dict[str, Weights]
     weights: list[float]
 
 
@@ -284,29 +322,39 @@ class Model(NamedTuple):
 FIXED = Model({}, [BIAS, *PRIOR, SHARE])
 
 
-def _learned_terms(rows: DataFrame, n: int, toxic: int) -> dict[str, float]:
-    """Words and stems* that go with the label, with their log odds."""
-    counts = rows.mapInArrow(_term_counts, "term string, clean long, toxic long")
-    counts = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).cache()
+def _learned_terms(rows: DataFrame, n: int, toxic: int) -> dict[str, Weights]:
+    """Words and stems* that go with the label where they stand plain, with their weights at bare and at aimed places."""
+    counts = rows.mapInArrow(_term_counts, ", ".join(["term string", *(f"{c} long" for c in COUNTS)]))
+    counts = counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS]).cache()
     words = counts.where("NOT endswith(term, '*') AND toxic > 0")
     stems = F.array(*[F.when(F.length("term") >= k, F.concat(F.substring("term", 1, k), F.lit("*"))) for k in STEMS])
-    top = words.select(F.explode(F.array_compact(stems)).alias("term"), F.col("toxic").alias("top"))
-    top = top.groupBy("term").agg(F.max("top").alias("top"))
-    terms = counts.join(top, "term", "left").withColumn("toxic", F.col("toxic") - F.coalesce("top", F.lit(0)))
+    hot = [c for c in COUNTS if c.endswith("toxic")]
+    top = words.select(F.explode(F.array_compact(stems)).alias("term"), *hot)
+    top = top.groupBy("term").agg(*[F.max(c).alias(f"top_{c}") for c in hot])
+    terms = counts.join(top, "term", "left")
     t, z = max(toxic, 1), max(n - toxic, 1)
-    k, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    share = (k + c) / (t + z)
 
     def part(observed: Column, expected: Column) -> Column:
         return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
 
-    ratio = 2 * (part(k, share * t) + part(c, share * z))
-    odds = F.log((k + 0.5) / (t - k + 0.5)) - F.log((c + 0.5) / (z - c + 0.5))
-    floor = 2 * math.log(max(counts.count(), 2)) + SURE
-    known = terms.select("term", odds.alias("odds"), ratio.alias("ratio")).where((F.col("ratio") >= floor) & (F.col("odds") > 3))
-    learned = {r["term"]: float(r["odds"]) for r in known.orderBy("term").collect()}  # bounded by the sample
+    floor = 2 * math.log(max(3 * counts.count(), 2)) + SURE
+    stats = []
+    for place in ("", "bare_", "aimed_"):
+        k = (F.col(f"{place}toxic") - F.coalesce(f"top_{place}toxic", F.lit(0))).cast("double")
+        c = F.col(f"{place}clean").cast("double")
+        share = (k + c) / (t + z)
+        odds = F.log((k + 0.5) / (t - k + 0.5)) - F.log((c + 0.5) / (z - c + 0.5))
+        sure = (2 * (part(k, share * t) + part(c, share * z)) >= floor) & (odds > 3)
+        stats += [(k + c).alias(f"{place}n"), odds.alias(f"{place}odds"), sure.alias(f"{place}sure")]
+    known = terms.select("term", *stats).where("sure OR bare_sure OR aimed_sure").orderBy("term").collect()  # bounded by the sample
     counts.unpersist()
-    return learned
+
+    def weight(r, place: str) -> float:
+        if not r["sure"]:
+            return r[f"{place}odds"] if r[f"{place}sure"] else 0.0
+        return max((r[f"{place}n"] * r[f"{place}odds"] + PULL * r["odds"]) / (r[f"{place}n"] + PULL), 0.0)
+
+    return {r["term"]: (weight(r, "bare_"), weight(r, "aimed_")) for r in known}
 
 
 def learn(rows: DataFrame, bound: int = TRAIN_ROWS) -> Model:
@@ -330,20 +378,28 @@ def learn(rows: DataFrame, bound: int = TRAIN_ROWS) -> Model:
     return Model(learned, _fit(fit[NAMES].to_numpy(), fit["toxic"].to_numpy()).tolist())
 
 
-def probabilities(model: Model, lex: Lexicon, texts) -> np.ndarray:
+def judged(model: Model, lex: Lexicon, texts) -> tuple[np.ndarray, list[str | None]]:
+    """Scores of texts, and the kind of arc that adds most to each, if any adds."""
     x = np.array([lex.features(t) for t in texts]).reshape(-1, FEATURES)
     w = np.array(model.weights)
-    return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
+    added = x[:, :ARCS] * w[1 : ARCS + 1]
+    most = [ARC_NAMES[a.argmax()] if a.max() > 0 else None for a in added]
+    return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))), most
+
+
+def probabilities(model: Model, lex: Lexicon, texts) -> np.ndarray:
+    return judged(model, lex, texts)[0]
 
 
 def scorer(model: Model):
-    """A column function from text to the score."""
+    """A column function from text to (score, arc)."""
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("score double, arc string")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lex = Lexicon(model.learned)
         for texts in parts:
-            yield pd.Series(probabilities(model, lex, texts))
+            p, most = judged(model, lex, texts)
+            yield pd.DataFrame({"score": p, "arc": pd.Series(most, dtype="object")})
 
     return score
 
@@ -358,7 +414,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, held_out: Column, bound: int
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row."""
+    """(doc_id, held_out, score, predicted, arc) for every row."""
     model = learn_from(docs, labels, held_out)
-    rows = docs.select("doc_id", held_out.alias("held_out"), scorer(model)(F.col("text").cast("string")).alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select("doc_id", held_out.alias("held_out"), scorer(model)(F.col("text").cast("string")).alias("s"))
+    return rows.select("doc_id", "held_out", "s.score", (F.col("s.score") >= 0.5).cast("int").alias("predicted"), "s.arc")
