@@ -195,12 +195,12 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     The edited text swaps the last floor(n / 2) code points for the first as many of the next document.
     """
-    base = keyed(docs)
+    base = keyed(docs).select("did", "text")  # the same columns for both joins below, which share one exchange of the texts
     half = F.floor(F.length("text") / 2).cast("int")
     needs = base.groupBy("did").agg(F.max(half).alias("need"))
     after = next_ids(base).join(needs, "did").select(F.col("did").alias("for_did"), "need", "next_did")
     nxt = base.join(after, base["did"] == after["next_did"]).withColumn(
-        "r", F.row_number().over(Window.partitionBy("did", "for_did").orderBy("rh"))
+        "r", F.row_number().over(Window.partitionBy("did", "for_did").orderBy(F.xxhash64("text")))
     )
     nxt = nxt.where("r = 1").select(
         "for_did",
