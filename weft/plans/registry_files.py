@@ -11,8 +11,9 @@ from weft import checkpoints
 from weft.functions import scalars
 from weft.operators import crud, metrics, ordering, scoring
 from weft.plans import tables as T
-from weft.plans.registry import _FIT, _IDX, _indexed, _predictions, query, r6
+from weft.plans.registry import _FIT, _IDX, _LINES, _indexed, _lines, _predictions, query, r6
 from weft.sources import files
+from weft.streaming import live_log
 
 
 def _folder(spark: SparkSession) -> str:
@@ -221,3 +222,20 @@ def scalar_functions(spark, d):
         scalars.is_date(day, "HH:mm").alias("date_bad"), scalars.is_numeric(F.col("o_orderkey").cast("string")).alias("numeric"),
         (gap.cast("interval second").cast("decimal(18,0)")).cast("long").alias("seconds"),
     )
+
+
+@query(f"""WITH {_LINES}, l AS (SELECT *, coalesce(min(generation) OVER (PARTITION BY file ORDER BY line_no DESC
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100000000) AS least FROM lines)
+SELECT file AS run, line_no, generation FROM l WHERE generation < least""")
+def live_log_repair(spark, d):
+    """The log in three pieces, each followed by a stream that goes on from the state of the one before."""
+    checkpoints.ensure(spark)
+    at = _folder(spark)
+    log = _lines(spark, d).select(F.col("file").alias("run"), "line_no", "generation")
+    ends = log.groupBy("run").agg((F.max("line_no") + 1).alias("n"))
+    dealt = log.join(ends, "run").withColumn("piece", F.floor(3 * F.col("line_no") / F.col("n"))).drop("n").checkpoint()
+    for piece in range(3):
+        dealt.where(F.col("piece") == piece).drop("piece").write.mode("append").parquet(f"{at}/in")
+        arriving = spark.readStream.schema(log.schema).parquet(f"{at}/in")
+        live_log.record(live_log.attempts(arriving, "line_no"), f"{at}/out", f"{at}/state", now=True).awaitTermination()
+    return live_log.repaired(spark.read.parquet(f"{at}/out")).select("run", "line_no", "generation")
