@@ -1,6 +1,7 @@
 """Exact, near and substring dedup against plain Python on whole small tables."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -120,6 +121,37 @@ def test_word_repeats(docs, rows, options):
     assert bag(suffix_trees.strip_repeats(docs, **options)) == want
 
 
+@pytest.mark.parametrize("options", [{}, {"group": 1}, {"width": 3}])
+def test_leaves_with_many_occurrences(frame, options):
+    """Passages that differ near shared words, each in several documents: nodes decide for every occurrence."""
+    rng = random.Random(7)
+    common = [f"c{k}" for k in range(60)]
+    variants = []
+    for v in range(12):
+        words = list(common)
+        for k in rng.sample(range(60), 2):
+            words[k] = f"v{v}"
+        variants.append(words)
+    rows = []
+    for i in range(120):
+        x, y = (rng.choice(variants)[rng.randrange(20) : rng.randrange(30, 61)] for _ in range(2))
+        rows.append([rng.randrange(90), " ".join([f"a{i}", *x, f"b{i}", *y]), "en", "s"])
+    rows.append([None, " ".join(variants[3][10:40]), "en", "s"])
+    first, starts = {}, []
+    for i, t, *_ in rows:
+        w = t.split()
+        starts.append([tuple(w[k : k + 13]) for k in range(len(w) - 12)])
+        for s in starts[-1]:
+            first[s] = min(first.get(s, sort_key(i)), sort_key(i))
+    want = Counter()
+    for (i, t, *_), windows in zip(rows, starts, strict=True):
+        gone = {k + j for k, s in enumerate(windows) if first[s] < sort_key(i) for j in range(13)}
+        w = t.split()
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        want[(i, len(w), len(gone), sha(kept.encode()))] += 1
+    assert bag(suffix_trees.strip_repeats(frame(rows), **options)) == want
+
+
 def components(rows, k, percent):
     sets = []
     for _, t, *_ in rows:
