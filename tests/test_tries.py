@@ -34,3 +34,21 @@ def test_sums_equal_the_joined_ones(data, monkeypatch):
     monkeypatch.setattr(scoring, "CELLS", 0)
     assert "MapInArrow" not in scoring.model_sums(s, r)._jdf.queryExecution().executedPlan().toString()
     assert rows(scoring.model_sums(s, r)) == by_trie
+
+
+def test_the_learn_set_is_worked_out_once(spark, data):
+    s, r = data
+    worked = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            worked.add(b.num_rows)
+            yield b
+
+    n = s.count()
+    evaluate = evolve.evaluator(s.mapInArrow(count, s.schema))
+    p = evolve.nest(r.withColumnRenamed("model_id", "ind").withColumn("status", F.lit(0)))
+    for _ in range(2):
+        got = {(x.ind, x.rule_idx): x.status for x in evolve.flatten(evaluate(p)).collect()}
+        assert got == {(x.model_id, x.rule_idx): x.status for x in scoring.rule_status(s, r).collect()}
+    assert worked.value == n
