@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import evolve, scoring
+from weft.operators import evolve, scoring, search
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def data(spark):
 
 
 def rows(df):
-    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr)
 
 
 def test_sums_equal_the_joined_ones(data, monkeypatch):
@@ -52,3 +52,41 @@ def test_the_learn_set_is_worked_out_once(spark, data):
         got = {(x.ind, x.rule_idx): x.status for x in evolve.flatten(evaluate(p)).collect()}
         assert got == {(x.model_id, x.rule_idx): x.status for x in scoring.rule_status(s, r).collect()}
     assert worked.value == n
+
+
+def test_the_index_has_a_row_for_each_sequence(spark, data):
+    s, r = data
+    index = scoring.GramIndex.write(s, "weft_test_windows", 30, 4)
+    try:
+        assert spark.table(index.name).count() == s.count()
+        assert rows(scoring.model_sums(s, r, index=index)) == rows(scoring.model_sums(s, r))
+        won = scoring.hits(s, r).select("model_id", "seq_id", "pos", "rule_idx")
+        assert rows(index.first_rules(r).select(*won.columns)) == rows(won)
+    finally:
+        index.drop()
+
+
+def test_position_sums_need_no_shuffle(data, monkeypatch):
+    s, r = data
+    s = s.withColumn("site", F.length("sequence") - 2).select("seq_id", "sequence", F.when(F.col("seq_id") != "q5", F.col("site")).alias("site"))
+    for site in (None, "site"):
+        by_trie = scoring.position_sums(s, r, site)
+        assert "Exchange" not in by_trie._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(scoring, "CELLS", 0)
+            want = {x.seq_id: x.sums for x in scoring.position_sums(s, r, site).collect()}
+        got = {x.seq_id: x.sums for x in by_trie.collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items()} and got
+
+
+def test_climb_joins_the_known_sequences_alone(spark, data, monkeypatch):
+    r = data[1]
+    cands = search.candidates(spark, 50, 9, 4).unionByName(spark.createDataFrame([(99, ""), (98, "K"), (97, None)], "cand_id long, sequence string"))
+    spec = scoring.tries(r)
+    now = cands.withColumn("fitness", F.lit(0.0)).withColumn("sums", F.array(F.lit(0.0)))
+    plan = search.rescored(now.select("*", *search.mutation(4, 1)), r, spec)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    known = spark.createDataFrame([("K",)], "sequence string")
+    by_trie = rows(search.climb(cands, r, known, 2, 4))
+    monkeypatch.setattr(scoring, "CELLS", 0)
+    assert by_trie == rows(search.climb(cands, r, known, 2, 4))

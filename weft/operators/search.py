@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +54,16 @@ def novel(cands: DataFrame, known: DataFrame) -> DataFrame:
     return cands.join(known.select("sequence").distinct(), "sequence", "left_anti")
 
 
+def mutation(seed: int, iteration: int) -> tuple[Column, Column]:
+    """``mutant`` and ``site`` of a row (cand_id, sequence): one random site gets a random letter; null for an empty sequence."""
+    some = F.length("sequence") > 0
+    site = F.when(some, integer(F.lit(1), F.greatest(F.length("sequence"), F.lit(1)), seed, iteration, "cand_id", 1))
+    return F.overlay("sequence", letter(seed, iteration, "cand_id", 2), site, F.lit(1)).alias("mutant"), site.alias("site")
+
+
 def point_mutants(cands: DataFrame, seed: int, iteration: int) -> DataFrame:
     """(cand_id, mutant, site): one random site gets a random letter, which may be the old one; an empty sequence has none."""
-    d = cands.select("cand_id", "sequence").where(F.length("sequence") > 0)
-    d = d.withColumn("site", integer(F.lit(1), F.length("sequence"), seed, iteration, "cand_id", 1))
-    new = F.overlay("sequence", letter(seed, iteration, "cand_id", 2), F.col("site"), F.lit(1))
-    return d.select("cand_id", new.alias("mutant"), "site")
+    return cands.where(F.length("sequence") > 0).select("cand_id", *mutation(seed, iteration))
 
 
 def climb_step(cands: DataFrame, rules: DataFrame, known: DataFrame, seed: int, iteration: int) -> DataFrame:
@@ -76,35 +81,49 @@ def climb_step(cands: DataFrame, rules: DataFrame, known: DataFrame, seed: int,
     )
 
 
-def rescored(cands: DataFrame, mutants: DataFrame, rules: DataFrame) -> DataFrame:
-    """(cand_id, sequence, fitness, sums, mutant, new_sums) of cands (cand_id, sequence, fitness, sums) and their mutants.
+def rescored(mutated: DataFrame, rules: DataFrame, spec: Broadcast | None) -> DataFrame:
+    """``mutated`` (cand_id, sequence, fitness, sums, mutant, site) with the mutants' ``new_sums``; null where there is no mutant.
 
     ``sums`` are those of ``scoring.position_sums``.  A changed letter can change the first rules only of positions that lie
-    less than the longest pattern before it, so of a sequence of n letters longest / n of the grams are made and matched.
+    less than the longest pattern before it, so only the sums of these are worked out: by ``spec``, the rules' ``scoring.tries``,
+    within the row, without it by joins.
     """
-    local = scoring.position_sums(mutants.select(F.col("cand_id").alias("seq_id"), F.col("mutant").alias("sequence"), "site"), rules, "site")
-    d = cands.join(mutants, "cand_id").join(local.select(F.col("seq_id").alias("cand_id"), F.col("sums").alias("_local")), "cand_id")
+    if spec is None:
+        of = mutated.where("site IS NOT NULL").select(F.col("cand_id").alias("seq_id"), F.col("mutant").alias("sequence"), "site")
+        local = scoring.position_sums(of, rules, "site").toDF("cand_id", "_local")
+        d = mutated.join(local, "cand_id", "left")
+    else:
+        d = scoring.with_position_sums(mutated, spec, "mutant", "site", "_local")
     before = F.slice("sums", F.lit(1), F.col("site") - F.size("_local"))
     after = F.slice("sums", F.col("site") + 1, F.length("sequence"))
-    return d.select(*cands.columns, "mutant", F.concat(before, "_local", after).alias("new_sums"))
+    return d.select(*mutated.columns, F.when(F.col("site").isNotNull(), F.concat(before, "_local", after)).alias("new_sums"))
 
 
 def climb(cands: DataFrame, rules: DataFrame, known: DataFrame, iterations: int, seed: int) -> DataFrame:
     """(cand_id, sequence, fitness) after a bounded number of ``climb_step``s, each checkpointed.
 
-    Candidates keep their positions' sums, so a step scores anew only what its mutation may change.
+    Candidates keep their positions' sums, so a step scores anew only what its mutation may change, in the candidate's row;
+    the known sequences, which are worked out once, are its only join.
     """
     checkpoints.ensure(cands.sparkSession)
     n = rules.select("model_id").distinct().count()
+    spec = scoring.tries(rules)
     mean = lambda text, sums: F.when(soluble(text), F.try_divide(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x), F.lit(n))).otherwise(0.0)
-    sums = scoring.position_sums(cands.select(F.col("cand_id").alias("seq_id"), "sequence"), rules).withColumnRenamed("seq_id", "cand_id")
-    now = cands.join(sums, "cand_id", "left").withColumn("sums", F.coalesce("sums", F.array().cast("array<double>")))
+    cands = cands.select("cand_id", "sequence")
+    if spec is None:
+        sums = scoring.position_sums(cands.select(F.col("cand_id").alias("seq_id"), "sequence"), rules).withColumnRenamed("seq_id", "cand_id")
+        now = cands.join(sums, "cand_id", "left")
+    else:
+        parts = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table would keep most cores idle
+        now = scoring.with_position_sums(cands.repartition(parts, "cand_id"), spec, "sequence")
+    now = now.withColumn("sums", F.coalesce("sums", F.array().cast("array<double>")))
     now = now.select("cand_id", "sequence", mean("sequence", "sums").alias("fitness"), "sums").checkpoint()
-    seen = known.select(F.col("sequence").alias("mutant")).distinct().withColumn("_known", F.lit(True))
+    if iterations > 0:
+        seen = known.select(F.col("sequence").alias("mutant")).distinct().withColumn("_known", F.lit(True)).checkpoint()
     for i in range(1, iterations + 1):
-        m = rescored(now, point_mutants(now, seed, i), rules).join(seen, "mutant", "left")
-        m = m.select("cand_id", "mutant", F.when(F.col("_known"), 0.0).otherwise(mean("mutant", "new_sums")).alias("new"), "new_sums")
-        better = F.coalesce(F.col("new") > F.col("fitness"), F.lit(False))
+        m = rescored(now.select("*", *mutation(seed, i)), rules, spec).join(seen, "mutant", "left")
+        m = m.withColumn("new", F.when(F.col("_known"), 0.0).otherwise(mean("mutant", "new_sums")))
+        better = F.coalesce((F.col("new") > F.col("fitness")) & F.col("site").isNotNull(), F.lit(False))
         pick = lambda a, b: F.when(better, F.col(a)).otherwise(F.col(b)).alias(b)  # noqa: E731, B023
-        now = now.join(m, "cand_id", "left").select("cand_id", pick("mutant", "sequence"), pick("new", "fitness"), pick("new_sums", "sums")).checkpoint()
+        now = m.select("cand_id", pick("mutant", "sequence"), pick("new", "fitness"), pick("new_sums", "sums")).checkpoint()
     return now.select("cand_id", "sequence", "fitness")
