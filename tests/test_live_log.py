@@ -67,3 +67,21 @@ def test_edges(spark, tmp_path):
     same = spark.createDataFrame([("r", 0, 5), ("r", 1, 5), ("r", 2, 5)], "run string, attempt int, generation int")
     assert [r.attempt for r in live_log.repaired(same).collect()] == [2]
     assert live_log.repaired(same.where(F.lit(False))).collect() == []
+
+
+def test_many_runs_share_few_state_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live_log, "GROUPS", 3)
+    rng = random.Random(8)
+    whole = [(None if run == 39 else 2**60 + run, k, rng.randint(0, 9)) for run in range(40) for k in range(rng.randint(1, 9))]
+    log = spark.createDataFrame(whole, "run long, at int, generation int")
+    for piece in range(2):
+        log.where(F.col("at") % 9 < 4 if piece == 0 else F.col("at") % 9 >= 4).write.mode("append").parquet(str(tmp_path / "in"))
+        arriving = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+        q = live_log.record(live_log.attempts(arriving, "at"), str(tmp_path / "out"), str(tmp_path / "cp"), now=True)
+        q.awaitTermination()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == len(whole)
+    kept = sorted((r.run or 0, r.generation) for r in live_log.repaired(got.where("run IS NOT NULL")).collect())
+    runs = {run for run, _, _ in whole if run}
+    assert kept == sorted((run, g[0]) for run in runs for g in by_rule([(g,) for r, _, g in whole if r == run]))

@@ -3,7 +3,8 @@
 A run that is started again repeats generations.  The batch report
 (``reports.repair_log``) reads a whole log backwards; a stream can't, so it
 numbers a run's attempts as lines arrive: a line whose generation isn't above the
-one before opens the next attempt.  Two numbers for each run are all its state.
+one before opens the next attempt.  Two numbers for each run are all its state;
+runs share up to ``GROUPS`` state rows, so that many short runs cost no call each.
 A line stays if its generation is below the first ones of all later attempts,
 since generations rise within an attempt: ``repaired`` looks that up in a table
 with a row for each attempt.
@@ -24,6 +25,8 @@ from weft.operators.reports import NO_GENERATION, parse_log
 
 #: Below any generation.
 BEFORE_ALL = -(2**31)
+#: State rows, each of the runs of one hash; a stream keeps the number it was started with.
+GROUPS = 1024
 
 
 def pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,22 +44,40 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
 def attempts(log: DataFrame, *order: str) -> DataFrame:
     """A stream of a run's lines (run, generation, ...) with their ``attempt``, from 0; lines without a generation go.
 
-    ``order`` are the columns that order a run's lines of one trigger; those of later triggers follow. A run's lines of one
+    ``order`` are the columns that order a run's lines of one trigger; those of later triggers follow. A group's lines of one
     trigger meet in a task, so triggers are to be kept small (``maxFilesPerTrigger``) where runs are long.
     """
     log = log.where(F.col("generation").isNotNull()).withColumn("generation", F.col("generation").cast("int"))
     columns = log.columns
 
     def number(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(list(order), kind="stable")
-        attempt, last = state.get if state.exists else (0, BEFORE_ALL)
+        rows = pd.concat(list(frames)).sort_values(["run", *order], kind="stable")
+        held = [list(x) for x in state.get] if state.exists else [[], [], []]
+        place = {run: k for k, run in enumerate(held[0])}
+        code, names = pd.factorize(rows["run"], use_na_sentinel=False)
+        runs = [None if pd.isna(run) else run for run in names.tolist()]
+        for run in runs:
+            if place.setdefault(run, len(place)) == len(held[0]):
+                for x, v in zip(held, (run, 0, BEFORE_ALL), strict=True):
+                    x.append(v)
+        at = np.array([place[run] for run in runs])
+        attempt, last = np.array(held[1]), np.array(held[2])
         g = rows["generation"].to_numpy()
-        rows["attempt"] = (attempt + np.cumsum(g <= np.concatenate([[last], g[:-1]]))).astype("int32")
-        state.update((int(rows["attempt"].iloc[-1]), int(g[-1])))
+        first = np.flatnonzero(np.diff(code, prepend=-1))  # sorted, so that a run's lines are together
+        before = np.concatenate([[0], g[:-1]])
+        before[first] = last[at]
+        again = g <= before
+        opened = np.cumsum(again)
+        rows["attempt"] = (attempt[at][code] + opened - (opened - again)[first][code]).astype("int32")
+        end = np.concatenate([first[1:], [len(g)]]) - 1
+        attempt[at], last[at] = rows["attempt"].to_numpy()[end], g[end]
+        state.update((held[0], attempt.tolist(), last.tolist()))
         yield rows[[*columns, "attempt"]]
 
     out = StructType([*log.schema.fields]).add("attempt", IntegerType())
-    return log.groupBy("run").applyInPandasWithState(number, out, "attempt int, generation int", "append", "NoTimeout")
+    kind = f"runs array<{log.schema['run'].dataType.simpleString()}>, attempt array<int>, generation array<int>"
+    group = F.coalesce(F.when(F.col("run").isNotNull(), F.pmod(F.xxhash64("run"), F.lit(GROUPS))), F.lit(-1))  # null: a group of its own
+    return log.withColumn("_group", group).groupBy("_group").applyInPandasWithState(number, out, kind, "append", "NoTimeout")
 
 
 def record(numbered: DataFrame, path: str, checkpoint: str, now: bool = False) -> StreamingQuery:
