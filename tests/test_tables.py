@@ -2,12 +2,14 @@
 
 import datetime
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import scalars
 from weft.operators import crud
+from weft.plans import tables
 from weft.plans.row_index import ordered_index
 from weft.sources import files
 from weft.streaming import log_tail
@@ -198,3 +200,22 @@ def test_cells_of_any_number_and_length(spark):
     d = spark.createDataFrame([(k,) for k in lines], "line string")
     for r in d.select("line", files._cells("line").alias("c")).collect():
         assert r.c == lines[r.line], r.line[:40]
+
+
+@pytest.mark.parametrize("most", [1, 40, 32 << 20])
+def test_sequences_are_counted_in_tasks(spark, tmp_path, monkeypatch, most):
+    """No word of a text becomes a row of Spark's; partial counts of any number of bytes add up to those of all texts."""
+    monkeypatch.setattr(tables, "COUNTED_BYTES", most, raising=False)
+    texts = [
+        None, "", " ", "box", "OX jub zoo", "Straße naïve ſK Kelvin ı İ", "acd,ACD\tacd\n\x00acd\u2028Acd", "a1c_d@e[f`g{h", "ABJOUXZC aBc", "é", "𝒜cd", "acd " * 500,
+    ]
+    spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = tables.sequences(spark, str(tmp_path))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    n = {}
+    for t in texts:
+        for w in re.split("[^A-Za-z]+", t or ""):
+            w = re.sub("[BJOUXZ]", "", w.upper())
+            if w:
+                n[w] = n.get(w, 0) + 1
+    assert sorted(tuple(r) for r in got.collect()) == sorted((w, w, (k * 7 + len(w)) % 400 / 16) for w, k in n.items())
