@@ -219,3 +219,13 @@ def test_sequences_are_counted_in_tasks(spark, tmp_path, monkeypatch, most):
             if w:
                 n[w] = n.get(w, 0) + 1
     assert sorted(tuple(r) for r in got.collect()) == sorted((w, w, (k * 7 + len(w)) % 400 / 16) for w, k in n.items())
+
+
+def test_rows_of_counts_grow_with_different_words_only(spark):
+    """What a learn set's tasks pass on: ten times the copies of a text make no more rows."""
+    def rows(copies):
+        texts = spark.createDataFrame([(f"acd efg {k % 7 * 'a'}c",) for k in range(7 * copies)], "text string").coalesce(1)
+        return sorted(tuple(r) for r in texts.select(F.col("text").cast("binary")).mapInArrow(tables._counter(1 << 20), "w string, n long").collect())
+
+    few, many = rows(10), rows(100)
+    assert len(few) == len(many) == 9 and [(w, 10 * n) for w, n in few] == many
