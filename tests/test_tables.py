@@ -229,3 +229,13 @@ def test_rows_of_counts_grow_with_different_words_only(spark):
 
     few, many = rows(10), rows(100)
     assert len(few) == len(many) == 9 and [(w, 10 * n) for w, n in few] == many
+
+
+@pytest.mark.parametrize("piece", [1, 100, 128 << 10])
+def test_words_are_told_apart_beyond_eight_letters(spark, monkeypatch, piece):
+    """Words that share their first eight letters, at the ends of texts too; what blanks enclose is no row of the counts."""
+    monkeypatch.setattr(tables, "SPLIT_BYTES", piece, raising=False)
+    words = [("acdefghiklmnpqrstvwy" * 2)[:n] for n in range(1, 40)]
+    texts = spark.createDataFrame([(f"{w}, {w}x.",) for w in words] + [(w,) for w in words] + [("",), (" ",), ("x",), (None,)], "text string").coalesce(1)
+    got = texts.select(F.col("text").cast("binary")).mapInArrow(tables._counter(32 << 20), "w string, n long").collect()
+    assert sorted(tuple(r) for r in got) == sorted((w.upper(), 3) for w in words)

@@ -54,6 +54,20 @@ def test_the_learn_set_is_worked_out_once(spark, data):
     assert worked.value == n
 
 
+def test_evaluations_read_the_learn_set_as_it_lies(spark, data):
+    """The learn set is dealt out when it is checkpointed, in a few tasks for each core, and by no evaluation."""
+    s, r = data
+    p = evolve.nest(r.withColumnRenamed("model_id", "ind").withColumn("status", F.lit(0)))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1000)
+    try:
+        assert scoring.deal(s).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        plan = evolve.evaluator(s)(p)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and not any("Exchange" in x and "seq_id" in x for x in plan.splitlines())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_the_index_has_a_row_for_each_sequence(spark, data):
     s, r = data
     index = scoring.GramIndex.write(s, "weft_test_windows", 30, 4)
